@@ -15,11 +15,11 @@ def tokenise(docs: DataFrame, *fields: str, key: str = "article") -> DataFrame:
 
 
 def stored_tokens(tokens: DataFrame) -> DataFrame:
-    """Token rows as they count: cleaned, NULL and blank ones dropped, one row an (article, pos).
+    """Token rows as they count: cleaned, NULL and blank ones and those without an article dropped, one row an (article, pos).
 
-    Of several tokens at one place the least in code-point order stays. A NULL article or pos is a place like others.
+    Of several tokens at one place the least in code-point order stays. A NULL pos is a place like others.
     """
-    t = tokens.select("article", "pos", text.clean_token("token").alias("token")).where("token is not null")
+    t = tokens.select("article", "pos", text.clean_token("token").alias("token")).where("token is not null and article is not null")
     return t.groupBy("article", "pos").agg(F.min("token").alias("token"))
 
 

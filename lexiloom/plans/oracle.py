@@ -29,7 +29,7 @@ W = f"{IDF}, tfidf as (select article, token, tf * idf w from tf join idf using
 STOP = f"{W}, stop as (select distinct token from tfidf where w < 0.5 or w > 20)"
 RULES = "rules as (select word, coalesce(arg_max(coalesce(replacement, ''), line_no), '') replacement from substitutions where word is not null group by word)"
 STORED = f"""stored as (select article, pos, min(t) token from (select article, pos, nullif(lower({strip("token")}), '') t from tokens)
-where t is not null group by article, pos)"""
+where t is not null and article is not null group by article, pos)"""
 
 
 def _rewritten(x: str) -> str:
