@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import distinctive, frequency
+from lexiloom.llm import distinctive, frequency, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _packed(s: SparkSession, d: str) -> tuple[DataFrame, int]:
+    capacity = table(s, d, "containers").first()["capacity_tokens"]
+    return packing.pack_texts(table(s, d, "documents"), capacity), capacity
+
+
+def _mixed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets"))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": lambda s, d: distinctive.typical(table(s, d, "tokens")).select("article", "token"),
     "p2_residuals": lambda s, d: distinctive.residuals(table(s, d, "tokens")).select(
@@ -23,4 +32,10 @@ QUERIES: dict[str, Query] = {
     ),
     "p3_found": lambda s, d: frequency.marks(frequency.frequencies(table(s, d, "tokens"))),
     "p3_frequencies": lambda s, d: frequency.frequencies(table(s, d, "tokens")),
+    "p6_found": lambda s, d: packing.over_capacity(_packed(s, d)[0]),
+    "p6_containers": lambda s, d: _packed(s, d)[0],
+    "p6_fill": lambda s, d: packing.fill(*_packed(s, d)),
+    "p7_found": lambda s, d: _mixed(s, d)[1].where("short").select("source"),
+    "p7_mixture": lambda s, d: _mixed(s, d)[0],
+    "p7_shares": lambda s, d: mixing.reached(*_mixed(s, d)),
 }
