@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators import index
+from lexiloom.session import cut as written
 from lexiloom.session import salted_join
 
 CUT = 20.0
@@ -19,9 +20,9 @@ def residuals(tokens: DataFrame, cut: float = CUT) -> DataFrame:
     token. score = tf x round(log10(articles / df), 4); critical is the residual at which the pair's score reaches the cut, NULL
     where no tf reaches it (a token of all articles). Token rows count as index.stored_tokens has it; no tokens, no rows.
 
-    Pairs are counted before they are shuffled. A token or article with over a thousandth of all pairs is joined under a salt.
+    Pairs are counted before they are shuffled, and written once: margins, totals and joins read them five times. A token or article with over a thousandth of all pairs is joined under a salt.
     """
-    pairs = index.tf(index.stored_tokens(tokens))
+    pairs = written(index.tf(index.stored_tokens(tokens)))
     cols = pairs.groupBy("token").agg(F.sum("tf").alias("col_n"), F.count(F.lit(1)).alias("df"))
     rows = pairs.groupBy("article").agg(F.sum("tf").alias("row_n"), F.count(F.lit(1)).alias("width"))
     n = rows.agg(F.sum("row_n").cast("double")).scalar()
