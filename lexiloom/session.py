@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +64,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, wei
     rhs = right.join(hot, right[key] == hot["_hot"], "left")
     rhs = rhs.withColumn("_salt", F.explode(F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot", "_is_hot")
     return lhs.join(rhs, [key, "_salt"]).drop("_salt")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lexiloom-"), "lexiloom"), "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(made)
+    _shipped.add(app)
