@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import distinctive, frequency, mixing, packing
+from lexiloom.llm import distinctive, frequency, looks, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,13 @@ def _mixed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets"))
 
 
+def _alike(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "corpus")
+    texts = looks.alike(c.select("article", "texte"), "article", "texte").select(F.lit("texte").alias("champ"), "cle_a", "cle_b")
+    dates = c.select("date").distinct().withColumn("value", F.col("date"))
+    return texts.unionByName(looks.alike(dates, "date", "value").select(F.lit("date").alias("champ"), "cle_a", "cle_b"))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": lambda s, d: distinctive.typical(table(s, d, "tokens")).select("article", "token"),
     "p2_residuals": lambda s, d: distinctive.residuals(table(s, d, "tokens")).select(
@@ -32,6 +39,8 @@ QUERIES: dict[str, Query] = {
     ),
     "p3_found": lambda s, d: frequency.marks(frequency.frequencies(table(s, d, "tokens"))),
     "p3_frequencies": lambda s, d: frequency.frequencies(table(s, d, "tokens")),
+    "p5_found": _alike,
+    "p5_forms": lambda s, d: table(s, d, "corpus").select("article", "loaded_at", looks.look("date").alias("date"), looks.look("texte").alias("texte"), looks.fold("texte").alias("texte_fold")),
     "p6_found": lambda s, d: packing.over_capacity(_packed(s, d)[0]),
     "p6_containers": lambda s, d: _packed(s, d)[0],
     "p6_fill": lambda s, d: packing.fill(*_packed(s, d)),
