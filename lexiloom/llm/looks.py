@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.session import cut
+
 # Letters and signs of other scripts that are drawn like the ones below them.
 ALIKE = (
     ("аеорсухіѕјԁһԛԝӏɡοѵ", "aeopcyxisjdhqwlgov"),
@@ -98,12 +100,12 @@ def _digests(x: Column) -> Column:
 def alike(values: DataFrame, key: str, value: str) -> DataFrame:
     """(cle_a, cle_b): keys, smaller first, of values that look the same and aren't the same string.
 
-    Values with nothing visible, NULLs and NULL keys are no cases. Only digests are shuffled. Equal strings form a class first and
+    Values with nothing visible, NULLs and NULL keys are no cases. Only digests are shuffled, and written once. Equal strings form a class first and
     classes are paired, so a string that a third of all rows hold is not compared with itself row by row; the pairs asked for are
     then written out, once each.
     """
     rows = values.where(F.col(key).isNotNull()).select(F.col(key).alias("cle"), _digests(F.col(value)).alias("d"))
-    rows = rows.where("d.look is not null").select("cle", "d.fold", "d.look", "d.raw").distinct()
+    rows = cut(rows.where("d.look is not null").select("cle", "d.fold", "d.look", "d.raw").distinct())
     classes = rows.select("fold", "look", "raw").distinct()
     several = classes.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fold")
     few = classes.join(several, "fold", "left_semi")
