@@ -1,0 +1,26 @@
+"""Connected components by least labels with pointer jumping, in a number of rounds that grows with the logarithm of a path."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexiloom.session import cut
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of an edge; component is the least node in it. No edges, no rows; NULL ends are left out.
+
+    Labels are written to the shared folder each round and joined on nodes; a node with many edges is aggregated before the shuffle.
+    """
+    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"))
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
+        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("next"))
+        of = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
+        new = cut(step.join(of, "next").select("node", "old", F.least("next", "far").alias("component")))
+        if new.where("component <> old").limit(1).count() == 0:
+            return new.select("node", "component")
+        labels = new.select("node", "component")
