@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import distinctive, frequency, looks, mixing, packing
+from lexiloom.llm import distinctive, frequency, looks, mixing, names, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,8 @@ QUERIES: dict[str, Query] = {
     ),
     "p3_found": lambda s, d: frequency.marks(frequency.frequencies(table(s, d, "tokens"))),
     "p3_frequencies": lambda s, d: frequency.frequencies(table(s, d, "tokens")),
+    "p4_found": lambda s, d: names.pairs(names.writers(table(s, d, "corpus"))),
+    "p4_writers": lambda s, d: names.writers(table(s, d, "corpus")),
     "p5_found": _alike,
     "p5_forms": lambda s, d: table(s, d, "corpus").select("article", "loaded_at", looks.look("date").alias("date"), looks.look("texte").alias("texte"), looks.fold("texte").alias("texte_fold")),
     "p6_found": lambda s, d: packing.over_capacity(_packed(s, d)[0]),
