@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import distinctive, frequency, looks, mixing, names, packing
+from lexiloom.llm import distinctive, frequency, looks, mixing, names, packing, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,4 +49,5 @@ QUERIES: dict[str, Query] = {
     "p7_found": lambda s, d: _mixed(s, d)[1].where("short").select("source"),
     "p7_mixture": lambda s, d: _mixed(s, d)[0],
     "p7_shares": lambda s, d: mixing.reached(*_mixed(s, d)),
+    "p8_found": lambda s, d: sentences.sentences(table(s, d, "documents")),
 }
