@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import distinctive, frequency, looks, mixing, names, packing, sentences
+from lexiloom.llm import boilerplate, distinctive, frequency, looks, mixing, names, packing, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "bulletins").select("path", "html", "texte")
+
+
 def _packed(s: SparkSession, d: str) -> tuple[DataFrame, int]:
     capacity = table(s, d, "containers").first()["capacity_tokens"]
     return packing.pack_texts(table(s, d, "documents"), capacity), capacity
@@ -33,6 +37,8 @@ def _alike(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": lambda s, d: boilerplate.frame(_pages(s, d)).where("frame").select("path", "line_no"),
+    "p1_articles": lambda s, d: boilerplate.articles(_pages(s, d), boilerplate.frame(_pages(s, d))),
     "p2_found": lambda s, d: distinctive.typical(table(s, d, "tokens")).select("article", "token"),
     "p2_residuals": lambda s, d: distinctive.residuals(table(s, d, "tokens")).select(
         "article", "token", "tf", "df", F.round("score", 6).alias("score"), F.round("residual", 6).alias("residual")
