@@ -23,10 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.text import WS, pystrip
 from lexiloom.session import cut
 
 #: A line belongs to a host's wrapper from this share of its pages, and to the family's from this share of all pages; from MIN_PAGES anyway.
 HOST_SHARE, FAMILY_SHARE, MIN_PAGES = 0.08, 0.025, 4
+#: How many times more often than by their share of pages hosts without recurrence hold a line of the family.
+SMALL_TIMES = 5
 #: Words of lines that are aligned with slots, and how much of both must agree in order.
 SLOT_WORDS, SLOT_SHARE = (4, 45), 0.7
 #: Lines longer than this head no list and are no item of one.
@@ -34,20 +37,20 @@ ITEM_CHARS = 130
 
 # Month names count as parts of a date; signs that part the entries of a menu; how a text's lines may be bulleted.
 MONTHS = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre january february march april may june july august september october november december"
-_PARTS = r"\s*[|·>•\[\]–—^*]\s*|\s+-\s+|\s{3,}|<<|^\s*-\s"
+_PARTS = r"\s*[|·>•\[\]–—^*]\s*|\s+[-/]\s+|\s{3,}|<<|^\s*-\s"
 _BULLET = r"^\s*[-•*–—·▪]\s"
 
 
 def host(title: Column) -> Column:
     """The site named in a page title `DATE > Bulletin SITE NUMBER > TITLE`; NULL if none is."""
-    named = F.regexp_replace(F.trim(F.get(F.split(title, ">"), F.lit(1))), r"^(?i:bulletin)\s+|\s*\p{Nd}+$", "")
-    return F.nullif(F.trim(named), F.lit(""))
+    named = F.regexp_replace(pystrip(F.get(F.split(title, ">"), F.lit(1))), rf"^(?i:bulletin){WS}+|{WS}*\p{{Nd}}+$", "")
+    return F.nullif(pystrip(named), F.lit(""))
 
 
 def template(line: Column, site: Column) -> Column:
     """A line as a wrapper sees it: words in lower case, numbers and dates as #, the host's name as @."""
-    x = F.lower(F.regexp_replace(line, r"\s+", " "))
-    x = F.when(site.isNotNull(), F.replace(x, F.lower(site), F.lit(" @ "))).otherwise(x)
+    x = F.lower(F.regexp_replace(F.regexp_replace(line, r"\s+", " "), r"(?<=\p{L})-(?=\p{L})", ""))
+    x = F.when(site.isNotNull(), F.replace(x, F.lower(F.regexp_replace(site, r"(?<=\p{L})-(?=\p{L})", "")), F.lit(" @ "))).otherwise(x)
     x = F.regexp_replace(x, rf"\p{{Nd}}+|(?<!\p{{L}})(?:{'|'.join(MONTHS.split())})(?!\p{{L}})", "#")
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}#@]+", " "), r"#(?: #)+", "#"))
 
@@ -69,22 +72,38 @@ def lines(pages: DataFrame) -> DataFrame:
     its own.
     """
     one = pages.where("path is not null and texte is not null").groupBy("path").agg(F.max(F.struct("texte", _title(F.col("html")).alias("title"))).alias("p")).select("path", "p.*")
-    own = F.trim(F.get(F.split("title", ">"), F.lit(2)))
-    one = one.select("path", host(F.col("title")).alias("name"), F.nullif(F.lower(F.regexp_replace(own, r"\s+", " ")), F.lit("")).alias("own"), "texte")
+    own = pystrip(F.get(F.split("title", ">"), F.lit(2)))
+    one = one.select("path", host(F.col("title")).alias("name"), F.nullif(F.lower(F.regexp_replace(own, f"{WS}+", " ")), F.lit("")).alias("own"), "texte")
     rows = one.select("path", "name", "own", F.posexplode(F.split("texte", "\n")).alias("n", "line"))
-    squeezed = F.lower(F.trim(F.regexp_replace("line", r"\s+", " ")))
+    squeezed = F.lower(pystrip(F.regexp_replace("line", f"{WS}+", " ")))
     rows = rows.select("path", F.coalesce("name", F.concat(F.lit("/"), "path")).alias("site"), "n", "line", F.coalesce(squeezed == F.col("own"), F.lit(False)).alias("title"), template(F.col("line"), F.col("name")).alias("t"))
     return rows.withColumn("k", F.xxhash64("t"))
 
 
-def _recurring(rows: DataFrame, sizes: DataFrame, total: Column) -> tuple[DataFrame, DataFrame]:
-    """(site, k) of hosts' wrappers, and (k) of the family's. rows: (path, site, k), some repeated."""
-    counts = rows.distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("c"))
-    strong = counts.join(sizes, "site").withColumn("strong", F.col("c") >= F.greatest(F.lit(MIN_PAGES), HOST_SHARE * F.col("pages")))
-    strong = cut(strong.select("site", "k", "c", "strong"))
-    of_all = strong.groupBy("k").agg(F.sum("c").alias("c"), F.count_if("strong").alias("hosts"))
-    family = of_all.where((F.col("hosts") >= 2) | (F.col("c") >= F.greatest(F.lit(MIN_PAGES), FAMILY_SHARE * total))).select("k")
-    return strong.where("strong").select("site", "k"), family
+def _recurring(rows: DataFrame, sizes: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, k) of hosts' wrappers, and (k) of the family's. rows: (path, site, k), some repeated.
+
+    Hosts of fewer than MIN_PAGES pages show no recurrence of their own. A line that they hold far more often than chance would
+    have it, on several of them, is of the family too: what is sent to all hosts lies on the large ones in proportion.
+    """
+    counts = rows.distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("c")).join(sizes, "site")
+    strong = F.col("c") >= F.greatest(F.lit(MIN_PAGES), HOST_SHARE * F.col("pages"))
+    counts = cut(counts.select("site", "k", "c", strong.alias("strong"), (F.col("pages") < MIN_PAGES).alias("small")))
+    of_all = counts.groupBy("k").agg(F.sum("c").alias("c"), F.count_if("strong").alias("hosts"), F.count_if("small").alias("small"))
+    total, small = totals.select("total").scalar(), totals.select("small").scalar()
+    often = F.col("c") >= F.greatest(F.lit(MIN_PAGES), FAMILY_SHARE * total)
+    on_small = (F.col("small") >= MIN_PAGES) & (F.col("small") * total >= SMALL_TIMES * F.col("c") * small)
+    return counts.where("strong").select("site", "k"), of_all.where((F.col("hosts") >= 2) | often | on_small).select("k")
+
+
+def _wildcards(rest: DataFrame, sizes: DataFrame, totals: DataFrame) -> DataFrame:
+    """(k) of lines that recur but for one word: a text slot that never held the same twice. rest: (path, site, k, t)."""
+    w = F.split("t", " ")
+    one = rest.where(F.size(w).between(SLOT_WORDS[0], SLOT_WORDS[1] // 2)).select("path", "site", "k", w.alias("w"))
+    holes = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.xxhash64(i, F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, F.size("w"))))
+    keyed = one.select("path", "site", F.col("k").alias("line"), F.explode(holes).alias("k"))
+    _, family = _recurring(keyed.select("path", "site", "k"), sizes, totals)
+    return keyed.join(family, "k", "left_semi").select(F.col("line").alias("k")).distinct()
 
 
 def _grams(t: Column) -> Column:
@@ -162,27 +181,38 @@ def frame(pages: DataFrame) -> DataFrame:
     """(path, line_no, frame): every line of every text, and whether it belongs to the site's frame. pages: (path, html, texte)."""
     every = cut(lines(pages))
     sizes = cut(every.select("path", "site").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages")))
-    total = sizes.agg(F.sum("pages")).scalar()
-    blank = F.col("t") == ""
-    per_host, family = _recurring(every.where(~blank).select("path", "site", "k"), sizes, total)
+    totals = sizes.agg(F.sum("pages").cast("double").alias("total"), F.sum(F.when(F.col("pages") < MIN_PAGES, F.col("pages")).otherwise(0)).cast("double").alias("small"))
+    said = every.where("t <> ''")
+    per_host, family = _recurring(said.select("path", "site", "k"), sizes, totals)
     per_host, family = cut(per_host), cut(family)
-    texts = every.where(~blank).groupBy("k").agg(F.min("t").alias("t"))
-    known = cut(family.unionByName(per_host.select("k")).distinct())
+    yes = lambda d, name: d.withColumn(name, F.lit(True))
 
-    # groups of parts: a part is known as a line of its own, or recurs as a part on several hosts
-    parted = every.where(F.rlike("line", F.lit(_PARTS)) & ~blank & (F.length("line") < 400))
+    # groups of parts: a part is known as a line of its own, or recurs as a part
     site = F.when(~F.col("site").startswith("/"), F.col("site"))
-    cells = parted.select("path", "site", "n", "k", F.explode(F.split("line", _PARTS)).alias("part")).withColumn("pt", template(F.col("part"), site)).where("pt <> '' and pt <> '#'")
-    cells = cut(cells.select("path", "site", "n", F.col("k").alias("lk"), F.xxhash64("pt").alias("k"), F.instr("pt", "#").alias("number")))
+    parted = said.where(F.rlike("line", F.lit(_PARTS)) & (F.length("line") < 400))
+    cells = parted.select("path", "site", "n", F.explode(F.split("line", _PARTS)).alias("part")).withColumn("t", template(F.col("part"), site)).where("t <> '' and t <> '#'")
+    cells = cut(cells.withColumn("k", F.xxhash64("t")).drop("part"))
     several = cells.groupBy("path", "n").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("path", "n")
-    _, part_family = _recurring(cells.where("number = 0").join(several, ["path", "n"], "left_semi").select("path", "site", "k"), sizes, F.lit(10**15))
-    as_part = family.unionByName(part_family).distinct().withColumn("ok", F.lit(True))
-    grouped = cells.join(as_part, "k", "left").join(per_host.withColumn("here", F.lit(True)), ["site", "k"], "left").groupBy("path", "n").agg(F.every(F.coalesce("ok", "here", F.lit(False))).alias("all")).where("all").select("path", "n", F.lit(True).alias("grouped"))
-
-    exact = every.join(family.withColumn("f", F.lit(True)), "k", "left").join(per_host.withColumn("h", F.lit(True)), ["site", "k"], "left").join(grouped, ["path", "n"], "left")
-    exact = cut(exact.select("path", "site", "n", "k", "title", "line", F.coalesce("f", "h", "grouped", F.lit(False)).alias("frame")))
-    rest = texts.join(exact.where("not frame").select("k").distinct(), "k", "left_semi").join(known, "k", "left_anti")
-    slots = cut(_slots(rest, texts.join(known, "k", "left_semi")))
+    _, part_family = _recurring(cells.where("instr(t, '#') = 0").join(several, ["path", "n"], "left_semi").select("path", "site", "k"), sizes, totals.withColumn("total", 1e3 * F.col("total")))
+    as_part = cut(family.unionByName(part_family).distinct())
+    grouped = cells.join(yes(as_part, "ok"), "k", "left").join(yes(per_host, "here"), ["site", "k"], "left")
+    grouped = grouped.groupBy("path", "n").agg(F.every(F.coalesce("ok", "here", F.lit(False))).alias("all")).where("all").select("path", "n")
+    # menus without signs between their entries: every word is one of short entries
+    entry = cells.select("k", "t").unionByName(said.select("k", "t")).distinct().where("size(split(t, ' ')) <= 3").join(as_part, "k", "left_semi")
+    entry = entry.select(F.explode(F.split("t", " ")).alias("w")).distinct()
+    spaced = said.where("size(split(t, ' ')) between 4 and 30 and length(line) < 200 and instr(t, '#') = 0").select("k", "t").distinct()
+    unknown = spaced.select("k", F.explode(F.split("t", " ")).alias("w")).join(entry, "w", "left_anti").select("k").distinct()
+    menus = spaced.select("k").join(unknown, "k", "left_anti")
+
+    line = as_part.unionByName(menus).distinct()
+    exact = every.join(yes(line, "f"), "k", "left").join(yes(per_host, "h"), ["site", "k"], "left").join(yes(grouped, "grouped"), ["path", "n"], "left")
+    exact = cut(exact.select("path", "site", "n", "k", "title", "line", "t", F.coalesce("f", "h", "grouped", F.lit(False)).alias("frame")))
+    # text slots: lines that recur but for one word; then lines like those known
+    open_lines = exact.where("not frame and t <> ''").select("path", "site", "k", "t")
+    holed = cut(_wildcards(open_lines, sizes, totals))
+    rest = open_lines.select("k", "t").distinct().join(holed, "k", "left_anti")
+    known = line.unionByName(per_host.select("k")).unionByName(holed).distinct()
+    slots = cut(_slots(rest, said.select("k", "t").distinct().join(known, "k", "left_semi")).unionByName(holed))
 
     item = (F.length("line") < ITEM_CHARS) & ~F.rlike("line", F.lit(r"[.;:»…]\s*$")) & ~F.rlike("line", F.lit(_BULLET))
     rank = F.regexp_extract("line", r"^\s*(\p{Nd}{1,2})\.\s", 1).try_cast("int")
