@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import WS, pystrip
-from lexiloom.session import cut
+from lexiloom.session import broadcast_if_small, cut
 
 #: A line belongs to a host's wrapper from this share of its pages, and to the family's from this share of all pages; from MIN_PAGES anyway.
 HOST_SHARE, FAMILY_SHARE, MIN_PAGES = 0.08, 0.025, 4
@@ -66,44 +66,63 @@ def _title(html: Column) -> Column:
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """(path, site, n, line, title, t, k): one row a line of each page's text; k is the template's hash. pages: (path, html, texte).
+    """(path, load, site, n, k, t, title, item, rank, parts): one row a line of each page's text, without the text. pages: (path, html, texte).
 
-    Where a path was loaded with several texts the greatest counts; NULL texts and paths have no lines. A page that names no host is
-    its own.
+    k is the template's hash (0 for a line without words), t the template itself where it has few words enough for slots, parts
+    the templates of the parts that signs cut the line into. A page that names no host is its own. NULL paths and texts have no lines.
     """
-    one = pages.where("path is not null and texte is not null").groupBy("path").agg(F.max(F.struct("texte", _title(F.col("html")).alias("title"))).alias("p")).select("path", "p.*")
     own = pystrip(F.get(F.split("title", ">"), F.lit(2)))
-    one = one.select("path", host(F.col("title")).alias("name"), F.nullif(F.lower(F.regexp_replace(own, f"{WS}+", " ")), F.lit("")).alias("own"), "texte")
-    rows = one.select("path", "name", "own", F.posexplode(F.split("texte", "\n")).alias("n", "line"))
-    squeezed = F.lower(pystrip(F.regexp_replace("line", f"{WS}+", " ")))
-    rows = rows.select("path", F.coalesce("name", F.concat(F.lit("/"), "path")).alias("site"), "n", "line", F.coalesce(squeezed == F.col("own"), F.lit(False)).alias("title"), template(F.col("line"), F.col("name")).alias("t"))
-    return rows.withColumn("k", F.xxhash64("t"))
-
-
-def _recurring(rows: DataFrame, sizes: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(site, k) of hosts' wrappers, and (k) of the family's. rows: (path, site, k), some repeated.
-
-    Hosts of fewer than MIN_PAGES pages show no recurrence of their own. A line that they hold far more often than chance would
-    have it, on several of them, is of the family too: what is sent to all hosts lies on the large ones in proportion.
-    """
-    counts = rows.distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("c")).join(sizes, "site")
-    strong = F.col("c") >= F.greatest(F.lit(MIN_PAGES), HOST_SHARE * F.col("pages"))
-    counts = cut(counts.select("site", "k", "c", strong.alias("strong"), (F.col("pages") < MIN_PAGES).alias("small")))
-    of_all = counts.groupBy("k").agg(F.sum("c").alias("c"), F.count_if("strong").alias("hosts"), F.count_if("small").alias("small"))
-    total, small = totals.select("total").scalar(), totals.select("small").scalar()
-    often = F.col("c") >= F.greatest(F.lit(MIN_PAGES), FAMILY_SHARE * total)
-    on_small = (F.col("small") >= MIN_PAGES) & (F.col("small") * total >= SMALL_TIMES * F.col("c") * small)
-    return counts.where("strong").select("site", "k"), of_all.where((F.col("hosts") >= 2) | often | on_small).select("k")
-
-
-def _wildcards(rest: DataFrame, sizes: DataFrame, totals: DataFrame) -> DataFrame:
-    """(k) of lines that recur but for one word: a text slot that never held the same twice. rest: (path, site, k, t)."""
+    one = pages.where("path is not null and texte is not null").select("path", F.xxhash64("texte").alias("load"), _title(F.col("html")).alias("title"), "texte")
+    one = one.select("path", "load", host(F.col("title")).alias("name"), F.nullif(F.lower(F.regexp_replace(own, f"{WS}+", " ")), F.lit("")).alias("own"), "texte")
+    rows = one.select("path", "load", "name", "own", F.posexplode(F.split("texte", "\n")).alias("n", "line"))
+    rows = rows.withColumn("t", template(F.col("line"), F.col("name")))
+    title = F.when(F.length("line") <= F.length("own") + 20, F.lower(pystrip(F.regexp_replace("line", f"{WS}+", " "))) == F.col("own"))
+    short = F.length("line") < ITEM_CHARS
+    item = short & ~F.rlike("line", F.lit(r"[.;:»…]\s*$")) & ~F.rlike("line", F.lit(_BULLET))
+    rank = F.when(short, F.regexp_extract("line", r"^\s*(\p{Nd}{1,2})\.\s", 1).try_cast("int"))
+    parts = F.transform(F.split("line", _PARTS), lambda p: template(p, F.col("name")))
+    parts = F.when((F.length("line") < 400) & F.rlike("line", F.lit(_PARTS)), F.filter(parts, lambda p: ~p.isin("", "#")))
+    return rows.select(
+        "path", "load", F.xxhash64(F.coalesce("name", F.concat(F.lit("/"), "path"))).alias("site"), "n", F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"),
+        F.when((F.col("t") != "") & (F.size(F.split("t", " ")) <= SLOT_WORDS[1]), F.col("t")).alias("t"), F.coalesce(title, F.lit(False)).alias("title"), item.alias("item"), rank.alias("rank"), parts.alias("parts"),
+    )
+
+
+class _Sizes:
+    """Pages by host, and what of all pages lies on hosts too small to show a recurrence."""
+
+    def __init__(self, every: DataFrame) -> None:
+        self.of = cut(every.groupBy("site").agg(F.count_distinct("path").alias("pages")))
+        r = self.of.agg(F.sum("pages"), F.sum(F.when(F.col("pages") < MIN_PAGES, F.col("pages")))).first()
+        self.total, self.small = float(r[0] or 0), float(r[1] or 0)
+
+    def recurring(self, counts: DataFrame, often: bool = True) -> tuple[DataFrame, DataFrame]:
+        """(site, k) of hosts' wrappers, and (k) of the family's. counts: (site, k, c), c of a host's pages having k.
+
+        A line that small hosts hold far more often than chance would have it, on several of them, is of the family too: what is
+        sent to all hosts lies on the large ones in proportion. often: whether a share of all pages suffices.
+        """
+        strong = F.col("c") >= F.greatest(F.lit(MIN_PAGES), HOST_SHARE * F.col("pages"))
+        marked = cut(counts.where("k <> 0").join(self.of, "site").select("site", "k", "c", strong.alias("strong"), (F.col("pages") < MIN_PAGES).alias("small")))
+        of_all = marked.groupBy("k").agg(F.sum("c").alias("c"), F.count_if("strong").alias("hosts"), F.count_if("small").alias("small"))
+        on_small = (F.col("small") >= MIN_PAGES) & (F.col("small") * self.total >= SMALL_TIMES * F.col("c") * self.small)
+        enough = (F.col("c") >= max(MIN_PAGES, FAMILY_SHARE * self.total)) if often else F.lit(False)
+        return marked.where("strong").select("site", "k"), of_all.where((F.col("hosts") >= 2) | enough | on_small).select("k")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(site, k, c): pages of each host with k. The lines of a page lie in one task, so repeats go before the shuffle."""
+    return rows.select(F.xxhash64("path").alias("p"), "site", "k").distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _wildcards(rest: DataFrame, sizes: _Sizes) -> DataFrame:
+    """(k) of lines that recur but for one word: a text slot that never held the same twice. rest: (site, k, t, c)."""
     w = F.split("t", " ")
-    one = rest.where(F.size(w).between(SLOT_WORDS[0], SLOT_WORDS[1] // 2)).select("path", "site", "k", w.alias("w"))
+    one = rest.where(F.size(w).between(SLOT_WORDS[0], SLOT_WORDS[1] // 2)).select("site", "k", "c", w.alias("w"))
     holes = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.xxhash64(i, F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, F.size("w"))))
-    keyed = one.select("path", "site", F.col("k").alias("line"), F.explode(holes).alias("k"))
-    _, family = _recurring(keyed.select("path", "site", "k"), sizes, totals)
-    return keyed.join(family, "k", "left_semi").select(F.col("line").alias("k")).distinct()
+    keyed = one.select("site", "c", F.col("k").alias("line"), F.explode(holes).alias("k"))
+    _, family = sizes.recurring(keyed.groupBy("site", "k").agg(F.sum("c").alias("c")))
+    return keyed.join(broadcast_if_small(cut(family)), "k", "left_semi").select(F.col("line").alias("k")).distinct()
 
 
 def _grams(t: Column) -> Column:
@@ -128,7 +147,7 @@ def _slots(rest: DataFrame, wrapper: DataFrame) -> DataFrame:
     fit = lambda d: d.where(words.between(*SLOT_WORDS)).select("k", "t", words.alias("w"), _grams(F.col("t")).alias("g"))
     a, b = fit(rest), fit(wrapper).select(F.col("k").alias("fk"), F.col("t").alias("ft"), F.col("w").alias("fw"), F.explode("g").alias("g"))
     # three of ten triples at least survive where seven of ten words agree in order within few slots
-    met = a.select("k", "w", F.explode("g").alias("g")).join(b.select("fk", "fw", "g"), "g").where(f"least(w, fw) >= {SLOT_SHARE / (2 - SLOT_SHARE)} * greatest(w, fw)")
+    met = a.select("k", "w", F.explode("g").alias("g")).join(broadcast_if_small(cut(b.select("fk", "fw", "g"))), "g").where(f"least(w, fw) >= {SLOT_SHARE / (2 - SLOT_SHARE)} * greatest(w, fw)")
     met = met.groupBy("k", "fk").agg(F.count(F.lit(1)).alias("shared"), F.max("w").alias("w")).where("shared >= 0.15 * (w - 2)").select("k", "fk")
     pairs = met.join(rest.select("k", "t"), "k").join(wrapper.select(F.col("k").alias("fk"), F.col("t").alias("ft")), "fk")
 
@@ -139,13 +158,21 @@ def _slots(rest: DataFrame, wrapper: DataFrame) -> DataFrame:
     return pairs.where(agree("t", "ft")).select("k").distinct()
 
 
+_ROW = ("n", "k", "frame", "most", "title", "item", "rank")
+
+
 def _by_page(marked: DataFrame) -> DataFrame:
-    """(path, site, rows): a page's lines in order, without their text."""
-    row = F.struct("n", "k", "frame", "head", "title", "item", "rank")
-    return marked.groupBy("path", "site").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    """A page's lines in order, each of _ROW an array."""
+    rows = marked.groupBy("path", "site").agg(F.array_sort(F.collect_list(F.struct(*_ROW))).alias("r"))
+    return rows.select("path", "site", *(F.col(f"r.{c}").alias(c) for c in _ROW))
 
 
-def _run(rows: list, i: int) -> int:
+def _pages(batch: pd.DataFrame) -> Iterator[list[dict]]:
+    for cols in zip(*(batch[c] for c in _ROW), strict=True):
+        yield [dict(zip(_ROW, r, strict=True)) for r in zip(*(c.tolist() for c in cols), strict=True)]
+
+
+def _run(rows: list[dict], i: int) -> int:
     """Lines that follow line i and could be entries of a list."""
     j = i + 1
     while j < len(rows) and not rows[j]["frame"] and rows[j]["item"]:
@@ -153,17 +180,17 @@ def _run(rows: list, i: int) -> int:
     return j - i - 1
 
 
-def entries(rows: list) -> set[int]:
-    """Places of the list entries of a page, by its heads."""
+def entries(rows: list[dict]) -> set[int]:
+    """Places of the list entries of a page. `most` of a head line: how many entries without numbers its lists have at most (0: no head)."""
     out: set[int] = set()
     titles = [i for i, r in enumerate(rows) if r["title"]]
     for i, r in enumerate(rows):
-        if not (r["frame"] and r["head"]):
+        if not r["frame"] or not r["most"]:
             continue
         j = i + 1
         if j < len(rows) and rows[j]["rank"] == 1 and not rows[j]["frame"]:
             k = 1
-            while j < len(rows) and rows[j]["rank"] == k and (not rows[j]["frame"]):
+            while j < len(rows) and rows[j]["rank"] == k and not rows[j]["frame"]:
                 out.add(j)
                 j, k = j + 1, k + 1
             continue
@@ -173,72 +200,78 @@ def entries(rows: list) -> set[int]:
             end = own
         elif not titles and end < len(rows) and not rows[end]["frame"] and end - i > 2:
             end -= 1  # what stands before the first paragraph is the title
-        out.update(range(i + 1, end))
+        out.update(range(i + 1, min(end, i + 1 + r["most"])))
     return out
 
 
 def frame(pages: DataFrame) -> DataFrame:
-    """(path, line_no, frame): every line of every text, and whether it belongs to the site's frame. pages: (path, html, texte)."""
+    """(path, line_no, frame): every line of every text, and whether it belongs to the site's frame. pages: (path, html, texte).
+
+    Where a path was loaded with several texts, all count for the wrappers and the one of the greatest hash is given.
+    """
     every = cut(lines(pages))
-    sizes = cut(every.select("path", "site").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages")))
-    totals = sizes.agg(F.sum("pages").cast("double").alias("total"), F.sum(F.when(F.col("pages") < MIN_PAGES, F.col("pages")).otherwise(0)).cast("double").alias("small"))
-    said = every.where("t <> ''")
-    per_host, family = _recurring(said.select("path", "site", "k"), sizes, totals)
-    per_host, family = cut(per_host), cut(family)
+    sizes = _Sizes(every)
+    counts = cut(_counts(every))
+    per_host, family = map(cut, sizes.recurring(counts))
     yes = lambda d, name: d.withColumn(name, F.lit(True))
 
     # groups of parts: a part is known as a line of its own, or recurs as a part
-    site = F.when(~F.col("site").startswith("/"), F.col("site"))
-    parted = said.where(F.rlike("line", F.lit(_PARTS)) & (F.length("line") < 400))
-    cells = parted.select("path", "site", "n", F.explode(F.split("line", _PARTS)).alias("part")).withColumn("t", template(F.col("part"), site)).where("t <> '' and t <> '#'")
-    cells = cut(cells.withColumn("k", F.xxhash64("t")).drop("part"))
-    several = cells.groupBy("path", "n").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("path", "n")
-    _, part_family = _recurring(cells.where("instr(t, '#') = 0").join(several, ["path", "n"], "left_semi").select("path", "site", "k"), sizes, totals.withColumn("total", 1e3 * F.col("total")))
+    cells = every.where("size(parts) > 0").select("path", "load", "site", "n", F.size("parts").alias("m"), F.explode("parts").alias("t")).withColumn("k", F.xxhash64("t"))
+    _, part_family = sizes.recurring(_counts(cells.where("m > 1 and instr(t, '#') = 0")), often=False)
     as_part = cut(family.unionByName(part_family).distinct())
     grouped = cells.join(yes(as_part, "ok"), "k", "left").join(yes(per_host, "here"), ["site", "k"], "left")
-    grouped = grouped.groupBy("path", "n").agg(F.every(F.coalesce("ok", "here", F.lit(False))).alias("all")).where("all").select("path", "n")
+    grouped = grouped.groupBy("path", "load", "n").agg(F.every(F.coalesce("ok", "here", F.lit(False))).alias("grouped"))
     # menus without signs between their entries: every word is one of short entries
-    entry = cells.select("k", "t").unionByName(said.select("k", "t")).distinct().where("size(split(t, ' ')) <= 3").join(as_part, "k", "left_semi")
+    said = every.where("t is not null").select("k", "t").distinct()
+    entry = said.unionByName(cells.select("k", "t").distinct()).where("size(split(t, ' ')) <= 3").join(as_part, "k", "left_semi")
     entry = entry.select(F.explode(F.split("t", " ")).alias("w")).distinct()
-    spaced = said.where("size(split(t, ' ')) between 4 and 30 and length(line) < 200 and instr(t, '#') = 0").select("k", "t").distinct()
-    unknown = spaced.select("k", F.explode(F.split("t", " ")).alias("w")).join(entry, "w", "left_anti").select("k").distinct()
-    menus = spaced.select("k").join(unknown, "k", "left_anti")
+    spaced = said.where("size(split(t, ' ')) between 4 and 30 and instr(t, '#') = 0")
+    menus = spaced.select("k", F.explode(F.split("t", " ")).alias("w")).join(yes(broadcast_if_small(cut(entry)), "is"), "w", "left").groupBy("k").agg(F.every(F.coalesce("is", F.lit(False))).alias("all")).where("all").select("k")
 
-    line = as_part.unionByName(menus).distinct()
-    exact = every.join(yes(line, "f"), "k", "left").join(yes(per_host, "h"), ["site", "k"], "left").join(yes(grouped, "grouped"), ["path", "n"], "left")
-    exact = cut(exact.select("path", "site", "n", "k", "title", "line", "t", F.coalesce("f", "h", "grouped", F.lit(False)).alias("frame")))
+    line = cut(as_part.unionByName(menus).distinct())
+    exact = every.join(yes(line, "f"), "k", "left").join(yes(per_host, "h"), ["site", "k"], "left").join(grouped, ["path", "load", "n"], "left")
+    exact = cut(exact.select("path", "load", "site", "n", "k", "title", "item", "rank", F.coalesce("f", "h", "grouped", F.lit(False)).alias("frame")))
     # text slots: lines that recur but for one word; then lines like those known
-    open_lines = exact.where("not frame and t <> ''").select("path", "site", "k", "t")
-    holed = cut(_wildcards(open_lines, sizes, totals))
-    rest = open_lines.select("k", "t").distinct().join(holed, "k", "left_anti")
+    texts = every.where("t is not null").groupBy("k").agg(F.min("t").alias("t"))
+    rest = cut(counts.join(exact.where("not frame").select("site", "k").distinct(), ["site", "k"], "left_semi").join(texts, "k"))
+    holed = cut(_wildcards(rest, sizes))
     known = line.unionByName(per_host.select("k")).unionByName(holed).distinct()
-    slots = cut(_slots(rest, said.select("k", "t").distinct().join(known, "k", "left_semi")).unionByName(holed))
+    slots = cut(_slots(rest.select("k", "t").distinct().join(holed, "k", "left_anti"), texts.join(known, "k", "left_semi")).unionByName(holed))
 
-    item = (F.length("line") < ITEM_CHARS) & ~F.rlike("line", F.lit(r"[.;:»…]\s*$")) & ~F.rlike("line", F.lit(_BULLET))
-    rank = F.regexp_extract("line", r"^\s*(\p{Nd}{1,2})\.\s", 1).try_cast("int")
-    marked = exact.join(slots.withColumn("s", F.lit(True)), "k", "left").select("path", "site", "n", "k", (F.col("frame") | F.coalesce("s", F.lit(False))).alias("frame"), "title", item.alias("item"), rank.alias("rank"))
+    last = every.groupBy("path").agg(F.max("load").alias("load"))
+    flag = F.col("frame") | F.coalesce("s", F.lit(False))
+    marked = exact.join(yes(slots, "s"), "k", "left").join(last, ["path", "load"], "left_semi").groupBy("path", "site", "n", "k").agg(F.max(flag).alias("frame"), F.max("title").alias("title"), F.max("item").alias("item"), F.coalesce(F.max("rank"), F.lit(0)).alias("rank"))
     marked = cut(marked)
 
     def following(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(r["k"], s, run) for s, rows in zip(b["site"], b["rows"], strict=True) for i, r in enumerate(rows) if r["frame"] for run in [_run(rows, i)]]
-            yield pd.DataFrame(out, columns=["k", "site", "run"])
-
-    runs = _by_page(marked.withColumn("head", F.lit(False))).mapInPandas(following, "k long, site string, run long")
-    # the lists of a head have two entries at least, but for the title that may follow
-    heads = runs.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.avg((F.col("run") >= 2).cast("double")).alias("lists"), F.avg("run").alias("run")).where(f"m >= {MIN_PAGES} and lists >= 0.9 and run >= 2")
-    headed = marked.join(heads.select("k", F.lit(True).alias("head")), "k", "left").withColumn("head", F.coalesce("head", F.lit(False)))
+            out = []
+            for rows in _pages(b):
+                first = next((i for i, r in enumerate(rows) if r["title"]), len(rows))
+                for i, r in enumerate(rows):
+                    if r["frame"]:
+                        run = _run(rows, i)
+                        end = i + 1 + run
+                        clean = run > 0 and i > first and (end == len(rows) or rows[end]["frame"]) and not rows[i + 1]["rank"]
+                        out.append((r["k"], run, float(run) if clean else None))
+            yield pd.DataFrame(out, columns=["k", "run", "clean"])
+
+    runs = _by_page(marked.withColumn("most", F.lit(0))).mapInPandas(following, "k long, run long, clean double")
+    # the lists of a head have two entries at least
+    heads = runs.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.avg((F.col("run") >= 2).cast("double")).alias("lists"), F.avg("run").alias("run"), F.percentile_approx("clean", 0.9).alias("most"))
+    heads = cut(heads.where(f"m >= {MIN_PAGES} and lists >= 0.9 and run >= 2").select("k", F.coalesce("most", "run").cast("int").alias("most")))
+    headed = marked.join(broadcast_if_small(heads), "k", "left").withColumn("most", F.coalesce("most", F.lit(0)))
 
     def without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for p, s, rows in zip(b["path"], b["site"], b["rows"], strict=True):
+            for p, s, rows in zip(b["path"], b["site"], _pages(b), strict=True):
                 gone = entries(rows)
                 left = [i for i, r in enumerate(rows) if not r["frame"] and i not in gone]
-                out += [(p, s, r["n"], r["k"], bool(r["frame"]) or i in gone, len(left) == 1 and i == left[0]) for i, r in enumerate(rows)]
+                out += [(p, s, r["n"], r["k"], r["frame"] or i in gone, len(left) == 1 and i == left[0]) for i, r in enumerate(rows)]
             yield pd.DataFrame(out, columns=["path", "site", "n", "k", "frame", "only"])
 
-    final = cut(_by_page(headed).mapInPandas(without, "path string, site string, n int, k long, frame boolean, only boolean"))
+    final = cut(_by_page(headed).mapInPandas(without, "path string, site long, n int, k long, frame boolean, only boolean"))
     notices = final.where("only").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("site").alias("hosts")).where("c >= 3 and hosts >= 2").select("k", F.lit(True).alias("notice"))
     out = final.join(notices, "k", "left")
     return out.select("path", F.col("n").alias("line_no"), (F.col("frame") | (F.col("only") & F.coalesce("notice", F.lit(False)))).alias("frame"))
@@ -246,7 +279,7 @@ def frame(pages: DataFrame) -> DataFrame:
 
 def articles(pages: DataFrame, framed: DataFrame) -> DataFrame:
     """(path, article): each text without its frame; "" if nothing is left. Pages without text have no row."""
-    text = pages.where("path is not null and texte is not null").groupBy("path").agg(F.max("texte").alias("texte"))
+    text = pages.where("path is not null and texte is not null").groupBy("path").agg(F.max_by("texte", F.xxhash64("texte")).alias("texte"))
     body = text.select("path", F.posexplode(F.split("texte", "\n")).alias("line_no", "line")).join(framed, ["path", "line_no"])
     kept = F.array_sort(F.collect_list(F.when(~F.col("frame"), F.struct("line_no", "line"))))
     return body.groupBy("path").agg(F.array_join(F.transform(kept, lambda r: r["line"]), "\n").alias("article"))
