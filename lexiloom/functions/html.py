@@ -15,6 +15,8 @@ from lexiloom import schemas
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Their content is text as it stands, up to their end tag.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style")}
 
 
 class Page:
@@ -31,16 +33,11 @@ class Page:
         self.last_text: list[int] = []
         pending: list[int] = []
         at = 0
-        raw = ""
-        for m in _TAG.finditer(html):
+        while m := _TAG.search(html, at):
             name = (m[2] or "").lower()
-            if raw and not (m[1] and name == raw):
-                continue
             if m.start() > at:
-                piece = html[at : m.start()]
-                self.text.append(piece if raw else unescape(piece))
+                self.text.append(unescape(html[at : m.start()]))
             at = m.end()
-            raw = ""
             if not name:
                 continue
             if m[1]:
@@ -59,8 +56,11 @@ class Page:
                 self._close([k])
             else:
                 pending.append(k)
-                if name in ("script", "style"):
-                    raw = name
+                if name in _RAW:
+                    end = _RAW[name].search(html, at)
+                    stop = end.start() if end else len(html)
+                    self.text.append(html[at:stop])
+                    at = stop
         if at < len(html):
             self.text.append(unescape(html[at:]))
         self._close(pending)
