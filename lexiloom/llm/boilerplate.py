@@ -28,12 +28,18 @@ from lexiloom.session import broadcast_if_small, cut
 
 #: A line belongs to a host's wrapper from this share of its pages, and to the family's from this share of all pages; from MIN_PAGES anyway.
 HOST_SHARE, FAMILY_SHARE, MIN_PAGES = 0.08, 0.025, 4
+#: A line without numbers says the same wherever it stands: a smaller share of all pages makes it the family's, from so many pages on.
+FIXED_SHARE, FIXED_PAGES = 0.01, 12
 #: How many times more often than by their share of pages hosts without recurrence hold a line of the family.
 SMALL_TIMES = 5
 #: Words of lines that are aligned with slots, and how much of both must agree in order.
 SLOT_WORDS, SLOT_SHARE = (4, 45), 0.7
+#: Words, at least, of lines with a slot that never holds the same twice.
+HOLE_WORDS = 6
 #: Lines longer than this head no list and are no item of one.
 ITEM_CHARS = 130
+#: Longer lines are compared nearly as they stand, and have no slots.
+LONG_CHARS = 300
 
 # Month names count as parts of a date; signs that part the entries of a menu; how a text's lines may be bulleted.
 MONTHS = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre january february march april may june july august september october november december"
@@ -47,12 +53,23 @@ def host(title: Column) -> Column:
     return F.nullif(pystrip(named), F.lit(""))
 
 
-def template(line: Column, site: Column) -> Column:
-    """A line as a wrapper sees it: words in lower case, numbers and dates as #, the host's name as @."""
-    x = F.lower(F.regexp_replace(F.regexp_replace(line, r"\s+", " "), r"(?<=\p{L})-(?=\p{L})", ""))
-    x = F.when(site.isNotNull(), F.replace(x, F.lower(F.regexp_replace(site, r"(?<=\p{L})-(?=\p{L})", "")), F.lit(" @ "))).otherwise(x)
-    x = F.regexp_replace(x, rf"\p{{Nd}}+|(?<!\p{{L}})(?:{'|'.join(MONTHS.split())})(?!\p{{L}})", "#")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}#@]+", " "), r"#(?: #)+", "#"))
+def _plain(x: Column, keep: str = "") -> Column:
+    """Words in lower case, parts of hyphened ones together, numbers and dates as #."""
+    x = F.regexp_replace(F.lower(x), r"-(?<=\p{L}-)(?=\p{L})", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"\p{Nd}+", "#"), rf"[^\p{{L}}\p{{N}}#{keep}]+", " ")
+    return F.trim(F.regexp_replace(x, rf"#(?: (?:#|(?:{'|'.join(MONTHS.split())})(?!\p{{L}})))+", "#"))
+
+
+def _named(x: Column, name: Column) -> Column:
+    """A plain line with the host's plain name as @."""
+    padded = F.replace(F.concat(F.lit(" "), x, F.lit(" ")), F.concat(F.lit(" "), name, F.lit(" ")), F.lit(" @ "))
+    return F.when(F.instr(x, name) > 0, F.trim(padded)).otherwise(x)
+
+
+def template(rows: DataFrame, line: str, to: str) -> DataFrame:
+    """rows with a line as a wrapper sees it; column name: the host's plain name. Long lines only without spacing and digits."""
+    plain = F.when(F.length(line) > LONG_CHARS, F.regexp_replace(F.lower(line), r"[\s0-9]+", " ")).otherwise(_plain(F.col(line)))
+    return rows.withColumn("_x", plain).withColumn(to, _named(F.col("_x"), F.col("name"))).drop("_x")
 
 
 def _title(html: Column) -> Column:
@@ -66,62 +83,68 @@ def _title(html: Column) -> Column:
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """(path, load, site, n, k, t, title, item, rank, parts): one row a line of each page's text, without the text. pages: (path, html, texte).
+    """(path, load, site, n, fixed, k, t, title, item, rank, parts, pk): one row a line of each page's text, without the text. pages: (path, html, texte).
 
     k is the template's hash (0 for a line without words), t the template itself where it has few words enough for slots, parts
-    the templates of the parts that signs cut the line into. A page that names no host is its own. NULL paths and texts have no lines.
+    the templates of the parts that signs cut the line into, pk their hash. A page that names no host is its own. NULL paths and texts have no lines.
     """
-    own = pystrip(F.get(F.split("title", ">"), F.lit(2)))
     one = pages.where("path is not null and texte is not null").select("path", F.xxhash64("texte").alias("load"), _title(F.col("html")).alias("title"), "texte")
-    one = one.select("path", "load", host(F.col("title")).alias("name"), F.nullif(F.lower(F.regexp_replace(own, f"{WS}+", " ")), F.lit("")).alias("own"), "texte")
-    rows = one.select("path", "load", "name", "own", F.posexplode(F.split("texte", "\n")).alias("n", "line"))
-    rows = rows.withColumn("t", template(F.col("line"), F.col("name")))
-    title = F.when(F.length("line") <= F.length("own") + 20, F.lower(pystrip(F.regexp_replace("line", f"{WS}+", " "))) == F.col("own"))
+    one = one.withColumn("site", host(F.col("title"))).withColumn("name", _plain(F.coalesce("site", F.lit(""))))
+    one = one.select("path", "load", F.xxhash64(F.coalesce("site", F.concat(F.lit("/"), "path"))).alias("site"), F.when(F.col("name") == "", "@").otherwise(F.col("name")).alias("name"), F.get(F.split("title", ">"), F.lit(2)).alias("own"), "texte")
+    rows = template(one, "own", "own").select("path", "load", "site", "name", F.nullif("own", F.lit("")).alias("own"), F.posexplode(F.split("texte", "\n")).alias("n", "line"))
+    rows = template(rows, "line", "t")
     short = F.length("line") < ITEM_CHARS
+    words = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
     item = short & ~F.rlike("line", F.lit(r"[.;:»…]\s*$")) & ~F.rlike("line", F.lit(_BULLET))
-    rank = F.when(short, F.regexp_extract("line", r"^\s*(\p{Nd}{1,2})\.\s", 1).try_cast("int"))
-    parts = F.transform(F.split("line", _PARTS), lambda p: template(p, F.col("name")))
-    parts = F.when((F.length("line") < 400) & F.rlike("line", F.lit(_PARTS)), F.filter(parts, lambda p: ~p.isin("", "#")))
+    rank = F.when(short & F.rlike("line", F.lit(r"^\s*\p{Nd}")), F.regexp_extract("line", r"^\s*(\p{Nd}{1,2})\.\s", 1).try_cast("int"))
+    cut_up = _plain(F.regexp_replace("line", _PARTS, "\n"), r"\n")
+    parts = F.transform(F.split(cut_up, r" ?\n ?"), lambda p: _named(p, F.col("name")))
+    parts = F.when((F.length("line") < 400) & F.rlike("line", F.lit(r"[|·>•\[\]–—^*<]|\s[-/]\s|\s\s\s|^-")), F.filter(parts, lambda p: ~p.isin("", "#")))
     return rows.select(
-        "path", "load", F.xxhash64(F.coalesce("name", F.concat(F.lit("/"), "path"))).alias("site"), "n", F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"),
-        F.when((F.col("t") != "") & (F.size(F.split("t", " ")) <= SLOT_WORDS[1]), F.col("t")).alias("t"), F.coalesce(title, F.lit(False)).alias("title"), item.alias("item"), rank.alias("rank"), parts.alias("parts"),
-    )
+        "path", "load", "site", "n", (F.instr("t", "#") == 0).alias("fixed"), F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"),
+        F.when((F.col("t") != "") & (F.length("line") <= LONG_CHARS) & (words <= SLOT_WORDS[1]), F.col("t")).alias("t"), F.coalesce(F.col("t") == F.col("own"), F.lit(False)).alias("title"), item.alias("item"), rank.alias("rank"), parts.alias("parts"),
+    ).withColumn("pk", F.when(F.size("parts") > 0, F.xxhash64("parts")))
 
 
 class _Sizes:
     """Pages by host, and what of all pages lies on hosts too small to show a recurrence."""
 
     def __init__(self, every: DataFrame) -> None:
-        self.of = cut(every.groupBy("site").agg(F.count_distinct("path").alias("pages")))
+        self.of = cut(every.where("n = 0").groupBy("site").agg(F.count_distinct("path").alias("pages")))
         r = self.of.agg(F.sum("pages"), F.sum(F.when(F.col("pages") < MIN_PAGES, F.col("pages")))).first()
         self.total, self.small = float(r[0] or 0), float(r[1] or 0)
 
     def recurring(self, counts: DataFrame, often: bool = True) -> tuple[DataFrame, DataFrame]:
-        """(site, k) of hosts' wrappers, and (k) of the family's. counts: (site, k, c), c of a host's pages having k.
+        """(site, k) of hosts' wrappers, and (k) of the family's. counts: (site, k, c, fixed), c of a host's pages having k.
 
         A line that small hosts hold far more often than chance would have it, on several of them, is of the family too: what is
         sent to all hosts lies on the large ones in proportion. often: whether a share of all pages suffices.
         """
         strong = F.col("c") >= F.greatest(F.lit(MIN_PAGES), HOST_SHARE * F.col("pages"))
-        marked = cut(counts.where("k <> 0").join(self.of, "site").select("site", "k", "c", strong.alias("strong"), (F.col("pages") < MIN_PAGES).alias("small")))
-        of_all = marked.groupBy("k").agg(F.sum("c").alias("c"), F.count_if("strong").alias("hosts"), F.count_if("small").alias("small"))
+        marked = cut(counts.where("k <> 0").join(self.of, "site").select("site", "k", "c", "fixed", strong.alias("strong"), (F.col("pages") < MIN_PAGES).alias("small")))
+        of_all = marked.groupBy("k").agg(F.sum("c").alias("c"), F.max("fixed").alias("fixed"), F.count_if("strong").alias("hosts"), F.count_if("small").alias("small"))
         on_small = (F.col("small") >= MIN_PAGES) & (F.col("small") * self.total >= SMALL_TIMES * F.col("c") * self.small)
-        enough = (F.col("c") >= max(MIN_PAGES, FAMILY_SHARE * self.total)) if often else F.lit(False)
+        least = F.when(F.col("fixed"), max(FIXED_PAGES, FIXED_SHARE * self.total)).otherwise(max(MIN_PAGES, FAMILY_SHARE * self.total))
+        enough = (F.col("c") >= least) if often else F.lit(False)
         return marked.where("strong").select("site", "k"), of_all.where((F.col("hosts") >= 2) | enough | on_small).select("k")
 
 
 def _counts(rows: DataFrame) -> DataFrame:
     """(site, k, c): pages of each host with k. The lines of a page lie in one task, so repeats go before the shuffle."""
-    return rows.select(F.xxhash64("path").alias("p"), "site", "k").distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("c"))
+    return rows.select(F.xxhash64("path").alias("p"), "site", "k", "fixed").distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("c"), F.max("fixed").alias("fixed"))
 
 
 def _wildcards(rest: DataFrame, sizes: _Sizes) -> DataFrame:
     """(k) of lines that recur but for one word: a text slot that never held the same twice. rest: (site, k, t, c)."""
     w = F.split("t", " ")
-    one = rest.where(F.size(w).between(SLOT_WORDS[0], SLOT_WORDS[1] // 2)).select("site", "k", "c", w.alias("w"))
-    holes = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.xxhash64(i, F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, F.size("w"))))
-    keyed = one.select("site", "c", F.col("k").alias("line"), F.explode(holes).alias("k"))
-    _, family = sizes.recurring(keyed.groupBy("site", "k").agg(F.sum("c").alias("c")))
+    one = rest.where(F.size(w).between(HOLE_WORDS, SLOT_WORDS[1] // 2)).select("site", "k", "c", w.alias("w"))
+    one = one.select("site", "k", "c", F.transform("w", lambda x, i: F.xxhash64(x, i)).alias("h"))
+    whole = F.aggregate("h", F.size("h").cast("long"), lambda a, h: a.bitwiseXOR(h))
+    holes = F.transform("h", lambda h, i: F.xxhash64(F.col("whole").bitwiseXOR(h), i))  # all words but one
+    keyed = one.withColumn("whole", whole).select("site", "c", F.col("k").alias("line"), F.explode(holes).alias("k"))
+    held = keyed.groupBy("site", "k").agg(F.sum("c").alias("c"), F.lit(False).alias("fixed"), F.count(F.lit(1)).alias("kinds"))
+    varied = held.groupBy("k").agg(F.sum("kinds").alias("kinds"), F.sum("c").alias("c")).where("c >= 4 and kinds >= 0.5 * c").select("k")
+    _, family = sizes.recurring(held.join(varied, "k", "left_semi"))
     return keyed.join(broadcast_if_small(cut(family)), "k", "left_semi").select(F.col("line").alias("k")).distinct()
 
 
@@ -158,7 +181,7 @@ def _slots(rest: DataFrame, wrapper: DataFrame) -> DataFrame:
     return pairs.where(agree("t", "ft")).select("k").distinct()
 
 
-_ROW = ("n", "k", "frame", "most", "title", "item", "rank")
+_ROW = ("n", "load", "k", "frame", "most", "title", "item", "rank")
 
 
 def _by_page(marked: DataFrame) -> DataFrame:
@@ -168,8 +191,13 @@ def _by_page(marked: DataFrame) -> DataFrame:
 
 
 def _pages(batch: pd.DataFrame) -> Iterator[list[dict]]:
+    """Each page's lines; of several loads those of the greatest hash, of repeated rows one."""
     for cols in zip(*(batch[c] for c in _ROW), strict=True):
-        yield [dict(zip(_ROW, r, strict=True)) for r in zip(*(c.tolist() for c in cols), strict=True)]
+        rows = [dict(zip(_ROW, r, strict=True)) for r in zip(*(c.tolist() for c in cols), strict=True)]
+        if len(rows) > rows[-1]["n"] + 1:
+            load = max(r["load"] for r in rows)
+            rows = list({r["n"]: r for r in rows if r["load"] == load}.values())
+        yield rows
 
 
 def _run(rows: list[dict], i: int) -> int:
@@ -188,9 +216,9 @@ def entries(rows: list[dict]) -> set[int]:
         if not r["frame"] or not r["most"]:
             continue
         j = i + 1
-        if j < len(rows) and rows[j]["rank"] == 1 and not rows[j]["frame"]:
+        if j < len(rows) and rows[j]["rank"] == 1:
             k = 1
-            while j < len(rows) and rows[j]["rank"] == k and not rows[j]["frame"]:
+            while j < len(rows) and rows[j]["rank"] == k:
                 out.add(j)
                 j, k = j + 1, k + 1
             continue
@@ -216,32 +244,31 @@ def frame(pages: DataFrame) -> DataFrame:
     yes = lambda d, name: d.withColumn(name, F.lit(True))
 
     # groups of parts: a part is known as a line of its own, or recurs as a part
-    cells = every.where("size(parts) > 0").select("path", "load", "site", "n", F.size("parts").alias("m"), F.explode("parts").alias("t")).withColumn("k", F.xxhash64("t"))
-    _, part_family = sizes.recurring(_counts(cells.where("m > 1 and instr(t, '#') = 0")), often=False)
+    kinds = cut(every.where("pk is not null").groupBy("site", "pk").agg(F.count(F.lit(1)).alias("c"), F.first("parts").alias("parts")))
+    cells = kinds.select("site", "pk", "c", F.size("parts").alias("m"), F.explode("parts").alias("t")).withColumn("k", F.xxhash64("t"))
+    of_parts = cells.where("m > 1 and instr(t, '#') = 0").groupBy("site", "k").agg(F.sum("c").alias("c"), F.lit(False).alias("fixed"))
+    _, part_family = sizes.recurring(of_parts, often=False)
     as_part = cut(family.unionByName(part_family).distinct())
-    grouped = cells.join(yes(as_part, "ok"), "k", "left").join(yes(per_host, "here"), ["site", "k"], "left")
-    grouped = grouped.groupBy("path", "load", "n").agg(F.every(F.coalesce("ok", "here", F.lit(False))).alias("grouped"))
+    grouped = cells.join(yes(broadcast_if_small(as_part), "ok"), "k", "left").join(yes(broadcast_if_small(per_host), "here"), ["site", "k"], "left")
+    grouped = cut(grouped.groupBy("site", "pk").agg(F.every(F.coalesce("ok", "here", F.lit(False))).alias("all")).where("all").select("site", "pk"))
     # menus without signs between their entries: every word is one of short entries
-    said = every.where("t is not null").select("k", "t").distinct()
+    texts = cut(every.where("t is not null").select("k", "t", "item").distinct().groupBy("k", "t").agg(F.max("item").alias("item")))
+    said = texts.select("k", "t")
     entry = said.unionByName(cells.select("k", "t").distinct()).where("size(split(t, ' ')) <= 3").join(as_part, "k", "left_semi")
-    entry = entry.select(F.explode(F.split("t", " ")).alias("w")).distinct()
-    spaced = said.where("size(split(t, ' ')) between 4 and 30 and instr(t, '#') = 0")
-    menus = spaced.select("k", F.explode(F.split("t", " ")).alias("w")).join(yes(broadcast_if_small(cut(entry)), "is"), "w", "left").groupBy("k").agg(F.every(F.coalesce("is", F.lit(False))).alias("all")).where("all").select("k")
+    entry = yes(broadcast_if_small(cut(entry.select(F.explode(F.split("t", " ")).alias("w")).distinct())), "is")
+    spaced = texts.where("item and size(split(t, ' ')) between 4 and 30 and instr(t, '#') = 0").select("k", "t", F.substring_index("t", " ", 1).alias("w")).join(entry, "w", "left_semi")
+    menus = spaced.select("k", F.explode(F.split("t", " ")).alias("w")).join(entry, "w", "left").groupBy("k").agg(F.every(F.coalesce("is", F.lit(False))).alias("all")).where("all").select("k")
 
     line = cut(as_part.unionByName(menus).distinct())
-    exact = every.join(yes(line, "f"), "k", "left").join(yes(per_host, "h"), ["site", "k"], "left").join(grouped, ["path", "load", "n"], "left")
+    exact = every.join(broadcast_if_small(yes(line, "f")), "k", "left").join(broadcast_if_small(yes(per_host, "h")), ["site", "k"], "left").join(broadcast_if_small(yes(grouped, "grouped")), ["site", "pk"], "left")
     exact = cut(exact.select("path", "load", "site", "n", "k", "title", "item", "rank", F.coalesce("f", "h", "grouped", F.lit(False)).alias("frame")))
     # text slots: lines that recur but for one word; then lines like those known
-    texts = every.where("t is not null").groupBy("k").agg(F.min("t").alias("t"))
     rest = cut(counts.join(exact.where("not frame").select("site", "k").distinct(), ["site", "k"], "left_semi").join(texts, "k"))
-    holed = cut(_wildcards(rest, sizes))
+    holed = cut(_wildcards(rest.where("item"), sizes))
     known = line.unionByName(per_host.select("k")).unionByName(holed).distinct()
     slots = cut(_slots(rest.select("k", "t").distinct().join(holed, "k", "left_anti"), texts.join(known, "k", "left_semi")).unionByName(holed))
 
-    last = every.groupBy("path").agg(F.max("load").alias("load"))
-    flag = F.col("frame") | F.coalesce("s", F.lit(False))
-    marked = exact.join(yes(slots, "s"), "k", "left").join(last, ["path", "load"], "left_semi").groupBy("path", "site", "n", "k").agg(F.max(flag).alias("frame"), F.max("title").alias("title"), F.max("item").alias("item"), F.coalesce(F.max("rank"), F.lit(0)).alias("rank"))
-    marked = cut(marked)
+    marked = cut(exact.join(broadcast_if_small(yes(slots, "s")), "k", "left").select("path", "load", "site", "n", "k", (F.col("frame") | F.coalesce("s", F.lit(False))).alias("frame"), "title", "item", F.coalesce("rank", F.lit(0)).alias("rank")))
 
     def following(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

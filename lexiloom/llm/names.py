@@ -264,10 +264,6 @@ def writers(values: DataFrame, column: str = "auteur") -> DataFrame:
     distinct = values.select(F.col(column).alias("value")).where("value is not null").distinct()
     p = cut(distinct.select("value", parsed("value").alias("p")).select("value", "p.*").where("kind is not null"))
 
-    bodies = p.where("kind = 'body'").select("value", F.col("body").alias("id"))
-    forms = bodies.select("id").distinct().withColumn("text", F.replace("id", F.lit(" "), F.lit("")))
-    body = bodies.join(_grouped(forms, _near(forms, "text")), "id").select("value", F.concat(F.lit("b:"), "component").alias("writer"))
-
     r = p.where("kind = 'person'").select("value", "marked", F.size("readings").alias("n"), F.inline("readings"))
     known = _established(r)
     plain = F.replace("given", F.lit("-"), F.lit(""))
@@ -277,8 +273,14 @@ def writers(values: DataFrame, column: str = "auteur") -> DataFrame:
 
     named = r.where("known and (n = 1 or _sure = 1)")
     anchors = named.groupBy("family", "g").agg(F.max_by("given", F.length("given")).alias("given"))
-    anchors = anchors.withColumn("id", F.concat_ws("|", "family", "g"))
-    anchors = cut(_grouped(anchors, _near(anchors, "family", "g")).select("id", "family", "given", "component"))
+    anchors = anchors.select(F.concat_ws("|", "family", "g").alias("id"), "family", "g", "given")
+    bodies = p.where("kind = 'body'").select("value", F.concat(F.lit("b:"), "body").alias("id"))
+    # organisations and anchors in one graph; what must agree between them is the given name, or being an organisation
+    forms = bodies.select("id").distinct().select("id", F.replace(F.substring("id", 3, 10**6), F.lit(" "), F.lit("")).alias("text"), F.lit("b:").alias("with"))
+    forms = forms.unionByName(anchors.select("id", F.col("family").alias("text"), F.col("g").alias("with")))
+    grouped = cut(_grouped(forms, _near(forms, "text", "with")).select("id", "component"))
+    body = bodies.join(grouped, "id").select("value", F.col("component").alias("writer"))
+    anchors = cut(anchors.join(grouped, "id").select("id", "family", "given", "component"))
     first = named.select("value", F.concat_ws("|", "family", "g").alias("id")).join(anchors, "id").select("value", "component")
     rest = r.join(first.select("value"), "value", "left_anti")
     second = cut(_attach(rest.select("value", "family", "given"), anchors).unionByName(first))
