@@ -18,6 +18,8 @@ Lines outside the wrapper are the article. A text that agencies send to many hos
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,8 +57,8 @@ def host(title: Column) -> Column:
 
 def _plain(x: Column, keep: str = "") -> Column:
     """Words in lower case, parts of hyphened ones together, numbers and dates as #."""
-    x = F.regexp_replace(F.lower(x), r"-(?<=\p{L}-)(?=\p{L})", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"\p{Nd}+", "#"), rf"[^\p{{L}}\p{{N}}#{keep}]+", " ")
+    x = F.lower(F.when(F.contains(x, F.lit("-")), F.regexp_replace(x, r"-(?<=\p{L}-)(?=\p{L})", "")).otherwise(x))
+    x = F.regexp_replace(F.regexp_replace(x, r"\p{Nd}+", "#"), rf"[^a-z#{keep}\p{{L}}\p{{N}}]+", " ")
     return F.trim(F.regexp_replace(x, rf"#(?: (?:#|(?:{'|'.join(MONTHS.split())})(?!\p{{L}})))+", "#"))
 
 
@@ -99,7 +101,8 @@ def lines(pages: DataFrame) -> DataFrame:
     rank = F.when(short & F.rlike("line", F.lit(r"^\s*\p{Nd}")), F.regexp_extract("line", r"^\s*(\p{Nd}{1,2})\.\s", 1).try_cast("int"))
     cut_up = _plain(F.regexp_replace("line", _PARTS, "\n"), r"\n")
     parts = F.transform(F.split(cut_up, r" ?\n ?"), lambda p: _named(p, F.col("name")))
-    parts = F.when((F.length("line") < 400) & F.rlike("line", F.lit(r"[|·>•\[\]–—^*<]|\s[-/]\s|\s\s\s|^-")), F.filter(parts, lambda p: ~p.isin("", "#")))
+    signs = reduce(or_, (F.contains("line", F.lit(x)) for x in ("|", "·", ">", "•", "[", "]", "–", "—", "^", "*", "<<", " - ", " / ", "   ")), F.startswith("line", F.lit("-")))
+    parts = F.when((F.length("line") < 400) & signs, F.filter(parts, lambda p: ~p.isin("", "#")))
     return rows.select(
         "path", "load", "site", "n", (F.instr("t", "#") == 0).alias("fixed"), F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"),
         F.when((F.col("t") != "") & (F.length("line") <= LONG_CHARS) & (words <= SLOT_WORDS[1]), F.col("t")).alias("t"), F.coalesce(F.col("t") == F.col("own"), F.lit(False)).alias("title"), item.alias("item"), rank.alias("rank"), parts.alias("parts"),
@@ -149,9 +152,10 @@ def _wildcards(rest: DataFrame, sizes: _Sizes) -> DataFrame:
 
 
 def _grams(t: Column) -> Column:
-    w = F.split(t, " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 2))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, F.lit(3)))))
+    """Hashes of a template's word triples."""
+    h = F.transform(F.split(t, " "), lambda x: F.xxhash64(x))
+    twos = F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), lambda x, y: F.xxhash64(x, y))
+    return F.array_distinct(F.zip_with(F.slice(twos, F.lit(1), F.greatest(F.lit(1), F.size(h) - 2)), F.slice(h, F.lit(3), F.size(h)), lambda x, y: F.xxhash64(x, y)))
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -167,10 +171,11 @@ def common_words(a: list[str], b: list[str]) -> int:
 def _slots(rest: DataFrame, wrapper: DataFrame) -> DataFrame:
     """(k) of templates of rest that are wrapper lines but for text slots. Both: (k, t)."""
     words = F.size(F.split("t", " "))
-    fit = lambda d: d.where(words.between(*SLOT_WORDS)).select("k", "t", words.alias("w"), _grams(F.col("t")).alias("g"))
-    a, b = fit(rest), fit(wrapper).select(F.col("k").alias("fk"), F.col("t").alias("ft"), F.col("w").alias("fw"), F.explode("g").alias("g"))
+    # the triples stand in the explode itself: as a column, Spark would make them once more for a filter of its own
+    fit = lambda d: d.where(words.between(*SLOT_WORDS)).select("k", words.alias("w"), F.explode(_grams(F.col("t"))).alias("g"))
+    a, b = fit(rest), fit(wrapper).select(F.col("k").alias("fk"), F.col("w").alias("fw"), "g")
     # three of ten triples at least survive where seven of ten words agree in order within few slots
-    met = a.select("k", "w", F.explode("g").alias("g")).join(broadcast_if_small(cut(b.select("fk", "fw", "g"))), "g").where(f"least(w, fw) >= {SLOT_SHARE / (2 - SLOT_SHARE)} * greatest(w, fw)")
+    met = a.join(broadcast_if_small(cut(b)), "g").where(f"least(w, fw) >= {SLOT_SHARE / (2 - SLOT_SHARE)} * greatest(w, fw)")
     met = met.groupBy("k", "fk").agg(F.count(F.lit(1)).alias("shared"), F.max("w").alias("w")).where("shared >= 0.15 * (w - 2)").select("k", "fk")
     pairs = met.join(rest.select("k", "t"), "k").join(wrapper.select(F.col("k").alias("fk"), F.col("t").alias("ft")), "fk")
 
@@ -266,7 +271,8 @@ def frame(pages: DataFrame) -> DataFrame:
     rest = cut(counts.join(exact.where("not frame").select("site", "k").distinct(), ["site", "k"], "left_semi").join(texts, "k"))
     holed = cut(_wildcards(rest.where("item"), sizes))
     known = line.unionByName(per_host.select("k")).unionByName(holed).distinct()
-    slots = cut(_slots(rest.select("k", "t").distinct().join(holed, "k", "left_anti"), texts.join(known, "k", "left_semi")).unionByName(holed))
+    opened = rest.select("k").distinct().join(broadcast_if_small(holed), "k", "left_anti")
+    slots = cut(_slots(texts.join(opened, "k", "left_semi").select("k", "t"), texts.join(broadcast_if_small(cut(known)), "k", "left_semi").select("k", "t")).unionByName(holed))
 
     marked = cut(exact.join(broadcast_if_small(yes(slots, "s")), "k", "left").select("path", "load", "site", "n", "k", (F.col("frame") | F.coalesce("s", F.lit(False))).alias("frame"), "title", "item", F.coalesce("rank", F.lit(0)).alias("rank")))
 

@@ -154,8 +154,8 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     its length, in steps of _CHUNK units. Private-use characters in a text count as letters only where they aren't placeholders.
     """
     own = r"[\x{e000}-\x{e003}\x{e010}-\x{e013}\x{e020}\x{e030}]"
-    clean = docs.select(key, F.when(F.rlike(text, F.lit(own)), F.regexp_replace(text, own, "x")).otherwise(F.col(text)).alias("_t"))
-    m = masked(clean.where("_t is not null"), "_t").select(key, F.split("_m", CUT).alias("_p"))
+    clean = docs.where(F.col(text).isNotNull()).select(key, F.when(F.rlike(text, F.lit(own)), F.regexp_replace(text, own, "x")).otherwise(F.col(text)).alias("_t"))
+    m = masked(clean, "_t").select(key, F.split("_m", CUT).alias("_p"))
     chunks = F.transform(F.sequence(F.lit(0), F.size("_p") - 1, F.lit(_CHUNK)), lambda i: F.slice("_p", i + 1, F.lit(_CHUNK)))
     m = m.select(key, chunks.alias("_c"))
     sums = F.transform("_c", lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + F.length(p)))
