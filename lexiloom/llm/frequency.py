@@ -71,7 +71,7 @@ def _aggregate(part: _Part, folder: str) -> Iterator[pa.RecordBatch]:
     rows = pa.RecordBatchReader.from_batches(_SCHEMA, part.batches())
     with duckdb.connect(config={"threads": 1, "memory_limit": f"{DUCKDB_MB}MB", "temp_directory": folder}) as con:
         sql = "select any_value(h)::bigint h, token, sum(occurrences)::bigint occurrences, sum(articles)::bigint articles from rows group by token"
-        yield from con.execute(sql).to_arrow_reader(65536)
+        yield from con.sql(sql).to_arrow_reader(65536)
 
 
 def radix(batches: Iterable[pa.RecordBatch], folder: str, hold: int = HOLD_ROWS, shift: int = 64, name: str = "r") -> Iterator[pa.RecordBatch]:

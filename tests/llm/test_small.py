@@ -250,20 +250,26 @@ def test_sentence_places(spark):
     df = spark.createDataFrame([(1, long), (2, None), (3, "ab. C.")], "doc_id int, text string")
     got = sentences.sentences(df).toPandas()
     one = got[got.doc_id == 1].sort_values("debut")
-    assert list(one.debut) == [15 * i for i in range(1000)] and set(one.fin - one.debut) == {14 - 0}
+    assert list(one.debut) == [14 * i for i in range(1000)] and set(one.fin - one.debut) == {13}
     assert 2 not in set(got.doc_id) and len(got[got.doc_id == 3]) == 2
 
 
 # p1
 
 
-def _site(name, n, extra=()):
-    menu = ["Accueil", "Presse | Agenda | Forum", f"© 2004 {name} – Tous droits réservés"]
+_WORDS = "banc bois câble canal carte chaîne champ coeur corde couche dune eau encre essai étude feu fibre fil filtre four gaz gel graine huile jour lac laser lent lien lourd mer mesure métal mince miroir moteur mur neige nuage onde papier pile pluie pont prix puits racine robot roche sable sel seuil sol sonde table tige toile vent verre vis zinc".split()
+
+
+def _site(name, n):
+    """Pages of a site, each with the places of its frame lines. Articles share no wording."""
+    rng = np.random.default_rng(sum(map(ord, name)))
+    say = lambda k: " ".join(rng.choice(_WORDS, k))
     for i in range(n):
-        title = f"Vers la pile {name} {chr(97 + i % 26)}{i}"
-        body = [title, f"Une équipe {name} numéro {i} étudie un objet {chr(97 + i % 26) * 3} assez rare.", f"Le prix de {chr(97 + i % 26) * 4} reste élevé à {name}, selon la source {i}."]
-        lists = ["À lire aussi", f"Titre un {name}{i}", f"Autre titre {i}{name}", f"Dernier {i * 7} sujet {name}"]
+        title = f"{say(5)}".capitalize()
+        body = [title, f"{say(12)}.".capitalize(), f"{say(9)} {i}. {say(14)}.".capitalize()]
+        lists = ["À lire aussi", *(say(5).capitalize() for _ in range(3))]
         ad = ["Publicité", f"Entreprise{name.split()[-1]}{chr(97 + i % 26)}{chr(97 + i // 26)} Optique : -{i} % sur toutes les loupes !"]
+        menu = ["Accueil", "Presse | Agenda | Forum", f"© 2004 {name} – Tous droits réservés"]
         yield f"B/{name}-{i}.htm", f"<title>3 mai &gt; Bulletin {name} {i} &gt; {title}</title>", menu[:2] + body[:2] + ad + body[2:] + menu[2:] + lists, {0, 1, 4, 5, 7, 8, 9, 10, 11}
 
 
