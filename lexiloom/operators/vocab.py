@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text
 from lexiloom.operators import index
-from lexiloom.session import broadcast_if_small
+from lexiloom.session import broadcast_if_small, cut
 
 LOW, HIGH = 0.5, 20.0
 
@@ -24,8 +24,8 @@ def antidictionary(freq: DataFrame, low: float = LOW, high: float = HIGH) -> Dat
 
 
 def exclude(tokens: DataFrame, stop: DataFrame) -> DataFrame:
-    """Token rows whose token isn't in the stop list."""
-    return tokens.join(broadcast_if_small(stop.select("token").distinct()), "token", "left_anti").select("article", "pos", "token")
+    """Token rows whose token isn't in the stop list, which is written once: counting it must not make it twice."""
+    return tokens.join(broadcast_if_small(cut(stop.select("token").distinct())), "token", "left_anti").select("article", "pos", "token")
 
 
 def rules(substitutions: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def substitute(docs: DataFrame, rule: DataFrame, fields: tuple[str, ...] = ("tex
 
 
 def filter_corpus(docs: DataFrame, rule: DataFrame) -> DataFrame:
-    """`substitute` on texte, titre, rubrique and every image legend; all else stays."""
+    """`substitute` on texte, titre, rubrique and every image legend; all else stays. The rules are written once, for both passes."""
+    rule = cut(rule)
     images = docs.select("article", F.posexplode("images.image").alias("_k", "_img")).select(
         F.concat_ws("\x00", F.col("article"), F.col("_k").cast("string")).alias("_id"), "article", "_k", "_img.urlimage", "_img.legendeimage"
     )
