@@ -79,7 +79,8 @@ def _inside(x: Column) -> Column:
     plain = rf"[^{OPEN}-{CLOSE_COLON}.!?…。！？｡;।؟]{{0,{QUOTE}}}+"
     masked = F.regexp_replace(x, rf"({OPEN}{plain}|\G(?<!^){plain})[.!?…。！？｡;।؟](?={near}{CLOSE})", f"$1{INSIDE}")
     after_colon = rf"(?<=[:：]{_SP}?){OPEN}({near}){CLOSE}"
-    masked = F.when(F.rlike(masked, F.lit(rf"[:：]{_SP}?{OPEN}")), F.regexp_replace(masked, after_colon, f"{OPEN_COLON}$1{CLOSE_COLON}")).otherwise(masked)
+    # it matters where sentences follow each other without a blank
+    masked = F.when(F.rlike(x, F.lit(_CJK_END)), F.regexp_replace(masked, after_colon, f"{OPEN_COLON}$1{CLOSE_COLON}")).otherwise(masked)
     return F.when(F.instr(x, CLOSE) > 0, masked).otherwise(x)
 
 
@@ -97,8 +98,8 @@ def _wraps(line: Column, following: Column, longest: Column) -> Column:
     marked = F.lit(rf"^{_SP}*{_MARKER}{_SP}")
     bullet = F.rlike(following, F.lit(rf"^{_SP}*[•*·▪◦‣]{_SP}")) | (F.rlike(following, marked) & (F.rlike(line, marked) | ~full))
     caseless = F.rlike(following, F.lit(rf"^{_SP}*\p{{Lo}}"))
-    something = (F.trim(line) != "") & (word > 0)
-    return something & ~bullet & (low | (full & ~finished & ~caseless))
+    # cheap and rare tests first
+    return (low | (full & ~finished & ~caseless & (word > 0))) & (F.trim(line) != "") & ~bullet
 
 
 def _lines(x: Column) -> tuple[Column, Column]:
@@ -134,7 +135,7 @@ def _cuts(x: Column) -> Column:
 def masked(docs: DataFrame, text: str) -> DataFrame:
     """docs with `_m`: the text masked and marked."""
     x = F.col(text)
-    greek = F.when(F.instr(x, ";") > 0, F.regexp_replace(x, rf"(?<=[\x{{370}}-\x{{3ff}}\x{{1f00}}-\x{{1fff}}])[;\x{{37e}}](?={_SP}|$)", GREEK_END)).otherwise(x)
+    greek = F.when(F.instr(x, ";") > 0, F.regexp_replace(x, rf"[;\x{{37e}}](?<=[\x{{370}}-\x{{3ff}}\x{{1f00}}-\x{{1fff}}][;\x{{37e}}])(?={_SP}|$)", GREEK_END)).otherwise(x)
     one = docs.withColumn("_m", _inside(_dots(_quotes(greek))))
     longest, lines = _lines(F.col("_m"))
     two = one.withColumn("_longest", longest).withColumn("_m", F.when(F.instr("_m", "\n") > 0, lines).otherwise(F.col("_m"))).drop("_longest")
@@ -154,7 +155,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     its length, in steps of _CHUNK units. Private-use characters in a text count as letters only where they aren't placeholders.
     """
     own = r"[\x{e000}-\x{e003}\x{e010}-\x{e013}\x{e020}\x{e030}]"
-    clean = docs.where(F.col(text).isNotNull()).select(key, F.when(F.rlike(text, F.lit(own)), F.regexp_replace(text, own, "x")).otherwise(F.col(text)).alias("_t"))
+    clean = docs.where(F.col(text).isNotNull()).select(key, F.when(F.rlike(text, F.lit(r"[\x{e000}-\x{e030}]")), F.regexp_replace(text, own, "x")).otherwise(F.col(text)).alias("_t"))
     m = masked(clean, "_t").select(key, F.split("_m", CUT).alias("_p"))
     chunks = F.transform(F.sequence(F.lit(0), F.size("_p") - 1, F.lit(_CHUNK)), lambda i: F.slice("_p", i + 1, F.lit(_CHUNK)))
     m = m.select(key, chunks.alias("_c"))
