@@ -93,6 +93,14 @@ whole as (select article, l from blocks where len(list_filter(l, lambda b: not r
 rows as (select article, (generate_subscripts(l, 1) - 1)::int pos, unnest(l) b from whole) select article, pos, {src} urlimage, {legend} legendeimage from rows"""
 
 
+def _documents() -> str:
+    """Whole documents of the pages, images as text."""
+    rows, _, last = _images().rpartition(" select article, pos,")
+    joined = "string_agg(coalesce(" + last.split(" urlimage,")[0].strip() + ", '') || '|' || coalesce(" + last.split(" urlimage,")[1].rpartition(" legendeimage")[0].strip() + ", ''), ';' order by pos)"
+    return f"""{rows}, pics as (select article, {joined} images from rows group by article)
+select date, bulletin, article, titre, rubrique, texte, auteur, contacts, images, failed from page left join pics using (article)"""
+
+
 def _xml() -> str:
     esc = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     tag = lambda t, x: f"coalesce('<{t}>' || {esc(x)} || '</{t}>', '')"
@@ -154,6 +162,7 @@ def build() -> dict[str, str]:
         "page_auteur": page("auteur"),
         "page_meta_auteur": page("meta", "auteur"),
         "page_images": _images(),
+        "page_documents": _documents(),
         "page_contacts": page("contacts"),
         "page_contact_auteur": page("contact_auteur", "auteur"),
         "page_spans": f"with {PARSED} select article, (generate_subscripts(spans, 1) - 1)::int pos, unnest(spans) as text from page",
