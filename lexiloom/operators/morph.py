@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.ml.feature import StopWordsRemover
 
 from lexiloom.functions.stem_fr import stem
 from lexiloom.functions.text import is_alpha, words
 from lexiloom.session import broadcast_if_small
 
+# Spark's list of French stop words.
+STOP_WORDS = """
+au aux avec ce ces dans de des du elle en et eux il je la le les leur lui ma mais me même mes moi mon ne nos notre nous on ou par
+pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous c d j l à m n s t y été étée étées étés étant
+étante étants étantes suis es est sommes êtes sont serai seras sera serons serez seront serais serait serions seriez seraient
+étais était étions étiez étaient fus fut fûmes fûtes furent sois soit soyons soyez soient fusse fusses fût fussions fussiez
+fussent ayant ayante ayantes ayants eu eue eues eus ai as avons avez ont aurai auras aura aurons aurez auront aurais aurait
+aurions auriez auraient avais avait avions aviez avaient eut eûmes eûtes eurent aie aies ait ayons ayez aient eusse eusses eût
+eussions eussiez eussent
+""".split()
+
 
 def alpha_words(docs: DataFrame, *fields: str) -> DataFrame:
     """(article, pos, word): words between white space that are letters only; pos counts all words."""
@@ -29,9 +39,9 @@ def lemmas(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def useful_words(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Lemmas of the alphabetic words that aren't French stop words (Spark's list: a fixed 156)."""
+    """Lemmas of the alphabetic words that aren't French stop words ."""
     spark = docs.sparkSession
-    stop = spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords("french")], "stop string")
+    stop = spark.createDataFrame([(w,) for w in STOP_WORDS], "stop string")
     kept = alpha_words(docs).join(F.broadcast(stop), F.lower("word") == F.col("stop"), "left_anti")
     return lemmas(kept, lexicon)
 

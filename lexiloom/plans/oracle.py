@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
-
 from lexiloom.functions.text import TOKEN, WS
+from lexiloom.operators.morph import STOP_WORDS
 from lexiloom.plans.queries import LEXICON
 
 NBSP = "\xa0"
@@ -111,7 +110,7 @@ def _xml() -> str:
 
 
 def _useful() -> str:
-    values = ", ".join("('" + w.replace("'", "''") + "')" for w in StopWordsRemover.loadDefaultStopWords("french"))
+    values = ", ".join("('" + w.replace("'", "''") + "')" for w in STOP_WORDS)
     return f"with {LEMMAS}, stops(word) as (values {values}) select article, pos, word, reduction from lemmas where lower(word) not in (select word from stops)"
 
 
