@@ -36,8 +36,6 @@ FIXED_SHARE, FIXED_PAGES = 0.01, 12
 SMALL_TIMES = 5
 #: Words of lines that are aligned with slots, and how much of both must agree in order.
 SLOT_WORDS, SLOT_SHARE = (4, 45), 0.7
-#: Words, at least, of lines with a slot that never holds the same twice.
-HOLE_WORDS = 6
 #: Lines longer than this head no list and are no item of one.
 ITEM_CHARS = 130
 #: Longer lines are compared nearly as they stand, and have no slots.
@@ -138,15 +136,24 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def _wildcards(rest: DataFrame, sizes: _Sizes) -> DataFrame:
-    """(k) of lines that recur but for one word: a text slot that never held the same twice. rest: (site, k, t, c)."""
+    """(k) of lines that recur but for one word: a text slot, whatever it holds. rest: (site, k, t, c).
+
+    Lines that agree but for one word agree in one whole half. Only those whose half stands on MIN_PAGES pages in several lines are
+    laid out by the words of their other half; the rest can't recur with a slot.
+    """
     w = F.split("t", " ")
-    one = rest.where(F.size(w).between(HOLE_WORDS, SLOT_WORDS[1] // 2)).select("site", "k", "c", w.alias("w"))
-    one = one.select("site", "k", "c", F.transform("w", lambda x, i: F.xxhash64(x, i)).alias("h"))
+    one = rest.where(F.size(w) >= SLOT_WORDS[0]).select("site", "k", "c", F.transform(w, lambda x, i: F.xxhash64(x, i)).alias("h"))
+    m = F.floor(F.size("h") / 2).cast("int")
+    half = lambda side, at, n: F.struct(F.xxhash64(F.lit(side), F.size("h"), F.slice("h", at, n)).alias("half"), F.lit(side).alias("side"))
+    halved = one.withColumn("_h", F.explode(F.array(half(0, F.lit(1), m), half(1, m + 1, F.size("h"))))).select("site", "k", "c", "h", "_h.*")
+    shared = halved.groupBy("half").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sum("c").alias("c")).where(f"a <> b and c >= {MIN_PAGES}").select("half")
+    met = halved.join(broadcast_if_small(cut(shared)), "half", "left_semi")
     whole = F.aggregate("h", F.size("h").cast("long"), lambda a, h: a.bitwiseXOR(h))
     holes = F.transform("h", lambda h, i: F.xxhash64(F.col("whole").bitwiseXOR(h), i))  # all words but one
-    keyed = one.withColumn("whole", whole).select("site", "c", F.col("k").alias("line"), F.explode(holes).alias("k"))
-    held = keyed.groupBy("site", "k").agg(F.sum("c").alias("c"), F.lit(False).alias("fixed"), F.count(F.lit(1)).alias("kinds"))
-    varied = held.groupBy("k").agg(F.sum("kinds").alias("kinds"), F.sum("c").alias("c")).where("c >= 4 and kinds >= 0.5 * c").select("k")
+    holes = F.when(F.col("side") == 0, F.slice(holes, m + 1, F.size("h"))).otherwise(F.slice(holes, F.lit(1), m))
+    keyed = met.withColumn("whole", whole).select("site", "c", F.col("k").alias("line"), F.explode(holes).alias("k"))
+    held = keyed.groupBy("site", "k").agg(F.sum("c").alias("c"), F.lit(False).alias("fixed"))
+    varied = held.groupBy("k").agg(F.sum("c").alias("c")).where(f"c >= {MIN_PAGES}").select("k")
     _, family = sizes.recurring(held.join(varied, "k", "left_semi"))
     return keyed.join(broadcast_if_small(cut(family)), "k", "left_semi").select(F.col("line").alias("k")).distinct()
 
@@ -269,7 +276,7 @@ def frame(pages: DataFrame) -> DataFrame:
     exact = cut(exact.select("path", "load", "site", "n", "k", "title", "item", "rank", F.coalesce("f", "h", "grouped", F.lit(False)).alias("frame")))
     # text slots: lines that recur but for one word; then lines like those known
     rest = cut(counts.join(exact.where("not frame").select("site", "k").distinct(), ["site", "k"], "left_semi").join(texts, "k"))
-    holed = cut(_wildcards(rest.where("item"), sizes))
+    holed = cut(_wildcards(rest, sizes))
     known = line.unionByName(per_host.select("k")).unionByName(holed).distinct()
     opened = rest.select("k").distinct().join(broadcast_if_small(holed), "k", "left_anti")
     slots = cut(_slots(texts.join(opened, "k", "left_semi").select("k", "t"), texts.join(broadcast_if_small(cut(known)), "k", "left_semi").select("k", "t")).unionByName(holed))

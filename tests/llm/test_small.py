@@ -294,3 +294,34 @@ def test_frames(spark):
     text = dict(map(tuple, boilerplate.articles(df, framed).collect()))
     assert text["B/pur.htm"] == "Un article seul.\nDeux lignes." and text["B/404.htm"] == "" and len(text) == len(pages) + 1
     assert boilerplate.frame(df.limit(0)).count() == 0
+
+
+def _framed(spark, pages):
+    """The frame lines of each path. pages: (path, host, title, lines)."""
+    data = [(p, f"<title>3 mai &gt; Bulletin {s} {i} &gt; {t}</title>", "\n".join(ls)) for i, (p, s, t, ls) in enumerate(pages)]
+    got: dict[str, set[str]] = {p: set() for p, *_ in pages}
+    at = {p: ls for p, _, _, ls in pages}
+    for r in boilerplate.frame(spark.createDataFrame(data, "path string, html string, texte string")).where("frame").collect():
+        got[r["path"]].add(at[r["path"]][r["line_no"]])
+    return got
+
+
+def _body(rng):
+    say = lambda k: " ".join(rng.choice(_WORDS, k)).capitalize()
+    return say(5), [f"{say(12)}.", f"{say(14)}."]
+
+
+HOSTS = ("Portail Abagouoz", "Veille Bebemont", "Lettre Cucucourt")
+_odd = lambda i, j=0: "Xa" + chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + j)
+
+
+def test_one_word_slots(spark):
+    slotted = ["Cet article vous est offert par {}.", "Offert ici par {} ;", "- Espace offert par {} ce mois", "Bonjour cher {} bienvenue", " ".join(["Ce service vous est proposé sans frais par {} pour"] + ["toute demande voyez notre bureau central"] * 4)]
+    rng = np.random.default_rng(5)
+    pages, want = [], {}
+    for i in range(60):
+        title, body = _body(rng)
+        frame = [x.format(_odd(i, j)) for j, x in enumerate(slotted)]
+        pages.append((f"B/{i}.htm", HOSTS[i % 3], title, [title, body[0], *frame, body[1]]))
+        want[f"B/{i}.htm"] = set(frame)
+    assert _framed(spark, pages) == want
