@@ -5,7 +5,7 @@ one host are aligned line by line, all at once, by counting instead of pair by p
 
 1. Lines that agree, numbers and dates and the host's own name apart, align. What recurs on a host's pages is a fixed or optional line
    of its wrapper; what is so on several hosts, or on many pages at all, is one of the family's, which hosts of one page lean on.
-2. A line that mismatches is aligned with the wrapper lines that share word triples with it: where most words agree in order, the
+2. A line that mismatches is aligned with the wrapper lines that share enough words with it: where most words agree in order, the
    differing ones are a text slot.
 3. A line of several parts all of which are known is a repeated group (a menu).
 4. A wrapper line that is always followed by a run of varying short lines heads a repeated group of slots (lists of other articles):
@@ -35,7 +35,7 @@ FIXED_SHARE, FIXED_PAGES = 0.01, 12
 #: How many times more often than by their share of pages hosts without recurrence hold a line of the family.
 SMALL_TIMES = 5
 #: Words of lines that are aligned with slots, and how much of both must agree in order.
-SLOT_WORDS, SLOT_SHARE = (4, 45), 0.7
+SLOT_WORDS, SLOT_SHARE = 4, 0.7
 #: Lines longer than this head no list and are no item of one.
 ITEM_CHARS = 130
 #: Longer lines are compared nearly as they stand, and have no slots.
@@ -103,7 +103,7 @@ def lines(pages: DataFrame) -> DataFrame:
     parts = F.when((F.length("line") < 400) & signs, F.filter(parts, lambda p: ~p.isin("", "#")))
     return rows.select(
         "path", "load", "site", "n", (F.instr("t", "#") == 0).alias("fixed"), F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"),
-        F.when((F.col("t") != "") & (F.length("line") <= LONG_CHARS) & (words <= SLOT_WORDS[1]), F.col("t")).alias("t"), F.coalesce(F.col("t") == F.col("own"), F.lit(False)).alias("title"), item.alias("item"), rank.alias("rank"), parts.alias("parts"),
+        F.when((F.col("t") != "") & (F.length("line") <= LONG_CHARS) & (words <= 45), F.col("t")).alias("t"), F.coalesce(F.col("t") == F.col("own"), F.lit(False)).alias("title"), item.alias("item"), rank.alias("rank"), parts.alias("parts"),
     ).withColumn("pk", F.when(F.size("parts") > 0, F.xxhash64("parts")))
 
 
@@ -142,7 +142,7 @@ def _wildcards(rest: DataFrame, sizes: _Sizes) -> DataFrame:
     laid out by the words of their other half; the rest can't recur with a slot.
     """
     w = F.split("t", " ")
-    one = rest.where(F.size(w) >= SLOT_WORDS[0]).select("site", "k", "c", F.transform(w, lambda x, i: F.xxhash64(x, i)).alias("h"))
+    one = rest.where(F.size(w) >= SLOT_WORDS).select("site", "k", "c", F.transform(w, lambda x, i: F.xxhash64(x, i)).alias("h"))
     m = F.floor(F.size("h") / 2).cast("int")
     half = lambda side, at, n: F.struct(F.xxhash64(F.lit(side), F.size("h"), F.slice("h", at, n)).alias("half"), F.lit(side).alias("side"))
     halved = one.withColumn("_h", F.explode(F.array(half(0, F.lit(1), m), half(1, m + 1, F.size("h"))))).select("site", "k", "c", "h", "_h.*")
@@ -158,37 +158,42 @@ def _wildcards(rest: DataFrame, sizes: _Sizes) -> DataFrame:
     return keyed.join(broadcast_if_small(cut(family)), "k", "left_semi").select(F.col("line").alias("k")).distinct()
 
 
-def _grams(t: Column) -> Column:
-    """Hashes of a template's word triples."""
-    h = F.transform(F.split(t, " "), lambda x: F.xxhash64(x))
-    twos = F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), lambda x, y: F.xxhash64(x, y))
-    return F.array_distinct(F.zip_with(F.slice(twos, F.lit(1), F.greatest(F.lit(1), F.size(h) - 2)), F.slice(h, F.lit(3), F.size(h)), lambda x, y: F.xxhash64(x, y)))
-
-
 def common_words(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, by bits of one number (Hyyrö)."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    every = v = (1 << len(b)) - 1
     for x in a:
-        before = 0
-        for j, y in enumerate(b):
-            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
+        u = v & at.get(x, 0)
+        v = ((v + u) | (v - u)) & every
+    return len(b) - v.bit_count()
 
 
 def _slots(rest: DataFrame, wrapper: DataFrame) -> DataFrame:
-    """(k) of templates of rest that are wrapper lines but for text slots. Both: (k, t)."""
-    words = F.size(F.split("t", " "))
-    # the triples stand in the explode itself: as a column, Spark would make them once more for a filter of its own
-    fit = lambda d: d.where(words.between(*SLOT_WORDS)).select("k", words.alias("w"), F.explode(_grams(F.col("t"))).alias("g"))
-    a, b = fit(rest), fit(wrapper).select(F.col("k").alias("fk"), F.col("w").alias("fw"), "g")
-    # three of ten triples at least survive where seven of ten words agree in order within few slots
-    met = a.join(broadcast_if_small(cut(b)), "g").where(f"least(w, fw) >= {SLOT_SHARE / (2 - SLOT_SHARE)} * greatest(w, fw)")
-    met = met.groupBy("k", "fk").agg(F.count(F.lit(1)).alias("shared"), F.max("w").alias("w")).where("shared >= 0.15 * (w - 2)").select("k", "fk")
-    pairs = met.join(rest.select("k", "t"), "k").join(wrapper.select(F.col("k").alias("fk"), F.col("t").alias("ft")), "fk")
+    """(k) of templates of rest that are wrapper lines but for text slots. Both: (k, t).
+
+    Where SLOT_SHARE of both lines' words agree in order, the lines have `least` of the words of either in common, wherever those
+    stand. So in any one order of words, here the rarest of the wrapper first, what is left of each line without its last
+    `least` * words - 1 shares a word (prefix filter); and from the first such word on, enough words are left. No pair is lost.
+    """
+    least = SLOT_SHARE / (2 - SLOT_SHARE)
+    said = lambda d: d.where(F.size(F.split("t", " ")) >= SLOT_WORDS).select("k", F.size(F.split("t", " ")).alias("w"), F.explode(F.transform(F.split("t", " "), lambda x: F.xxhash64(x))).alias("g"))
+    known = cut(said(wrapper))
+    rare = broadcast_if_small(cut(known.groupBy("g").agg(F.count(F.lit(1)).alias("n"))))
+
+    def rarest(d: DataFrame) -> DataFrame:
+        r = d.join(rare, "g").groupBy("k", "w").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("r"))
+        r = r.withColumn("spare", F.size("r") - F.ceil(least * F.col("w") - 1e-9).cast("int") + 1).where("spare > 0")
+        return r.select("k", "w", F.size("r").alias("m"), F.posexplode(F.slice("r.g", F.lit(1), F.col("spare"))).alias("i", "g")).groupBy("k", "w", "m", "g").agg(F.min("i").alias("i"))
+
+    b = rarest(known).select(F.col("k").alias("fk"), F.col("w").alias("fw"), F.col("m").alias("fm"), F.col("i").alias("fi"), "g")
+    met = rarest(said(rest)).join(broadcast_if_small(cut(b)), "g").where(f"least(m - i, fm - fi) >= {SLOT_SHARE / 2} * (w + fw) - 1e-9")
+    pairs = met.select("k", "fk").distinct().join(rest.select("k", "t"), "k").join(wrapper.select(F.col("k").alias("fk"), F.col("t").alias("ft")), "fk")
 
     @F.pandas_udf("boolean")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([2 * common_words(u := a.split(), v := b.split()) >= SLOT_SHARE * (len(u) + len(v)) for a, b in zip(x, y, strict=True)], dtype="bool")
+        return pd.Series([2 * common_words(u := a.split(), v := b.split()) >= SLOT_SHARE * (len(u) + len(v)) - 1e-9 for a, b in zip(x, y, strict=True)], dtype="bool")
 
     return pairs.where(agree("t", "ft")).select("k").distinct()
 

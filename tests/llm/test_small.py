@@ -325,3 +325,26 @@ def test_one_word_slots(spark):
         pages.append((f"B/{i}.htm", HOSTS[i % 3], title, [title, body[0], *frame, body[1]]))
         want[f"B/{i}.htm"] = set(frame)
     assert _framed(spark, pages) == want
+
+
+@pytest.mark.parametrize("size", range(60))
+def test_common_words(size):
+    rng = np.random.default_rng(size)
+    a, b = (list(rng.choice(list("abcdef"), n)) for n in (size, int(rng.integers(0, 60))))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    assert boilerplate.common_words(a, b) == row[-1]
+
+
+def test_slots_are_all_compared(spark):
+    rng = np.random.default_rng(1)
+    made = [" ".join(rng.choice(list("abcdefgh"), int(rng.integers(4, 15)))) for _ in range(150)]
+    known = ["bonjour x se deconnecter", "a b x c d y e", "a b x c d y e f z g", *made[:50]]
+    lines = ["bonjour u se deconnecter", "a b u c d v e", "a b u c d v e f w g", *made[50:]]
+    table = lambda ts: spark.createDataFrame([(hash(t), t) for t in set(ts)], "k long, t string")
+    agree = lambda u, v: 2 * boilerplate.common_words(u, v) >= 0.7 * (len(u) + len(v)) - 1e-9
+    got = {r["k"] for r in boilerplate._slots(table(lines), table(known)).collect()}
+    assert got == {hash(t) for t in lines if any(agree(t.split(), w.split()) for w in known)}
