@@ -38,8 +38,6 @@ SMALL_TIMES = 5
 SLOT_WORDS, SLOT_SHARE = 4, 0.7
 #: Lines longer than this head no list and are no item of one.
 ITEM_CHARS = 130
-#: Longer lines are compared nearly as they stand, and have no slots.
-LONG_CHARS = 300
 
 # Month names count as parts of a date; signs that part the entries of a menu; how a text's lines may be bulleted.
 MONTHS = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre january february march april may june july august september october november december"
@@ -67,9 +65,8 @@ def _named(x: Column, name: Column) -> Column:
 
 
 def template(rows: DataFrame, line: str, to: str) -> DataFrame:
-    """rows with a line as a wrapper sees it; column name: the host's plain name. Long lines only without spacing and digits."""
-    plain = F.when(F.length(line) > LONG_CHARS, F.regexp_replace(F.lower(line), r"[\s0-9]+", " ")).otherwise(_plain(F.col(line)))
-    return rows.withColumn("_x", plain).withColumn(to, _named(F.col("_x"), F.col("name"))).drop("_x")
+    """rows with a line as a wrapper sees it; column name: the host's plain name."""
+    return rows.withColumn("_x", _plain(F.col(line))).withColumn(to, _named(F.col("_x"), F.col("name"))).drop("_x")
 
 
 def _title(html: Column) -> Column:
@@ -83,10 +80,10 @@ def _title(html: Column) -> Column:
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """(path, load, site, n, fixed, k, t, title, item, rank, parts, pk): one row a line of each page's text, without the text. pages: (path, html, texte).
+    """(path, load, site, n, fixed, k, t, title, item, bare, rank, parts, pk): one row a line of each page's text. pages: (path, html, texte).
 
-    k is the template's hash (0 for a line without words), t the template itself where it has few words enough for slots, parts
-    the templates of the parts that signs cut the line into, pk their hash. A page that names no host is its own. NULL paths and texts have no lines.
+    k is the template's hash (0 for a line without words), t the template itself where it has words, bare whether the line has no
+    bullet and no sign at its end, parts the templates of the parts that signs cut the line into, pk their hash. A page that names no host is its own. NULL paths and texts have no lines.
     """
     one = pages.where("path is not null and texte is not null").select("path", F.xxhash64("texte").alias("load"), _title(F.col("html")).alias("title"), "texte")
     one = one.withColumn("site", host(F.col("title"))).withColumn("name", _plain(F.coalesce("site", F.lit(""))))
@@ -94,16 +91,15 @@ def lines(pages: DataFrame) -> DataFrame:
     rows = template(one, "own", "own").select("path", "load", "site", "name", F.nullif("own", F.lit("")).alias("own"), F.posexplode(F.split("texte", "\n")).alias("n", "line"))
     rows = template(rows, "line", "t")
     short = F.length("line") < ITEM_CHARS
-    words = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
-    item = short & ~F.rlike("line", F.lit(r"[.;:»…]\s*$")) & ~F.rlike("line", F.lit(_BULLET))
+    bare = ~F.rlike("line", F.lit(r"[.;:»…]\s*$")) & ~F.rlike("line", F.lit(_BULLET))
     rank = F.when(short & F.rlike("line", F.lit(r"^\s*\p{Nd}")), F.regexp_extract("line", r"^\s*(\p{Nd}{1,2})\.\s", 1).try_cast("int"))
     cut_up = _plain(F.regexp_replace("line", _PARTS, "\n"), r"\n")
     parts = F.transform(F.split(cut_up, r" ?\n ?"), lambda p: _named(p, F.col("name")))
     signs = reduce(or_, (F.contains("line", F.lit(x)) for x in ("|", "·", ">", "•", "[", "]", "–", "—", "^", "*", "<<", " - ", " / ", "   ")), F.startswith("line", F.lit("-")))
-    parts = F.when((F.length("line") < 400) & signs, F.filter(parts, lambda p: ~p.isin("", "#")))
+    parts = F.when(signs, F.filter(parts, lambda p: ~p.isin("", "#")))
     return rows.select(
         "path", "load", "site", "n", (F.instr("t", "#") == 0).alias("fixed"), F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"),
-        F.when((F.col("t") != "") & (F.length("line") <= LONG_CHARS) & (words <= 45), F.col("t")).alias("t"), F.coalesce(F.col("t") == F.col("own"), F.lit(False)).alias("title"), item.alias("item"), rank.alias("rank"), parts.alias("parts"),
+        F.nullif("t", F.lit("")).alias("t"), F.coalesce(F.col("t") == F.col("own"), F.lit(False)).alias("title"), (short & bare).alias("item"), bare.alias("bare"), rank.alias("rank"), parts.alias("parts"),
     ).withColumn("pk", F.when(F.size("parts") > 0, F.xxhash64("parts")))
 
 
@@ -135,24 +131,24 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("path").alias("p"), "site", "k", "fixed").distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("c"), F.max("fixed").alias("fixed"))
 
 
-def _wildcards(rest: DataFrame, sizes: _Sizes) -> DataFrame:
-    """(k) of lines that recur but for one word: a text slot, whatever it holds. rest: (site, k, t, c).
+def _wildcards(texts: DataFrame, rest: DataFrame, sizes: _Sizes) -> DataFrame:
+    """(k) of lines that recur but for one word: a text slot, whatever it holds. texts: (k, t, c), c on all hosts; rest: (site, k, c).
 
     Lines that agree but for one word agree in one whole half. Only those whose half stands on MIN_PAGES pages in several lines are
     laid out by the words of their other half; the rest can't recur with a slot.
     """
     w = F.split("t", " ")
-    one = rest.where(F.size(w) >= SLOT_WORDS).select("site", "k", "c", F.transform(w, lambda x, i: F.xxhash64(x, i)).alias("h"))
+    one = texts.where(F.size(w) >= SLOT_WORDS).select("k", "c", F.transform(w, lambda x, i: F.xxhash64(x, i)).alias("h"))
     m = F.floor(F.size("h") / 2).cast("int")
     half = lambda side, at, n: F.struct(F.xxhash64(F.lit(side), F.size("h"), F.slice("h", at, n)).alias("half"), F.lit(side).alias("side"))
-    halved = one.withColumn("_h", F.explode(F.array(half(0, F.lit(1), m), half(1, m + 1, F.size("h"))))).select("site", "k", "c", "h", "_h.*")
+    halved = one.withColumn("_h", F.explode(F.array(half(0, F.lit(1), m), half(1, m + 1, F.size("h"))))).select("k", "c", "h", "_h.*")
     shared = halved.groupBy("half").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sum("c").alias("c")).where(f"a <> b and c >= {MIN_PAGES}").select("half")
     met = halved.join(broadcast_if_small(cut(shared)), "half", "left_semi")
     whole = F.aggregate("h", F.size("h").cast("long"), lambda a, h: a.bitwiseXOR(h))
     holes = F.transform("h", lambda h, i: F.xxhash64(F.col("whole").bitwiseXOR(h), i))  # all words but one
     holes = F.when(F.col("side") == 0, F.slice(holes, m + 1, F.size("h"))).otherwise(F.slice(holes, F.lit(1), m))
-    keyed = met.withColumn("whole", whole).select("site", "c", F.col("k").alias("line"), F.explode(holes).alias("k"))
-    held = keyed.groupBy("site", "k").agg(F.sum("c").alias("c"), F.lit(False).alias("fixed"))
+    keyed = cut(met.withColumn("whole", whole).select(F.col("k").alias("line"), F.explode(holes).alias("k")))
+    held = keyed.join(rest.select("site", "c", F.col("k").alias("line")), "line").groupBy("site", "k").agg(F.sum("c").alias("c"), F.lit(False).alias("fixed"))
     varied = held.groupBy("k").agg(F.sum("c").alias("c")).where(f"c >= {MIN_PAGES}").select("k")
     _, family = sizes.recurring(held.join(varied, "k", "left_semi"))
     return keyed.join(broadcast_if_small(cut(family)), "k", "left_semi").select(F.col("line").alias("k")).distinct()
@@ -269,22 +265,23 @@ def frame(pages: DataFrame) -> DataFrame:
     grouped = cells.join(yes(broadcast_if_small(as_part), "ok"), "k", "left").join(yes(broadcast_if_small(per_host), "here"), ["site", "k"], "left")
     grouped = cut(grouped.groupBy("site", "pk").agg(F.every(F.coalesce("ok", "here", F.lit(False))).alias("all")).where("all").select("site", "pk"))
     # menus without signs between their entries: every word is one of short entries
-    texts = cut(every.where("t is not null").select("k", "t", "item").distinct().groupBy("k", "t").agg(F.max("item").alias("item")))
+    texts = cut(every.where("t is not null").groupBy("k", "t").agg(F.max("bare").alias("bare")))
     said = texts.select("k", "t")
     entry = said.unionByName(cells.select("k", "t").distinct()).where("size(split(t, ' ')) <= 3").join(as_part, "k", "left_semi")
     entry = yes(broadcast_if_small(cut(entry.select(F.explode(F.split("t", " ")).alias("w")).distinct())), "is")
-    spaced = texts.where("item and size(split(t, ' ')) between 4 and 30 and instr(t, '#') = 0").select("k", "t", F.substring_index("t", " ", 1).alias("w")).join(entry, "w", "left_semi")
+    spaced = texts.where("bare and size(split(t, ' ')) >= 4 and instr(t, '#') = 0").select("k", "t", F.substring_index("t", " ", 1).alias("w")).join(entry, "w", "left_semi")
     menus = spaced.select("k", F.explode(F.split("t", " ")).alias("w")).join(entry, "w", "left").groupBy("k").agg(F.every(F.coalesce("is", F.lit(False))).alias("all")).where("all").select("k")
 
     line = cut(as_part.unionByName(menus).distinct())
     exact = every.join(broadcast_if_small(yes(line, "f")), "k", "left").join(broadcast_if_small(yes(per_host, "h")), ["site", "k"], "left").join(broadcast_if_small(yes(grouped, "grouped")), ["site", "pk"], "left")
     exact = cut(exact.select("path", "load", "site", "n", "k", "title", "item", "rank", F.coalesce("f", "h", "grouped", F.lit(False)).alias("frame")))
     # text slots: lines that recur but for one word; then lines like those known
-    rest = cut(counts.join(exact.where("not frame").select("site", "k").distinct(), ["site", "k"], "left_semi").join(texts, "k"))
-    holed = cut(_wildcards(rest, sizes))
+    rest = cut(counts.join(exact.where("not frame").select("site", "k").distinct(), ["site", "k"], "left_semi").where("k <> 0"))
+    open_texts = cut(rest.groupBy("k").agg(F.sum("c").alias("c")).join(texts.select("k", "t"), "k"))
+    holed = cut(_wildcards(open_texts, rest, sizes))
     known = line.unionByName(per_host.select("k")).unionByName(holed).distinct()
-    opened = rest.select("k").distinct().join(broadcast_if_small(holed), "k", "left_anti")
-    slots = cut(_slots(texts.join(opened, "k", "left_semi").select("k", "t"), texts.join(broadcast_if_small(cut(known)), "k", "left_semi").select("k", "t")).unionByName(holed))
+    opened = open_texts.select("k", "t").join(broadcast_if_small(holed), "k", "left_anti")
+    slots = cut(_slots(opened, texts.join(broadcast_if_small(cut(known)), "k", "left_semi").select("k", "t")).unionByName(holed))
 
     marked = cut(exact.join(broadcast_if_small(yes(slots, "s")), "k", "left").select("path", "load", "site", "n", "k", (F.col("frame") | F.coalesce("s", F.lit(False))).alias("frame"), "title", "item", F.coalesce("rank", F.lit(0)).alias("rank")))
 

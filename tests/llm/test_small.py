@@ -348,3 +348,22 @@ def test_slots_are_all_compared(spark):
     agree = lambda u, v: 2 * boilerplate.common_words(u, v) >= 0.7 * (len(u) + len(v)) - 1e-9
     got = {r["k"] for r in boilerplate._slots(table(lines), table(known)).collect()}
     assert got == {hash(t) for t in lines if any(agree(t.split(), w.split()) for w in known)}
+
+
+def test_long_lines(spark):
+    rng = np.random.default_rng(7)
+    legal = "Ce site dépose des traceurs sur votre appareil afin de mesurer son audience et de retenir vos choix de lecture ; " * 4
+    legal += "vous pouvez les refuser - voir notre charte revue par {} le 3 {} 2005, ou écrire au service des lecteurs du siège."
+    entries = [f"{w.capitalize()} {v}" for w in _WORDS[:30] for v in ("actuel", "passé")]
+    pages, want = [], {}
+    for i in range(60):
+        title, body = _body(rng)
+        notice = legal.format(_odd(i), ("mai", "juin", "juillet", "mars")[i % 4])
+        sitemap = " | ".join(rng.permutation(entries)[:50])
+        menu = " ".join(rng.permutation(entries)[:40])
+        assert min(map(len, (notice, sitemap, menu))) > 400
+        pages.append((f"B/{i}.htm", HOSTS[i % 3], title, [*entries[2 * (i % 30) : 2 * (i % 30) + 2], title, body[0], notice, sitemap, menu, body[1]]))
+        want[f"B/{i}.htm"] = {notice, sitemap, menu}
+    got = _framed(spark, pages)
+    assert {p: w - got[p] for p, w in want.items() if w - got[p]} == {}
+    assert all(not {t, b[-1]} & got[p] for p, _, t, b in pages)
