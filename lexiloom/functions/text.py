@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: A word character is a letter, a number or the underscore; white space as strip() and split() see it.
 TOKEN = r"[\p{L}\p{N}_]+"
+BLANKS = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -32,4 +33,4 @@ def is_alpha(x: Column | str) -> Column:
 
 def clean_token(x: Column | str) -> Column:
     """A stored token as it counts: stripped and in lower case; NULL if nothing is left."""
-    return F.nullif(F.lower(pystrip(x)), F.lit(""))
+    return F.nullif(F.lower(F.btrim(x, F.lit(BLANKS))), F.lit(""))

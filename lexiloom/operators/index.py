@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text
-from lexiloom.session import salted_join
+from lexiloom.session import hot_keys, salted_join
 
 
 def tokenise(docs: DataFrame, *fields: str, key: str = "article") -> DataFrame:
@@ -14,13 +14,35 @@ def tokenise(docs: DataFrame, *fields: str, key: str = "article") -> DataFrame:
     return docs.select(F.col(key).alias("article"), F.posexplode(text.tokens(*(fields or ("titre", "texte")))).alias("pos", "token"))
 
 
+def _stored(tokens: DataFrame) -> DataFrame:
+    """Cleaned token rows with an article and a token; blank ones are "" still, so that the cleaning runs once."""
+    rows = tokens.where("token is not null and article is not null")
+    return rows.select("article", "pos", F.lower(F.btrim("token", F.lit(text.BLANKS))).alias("token"))
+
+
+def _placed(rows: DataFrame, *by: str) -> DataFrame:
+    """One row an (article, pos), laid out by `by`: one shuffle, and one sort behind it. Blank tokens are no tokens, so they don't count as the least."""
+    return rows.repartition(*by).groupBy("article", "pos").agg(F.min(F.when(F.col("token") != "", F.col("token"))).alias("token"))
+
+
 def stored_tokens(tokens: DataFrame) -> DataFrame:
     """Token rows as they count: cleaned, NULL and blank ones and those without an article dropped, one row an (article, pos).
 
     Of several tokens at one place the least in code-point order stays. A NULL pos is a place like others.
     """
-    t = tokens.select("article", "pos", text.clean_token("token").alias("token")).where("token is not null and article is not null")
-    return t.groupBy("article", "pos").agg(F.min("token").alias("token"))
+    return _placed(_stored(tokens), "article", "pos").where("token is not null")
+
+
+def stored_tf(tokens: DataFrame) -> DataFrame:
+    """`tf` of `stored_tokens`. Rows are laid out by article once, for the places and for the counts; articles that hold too many of
+    them are laid out by place and counted in two steps."""
+    hot = hot_keys(tokens.where("article is not null"), "article")
+    rows = _stored(tokens)
+    # nonblank is not pushed below the aggregate, so the layout stays and the cleaning isn't repeated
+    count = lambda placed: placed.groupBy("article", "token").agg(F.count(F.lit(1)).alias("tf"), F.max(F.length("token")).alias("_n")).where("_n > 0").drop("_n")
+    if not hot:
+        return count(_placed(rows, "article"))
+    return count(_placed(rows.where(~F.col("article").isin(hot)), "article")).unionByName(count(_placed(rows.where(F.col("article").isin(hot)), "article", "pos")))
 
 
 def tf(tokens: DataFrame) -> DataFrame:

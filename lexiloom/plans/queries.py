@@ -60,7 +60,7 @@ def _flat(x: DataFrame) -> DataFrame:
 
 
 def _stored_tf(spark: SparkSession, d: str) -> DataFrame:
-    return index.tf(index.stored_tokens(table(spark, d, "tokens")))
+    return index.stored_tf(table(spark, d, "tokens"))
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:

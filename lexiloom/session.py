@@ -6,15 +6,21 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it was measured and has at most so many rows and so many bytes of values.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: A key is hot if it holds more than one row in HOT_SHARE of all; there are at most HOT_SHARE such keys, whatever the data.
 HOT_SHARE = 1000
+#: Fewer rows than this aren't worth a way of their own, whatever their share.
+HOT_ROWS = 100_000
 SALTS = 32
 
 
@@ -27,33 +33,89 @@ def build(app: str = "lexiloom", master: str | None = None, **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the session names none, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where the session names none, a temporary one on a local master, as in tests; an error on any other."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
     if not at and held.isDefined():
         return held.get()
     if not at:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lexiloom-")
     if not held.isDefined():
         sc.setCheckpointDir(at)
     return at
 
 
+#: Rows and bytes of values of tables that `cut` wrote.
+_measured: WeakKeyDictionary[DataFrame, tuple[int, int]] = WeakKeyDictionary()
+_scopes: list[list] = []
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row's values: strings and binaries by length, nested ones by their text, others as 8."""
+    one = lambda f: F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(8)
+    nested = lambda f: F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+    parts = [nested(f) if isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) else one(f) for f in df.schema.fields]
+    total = F.lit(0)
+    for p in parts:
+        total = total + p
+    return total.cast("bigint")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and goes on from there: what follows survives the loss of executors. The file system removes the table when the application ends."""
+    """Writes df as a table in the shared folder and goes on from there: what follows survives the loss of executors. The table's
+    rows and bytes are measured as it is written. It is removed with the `scope` it was made in, or by the file system when the application ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
+    seen = Observation()
+    flat = not any(isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) for f in df.schema.fields)
+    size = F.coalesce(F.sum(_width(df)), F.lit(0)) if flat else F.lit(-1)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), size.alias("bytes")).write.option("compression", "zstd").parquet(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    _measured[out] = (seen.get["rows"], seen.get["bytes"])
+    return out
+
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written by `cut` inside are removed at the end; use their results before it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            path.getFileSystem(conf).delete(path, True)
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count (stopped at most + 1 rows) proves it small, else df, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+def rows_of(df: DataFrame) -> int:
+    """Rows of a table; those of one that `cut` wrote are known."""
+    return _measured[df][0] if df in _measured else df.count()
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is measured to be small, else df, for a shuffled join.
+
+    A table that `cut` wrote was measured then; any other is counted here, up to rows + 1 rows.
+    """
+    n, m = _measured.get(df, (0, -1))
+    if n <= rows and m < 0:
+        r = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+        n, m = r[0], r[1]
+    return F.broadcast(df) if n <= rows and m <= size else df
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = HOT_ROWS) -> list:
+    """Keys with more than one row in HOT_SHARE of all and more than `least` rows: at most HOT_SHARE, whatever the data."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = n.where((F.col("n") > least) & (F.col("n") > n.agg(F.sum("n") / HOT_SHARE).scalar()))
+    return [r[0] for r in hot.select(key).limit(HOT_SHARE).collect()]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, weight: Column) -> DataFrame:

@@ -9,17 +9,30 @@ from pyspark.sql import types as T
 from lexiloom import schemas
 from lexiloom.functions.html import Page
 from lexiloom.functions.text import pystrip, words
+from lexiloom.session import broadcast_if_small, cut, rows_of
 
 
 def latest(df: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
     """The last loaded row of each key; equal times are settled by the row's string columns. Rows without a key have no identity and are left out.
 
-    max_by keeps one row a key on the map side already, so a page loaded a million times travels once a task.
+    Only keys and times are shuffled, to find the keys with several rows. Single rows, and the later of two at different times, are
+    then picked out of one scan by a broadcast of those keys (above its limit by a shuffled join). The rows of any other key (three
+    and more, equal or missing times) are resolved by max_by, which keeps one row a key on the map side already.
     """
+    df = df.where(F.col(key).isNotNull())
+    n, first, last = F.count(F.lit(1)), F.min(by), F.max(by)
+    often = df.groupBy(key).agg(n.alias("_n"), F.count(by).alias("_m"), first.alias("_first"), last.alias("_last")).where("_n > 1")
+    often = cut(often.select(key, "_last", ((F.col("_n") == 2) & (F.col("_m") == 2) & (F.col("_first") < F.col("_last"))).alias("_two")))
+    if not rows_of(often):
+        return df
+    out = df.join(broadcast_if_small(often), key, "left").where(F.col("_two").isNull() | (F.col("_two") & (F.col(by) == F.col("_last")))).select(*df.columns)
+    more = often.where("not _two").select(key)
+    if not more.limit(1).count():
+        return out
     ties = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != key]
-    rest = [c for c in df.columns if c != key]
-    best = F.max_by(F.struct(*rest), F.struct(by, *sorted(ties))).alias("_row")
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, "_row.*").select(*df.columns)
+    best = F.max_by(F.struct(*(c for c in df.columns if c != key)), F.struct(by, *sorted(ties))).alias("_row")
+    rest = df.join(broadcast_if_small(more), key, "left_semi").groupBy(key).agg(best).select(key, "_row.*")
+    return out.unionByName(rest.select(*df.columns))
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
