@@ -134,6 +134,15 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, wei
     return lhs.join(rhs, [key, "_salt"]).drop("_salt")
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, spread: Column, weight: Column) -> DataFrame:
+    """As salted_join; a right side that `cut` measured to be small is broadcast instead, so the left one stays where it lies."""
+    if _measured.get(right, (BROADCAST_ROWS + 1, 0))[0] <= BROADCAST_ROWS:
+        small = broadcast_if_small(right)
+        if small is not right:
+            return left.join(small, key)
+    return salted_join(left, right, key, spread, weight)
+
+
 _shipped: set[str] = set()
 
 
