@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import clean_token
+from lexiloom.functions.text import BLANKS
 from lexiloom.operators import index
 from lexiloom.session import shared_dir
 
 FANOUT_BITS = 4
+#: Hash bits by which partial sums are laid out: at most so many tasks share them.
+LAYOUT_BITS = 20
 HOLD_ROWS = 1_000_000
 DUCKDB_MB = 512
 RARE_BELOW = 3
@@ -112,7 +114,7 @@ def _scratch(spark: SparkSession) -> str | None:
     return at.path if at.scheme in ("", "file") else None
 
 
-def _sums(rows: DataFrame, hold: int) -> DataFrame:
+def _sums(rows: DataFrame, hold: int, shift: int = 64) -> DataFrame:
     base = _scratch(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +122,7 @@ def _sums(rows: DataFrame, hold: int) -> DataFrame:
         os.makedirs(at, exist_ok=True)
         folder = tempfile.mkdtemp(prefix="radix-", dir=at)
         try:
-            yield from radix((b.cast(_SCHEMA) for b in batches), folder, hold)
+            yield from radix((b.cast(_SCHEMA) for b in batches), folder, hold, shift)
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
@@ -133,11 +135,12 @@ def frequencies(tokens: DataFrame, rare_below: int = RARE_BELOW, common_above: f
     rare: held by fewer articles than rare_below; common: by more than that share of the articles that have a token. Small
     collections may mark a term both ways. NULL and blank tokens and rows without an article don't count, nor does a repeated (article, pos).
     """
-    pairs = index.tf(index.stored_tokens(tokens))
+    pairs = index.stored_tf(tokens)
     rows = pairs.select(F.xxhash64("token").alias("h"), "token", F.col("tf").alias("occurrences"), F.lit(1).cast("bigint").alias("articles"))
     partial = _sums(rows, hold)
-    total = _sums(partial.repartition(F.shiftrightunsigned("h", 52)), hold)
-    n = tokens.where(clean_token("token").isNotNull()).agg(F.count_distinct("article").cast("double")).scalar()
+    # a task's rows may agree in the bits they were laid out by, so it splits by those below
+    total = _sums(partial.repartition(F.shiftrightunsigned("h", 64 - LAYOUT_BITS)), hold, 64 - LAYOUT_BITS)
+    n = tokens.where(F.btrim("token", F.lit(BLANKS)) != "").agg(F.count_distinct("article").cast("double")).scalar()
     return total.select("token", "occurrences", "articles", (F.col("articles") < rare_below).alias("rare"), (F.col("articles") > common_above * n).alias("common"))
 
 
