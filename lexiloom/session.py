@@ -134,6 +134,25 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, wei
     return lhs.join(rhs, [key, "_salt"]).drop("_salt")
 
 
+def flagged(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left with the columns of right, which has one row a key: a left join whose hot keys travel nowhere.
+
+    A small right side is broadcast. Otherwise the rows of hot keys (at most HOT_SHARE keys) meet their few right rows by broadcast
+    and only the rest is shuffled.
+    """
+    small = broadcast_if_small(right)
+    if small is not right:
+        return left.join(small, on, "left")
+    h = lambda d: d.withColumn("_h", F.xxhash64(*on))
+    lhs, rhs = h(left), h(right).withColumnRenamed("_h", "_g")
+    hot = hot_keys(lhs.select("_h"), "_h")
+    if not hot:
+        return left.join(right, on, "left")
+    near = lhs.where(F.col("_h").isin(hot)).join(F.broadcast(rhs.where(F.col("_g").isin(hot))), on, "left")
+    far = lhs.where(~F.col("_h").isin(hot)).join(rhs.where(~F.col("_g").isin(hot)), on, "left")
+    return near.unionByName(far).drop("_h", "_g")
+
+
 def joined(left: DataFrame, right: DataFrame, key: str, spread: Column, weight: Column) -> DataFrame:
     """As salted_join; a right side that `cut` measured to be small is broadcast instead, so the left one stays where it lies."""
     if _measured.get(right, (BROADCAST_ROWS + 1, 0))[0] <= BROADCAST_ROWS:
