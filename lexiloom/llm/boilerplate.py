@@ -1,24 +1,26 @@
 """Main content of pages: wrappers of a site's frame, inferred without unions, taken off.
 
-A wrapper is a regular expression over lines without alternatives: fixed lines, optional ones, text slots, and repeated groups. Pages of
-one host are aligned line by line, all at once, by counting instead of pair by pair, in rounds:
-
-1. Lines that agree, numbers and dates and the host's own name apart, align. What recurs on a host's pages is a fixed or optional line
-   of its wrapper; what is so on several hosts, or on many pages at all, is one of the family's, which hosts of one page lean on.
-2. A line that mismatches is aligned with the wrapper lines that share enough words with it: where most words agree in order, the
-   differing ones are a text slot.
-3. A line of several parts all of which are known is a repeated group (a menu).
-4. A wrapper line that is always followed by a run of varying short lines heads a repeated group of slots (lists of other articles):
-   numbered items, or those up to the page's own title.
-5. A page whose only line that is left is the same on several hosts is a notice in place of an article.
-
-Lines outside the wrapper are the article. A text that agencies send to many hosts isn't taken for frame: it recurs on no host.
+A wrapper is a regular expression over lines without alternatives: fixed items, optional ones, items with text slots, and repeated groups;
+what lies between its items is a slot of any text, the article. A site's wrapper is formed by aligning its pages:
+
+1. Lines that agree, numbers and dates and the host's own name apart, can align. What stands on enough pages of a host under different
+   titles is an item there. A line of small hosts, which show no recurrence of their own, is an item if many hosts have it as one; on a
+   large host such a line needs evidence of place: beside other items.
+2. Mismatching lines become items with text slots: lines that recur but for one word, and lines that agree with an item's words in order.
+3. A line all of whose parts are known is a group (a menu).
+4. The items of each page, in order, are aligned with the wrapper so far (longest common subsequence). An item that the page lacks becomes
+   optional, one that the wrapper lacks is put in where the page has it. Large hosts are aligned in chunks, whose wrappers are aligned
+   with each other in turn. An item that is always followed by a run of varying lines heads a repeated group of slots (a list).
+5. Each page is read by its host's wrapper: lines that its items and groups take are frame, those in slots of any text are the article.
+   A page whose only line left stands alone on many pages of several hosts is a notice in place of an article.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
 import pandas as pd
@@ -26,18 +28,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import WS, pystrip
-from lexiloom.session import broadcast_if_small, cut
-
-#: A line belongs to a host's wrapper from this share of its pages, and to the family's from this share of all pages; from MIN_PAGES anyway.
-HOST_SHARE, FAMILY_SHARE, MIN_PAGES = 0.08, 0.025, 4
-#: A line without numbers says the same wherever it stands: a smaller share of all pages makes it the family's, from so many pages on.
-FIXED_SHARE, FIXED_PAGES = 0.01, 12
-#: How many times more often than by their share of pages hosts without recurrence hold a line of the family.
-SMALL_TIMES = 5
+from lexiloom.session import broadcast_if_small, cut, flagged, rows_of
+from lexiloom.sources.corpus import latest
+
+#: A line is an item of a host from this share of its pages, and from MIN_PAGES anyway: fewer may agree by chance.
+HOST_SHARE, MIN_PAGES = 0.08, 4
+#: A line is the family's if this share of the hosts that can show a recurrence have it as an item, two at least; or if this share of the
+#: hosts that are too small for one hold it (a third of that share, MIN_PAGES at least), and SMALL_TIMES as often as by their share of the pages of hosts whose item it isn't.
+FAMILY_SHARE, SMALL_TIMES = 0.03, 5
+#: How much of a line's occurrences must lie beside the same line (rare layouts) or beside items (the family's lines on large hosts).
+PLACE_SHARE = 0.5
 #: Words of lines that are aligned with slots, and how much of both must agree in order.
 SLOT_WORDS, SLOT_SHARE = 4, 0.7
-#: Lines longer than this head no list and are no item of one.
-ITEM_CHARS = 130
+#: A notice is the only line of this share of all pages with one line left, on two hosts at least.
+NOTICE_SHARE = 0.02
+#: Pages of a chunk of a host, and wrappers of chunks that are aligned in one go.
+CHUNK_PAGES, FAN_IN = 2000, 32
 
 # Month names count as parts of a date; signs that part the entries of a menu; how a text's lines may be bulleted.
 MONTHS = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre january february march april may june july august september october november december"
@@ -54,8 +60,12 @@ def host(title: Column) -> Column:
 def _plain(x: Column, keep: str = "") -> Column:
     """Words in lower case, parts of hyphened ones together, numbers and dates as #."""
     x = F.lower(F.when(F.contains(x, F.lit("-")), F.regexp_replace(x, r"-(?<=\p{L}-)(?=\p{L})", "")).otherwise(x))
-    x = F.regexp_replace(F.regexp_replace(x, r"\p{Nd}+", "#"), rf"[^a-z#{keep}\p{{L}}\p{{N}}]+", " ")
-    return F.trim(F.regexp_replace(x, rf"#(?: (?:#|(?:{'|'.join(MONTHS.split())})(?!\p{{L}})))+", "#"))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"\p{Nd}+", "#"), rf"[^a-z#{keep}\p{{L}}\p{{N}}]+", " "))
+
+
+def _dated(x: Column) -> Column:
+    """A plain line with its dates as one #."""
+    return F.when(F.instr(x, "#") > 0, F.regexp_replace(x, rf"#(?: (?:#|(?:{'|'.join(MONTHS.split())})(?!\p{{L}})))+", "#")).otherwise(x)
 
 
 def _named(x: Column, name: Column) -> Column:
@@ -66,7 +76,7 @@ def _named(x: Column, name: Column) -> Column:
 
 def template(rows: DataFrame, line: str, to: str) -> DataFrame:
     """rows with a line as a wrapper sees it; column name: the host's plain name."""
-    return rows.withColumn("_x", _plain(F.col(line))).withColumn(to, _named(F.col("_x"), F.col("name"))).drop("_x")
+    return rows.withColumn("_x", _plain(F.col(line))).withColumn("_x", _dated(F.col("_x"))).withColumn(to, _named(F.col("_x"), F.col("name"))).drop("_x")
 
 
 def _title(html: Column) -> Column:
@@ -79,60 +89,80 @@ def _title(html: Column) -> Column:
     return decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+def newest(pages: DataFrame) -> DataFrame:
+    """(path, html, texte): one row a path. Of several loads with a text the last counts; without times the greatest html and text."""
+    pages = pages.where("path is not null and texte is not null")
+    if "loaded_at" not in pages.columns:
+        pages = pages.withColumn("loaded_at", F.lit(None).cast("timestamp"))
+    return latest(pages.select("path", "html", "texte", "loaded_at"), "path").drop("loaded_at")
+
+
 def lines(pages: DataFrame) -> DataFrame:
-    """(path, load, site, n, fixed, k, t, title, item, bare, rank, parts, pk): one row a line of each page's text. pages: (path, html, texte).
+    """(path, who, site, n, k, t, title, item, bare, rank, near, parts, pk): one row a line of each page's text. pages: (path, html, texte), a row a path.
 
-    k is the template's hash (0 for a line without words), t the template itself where it has words, bare whether the line has no
-    bullet and no sign at its end, parts the templates of the parts that signs cut the line into, pk their hash. A page that names no host is its own. NULL paths and texts have no lines.
+    k is the template's hash (0 for a line without words), t the template itself where it has words, bare whether the line has no sign
+    at its end, item whether it has no bullet either, near hashes of the lines before and after it, parts the templates of the parts
+    that signs cut the line into, pk their hash. who tells articles apart: pages that give one article again under the same title
+    share it. A page that names no host is its own.
     """
-    one = pages.where("path is not null and texte is not null").select("path", F.xxhash64("texte").alias("load"), _title(F.col("html")).alias("title"), "texte")
-    one = one.withColumn("site", host(F.col("title"))).withColumn("name", _plain(F.coalesce("site", F.lit(""))))
-    one = one.select("path", "load", F.xxhash64(F.coalesce("site", F.concat(F.lit("/"), "path"))).alias("site"), F.when(F.col("name") == "", "@").otherwise(F.col("name")).alias("name"), F.get(F.split("title", ">"), F.lit(2)).alias("own"), "texte")
-    rows = template(one, "own", "own").select("path", "load", "site", "name", F.nullif("own", F.lit("")).alias("own"), F.posexplode(F.split("texte", "\n")).alias("n", "line"))
-    rows = template(rows, "line", "t")
-    short = F.length("line") < ITEM_CHARS
-    bare = ~F.rlike("line", F.lit(r"[.;:»…]\s*$")) & ~F.rlike("line", F.lit(_BULLET))
-    rank = F.when(short & F.rlike("line", F.lit(r"^\s*\p{Nd}")), F.regexp_extract("line", r"^\s*(\p{Nd}{1,2})\.\s", 1).try_cast("int"))
-    cut_up = _plain(F.regexp_replace("line", _PARTS, "\n"), r"\n")
+    one = pages.select("path", _title(F.col("html")).alias("title"), F.split("texte", "\n").alias("l"))
+    one = one.withColumn("site", host(F.col("title"))).withColumn("name", _dated(_plain(F.coalesce("site", F.lit("")))))
+    longest = F.array_max(F.transform("l", lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("h"))))
+    one = one.select("path", F.xxhash64(F.coalesce("site", F.concat(F.lit("/"), "path"))).alias("site"), F.when(F.col("name") == "", "@").otherwise(F.col("name")).alias("name"), F.get(F.split("title", ">"), F.lit(2)).alias("own"), longest.alias("most"), "l")
+    one = template(one, "own", "own").select("path", F.xxhash64("own", "most").alias("who"), "site", "name", F.nullif("own", F.lit("")).alias("own"), "l", F.transform("l", lambda x: F.xxhash64(F.translate(F.lower(x), "0123456789", ""))).alias("h"))
+    rows = one.select("path", "who", "site", "name", "own", "h", F.posexplode("l").alias("n", "line"))
+    near = F.array_compact(F.array(F.when(F.col("n") > 0, F.get("h", F.col("n") - 1)), F.get("h", F.col("n") + 1)))
+    rows = template(rows.withColumn("near", near).drop("h"), "line", "t")
+    bare = ~F.rlike("line", F.lit(r"[.;:»…]\s*$"))
+    item = bare & ~F.rlike("line", F.lit(_BULLET))
+    rank = F.when(F.rlike("line", F.lit(r"^\s*\p{Nd}")), F.regexp_extract("line", r"^\s*(\p{Nd}+)\.\s", 1).try_cast("int"))
+    cut_up = _dated(_plain(F.regexp_replace("line", _PARTS, "\n"), r"\n"))
     parts = F.transform(F.split(cut_up, r" ?\n ?"), lambda p: _named(p, F.col("name")))
     signs = reduce(or_, (F.contains("line", F.lit(x)) for x in ("|", "·", ">", "•", "[", "]", "–", "—", "^", "*", "<<", " - ", " / ", "   ")), F.startswith("line", F.lit("-")))
     parts = F.when(signs, F.filter(parts, lambda p: ~p.isin("", "#")))
     return rows.select(
-        "path", "load", "site", "n", (F.instr("t", "#") == 0).alias("fixed"), F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"),
-        F.nullif("t", F.lit("")).alias("t"), F.coalesce(F.col("t") == F.col("own"), F.lit(False)).alias("title"), (short & bare).alias("item"), bare.alias("bare"), rank.alias("rank"), parts.alias("parts"),
+        "path", "who", "site", "n", F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"), F.nullif("t", F.lit("")).alias("t"),
+        F.coalesce(F.col("t") == F.col("own"), F.lit(False)).alias("title"), item.alias("item"), bare.alias("bare"), rank.alias("rank"), "near", parts.alias("parts"),
     ).withColumn("pk", F.when(F.size("parts") > 0, F.xxhash64("parts")))
 
 
 class _Sizes:
-    """Pages by host, and what of all pages lies on hosts too small to show a recurrence."""
+    """Pages by host, counting an article given again once, and how many hosts are large enough to show a recurrence."""
 
     def __init__(self, every: DataFrame) -> None:
-        self.of = cut(every.where("n = 0").groupBy("site").agg(F.count_distinct("path").alias("pages")))
-        r = self.of.agg(F.sum("pages"), F.sum(F.when(F.col("pages") < MIN_PAGES, F.col("pages")))).first()
-        self.total, self.small = float(r[0] or 0), float(r[1] or 0)
-
-    def recurring(self, counts: DataFrame, often: bool = True) -> tuple[DataFrame, DataFrame]:
-        """(site, k) of hosts' wrappers, and (k) of the family's. counts: (site, k, c, fixed), c of a host's pages having k.
+        self.of = cut(every.where("n = 0").select("site", "who").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages")))
+        small = F.col("pages") < MIN_PAGES
+        r = self.of.agg(F.sum("pages"), F.sum(F.when(small, F.col("pages"))), F.count_if(~small), F.count_if(small), F.max("pages")).first()
+        self.total, self.small, self.large_hosts, self.small_hosts, self.largest = float(r[0] or 0), float(r[1] or 0), r[2], r[3], int(r[4] or 0)
 
-        A line that small hosts hold far more often than chance would have it, on several of them, is of the family too: what is
-        sent to all hosts lies on the large ones in proportion. often: whether a share of all pages suffices.
-        """
+    def own(self, counts: DataFrame) -> DataFrame:
+        """(site, k) of hosts' own items. counts: (site, k, c), c of a host's pages having k."""
         strong = F.col("c") >= F.greatest(F.lit(MIN_PAGES), HOST_SHARE * F.col("pages"))
-        marked = cut(counts.where("k <> 0").join(self.of, "site").select("site", "k", "c", "fixed", strong.alias("strong"), (F.col("pages") < MIN_PAGES).alias("small")))
-        of_all = marked.groupBy("k").agg(F.sum("c").alias("c"), F.max("fixed").alias("fixed"), F.count_if("strong").alias("hosts"), F.count_if("small").alias("small"))
-        on_small = (F.col("small") >= MIN_PAGES) & (F.col("small") * self.total >= SMALL_TIMES * F.col("c") * self.small)
-        least = F.when(F.col("fixed"), max(FIXED_PAGES, FIXED_SHARE * self.total)).otherwise(max(MIN_PAGES, FAMILY_SHARE * self.total))
-        enough = (F.col("c") >= least) if often else F.lit(False)
-        return marked.where("strong").select("site", "k"), of_all.where((F.col("hosts") >= 2) | enough | on_small).select("k")
+        return counts.where(f"k <> 0 and c >= {MIN_PAGES}").join(broadcast_if_small(self.of), "site").where(strong).select("site", "k")
+
+    def family(self, own: DataFrame, counts: DataFrame) -> DataFrame:
+        """(k) of the family's: items of enough of the hosts that can show it, or on enough of the others."""
+        on_large = own.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2.0, FAMILY_SHARE * self.large_hosts)).select("k")
+        loose = flagged(counts.where("k <> 0"), own.withColumn("own", F.lit(True)), ["site", "k"]).where("own is null").drop("own")
+        on_small = flagged(loose, self.of, ["site"]).groupBy("k").agg(F.sum("c").alias("c"), F.count_if(F.col("pages") < MIN_PAGES).alias("small"))
+        on_small = on_small.where((F.col("small") >= max(float(MIN_PAGES), FAMILY_SHARE / 3 * self.small_hosts)) & (F.col("small") * self.total >= SMALL_TIMES * F.col("c") * self.small))
+        return on_large.unionByName(on_small.select("k")).distinct()
 
 
 def _counts(rows: DataFrame) -> DataFrame:
     """(site, k, c): pages of each host with k. The lines of a page lie in one task, so repeats go before the shuffle."""
-    return rows.select(F.xxhash64("path").alias("p"), "site", "k", "fixed").distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("c"), F.max("fixed").alias("fixed"))
+    return rows.select("who", "site", "k").distinct().groupBy("site", "k").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _layouts(every: DataFrame, counts: DataFrame, per_host: DataFrame) -> DataFrame:
+    """(site, k) of lines on few of a large host's pages that lie beside one and the same line on most of them: items of a rare layout."""
+    rare = cut(counts.where(f"c >= {MIN_PAGES} and k <> 0").join(broadcast_if_small(per_host), ["site", "k"], "left_anti"))
+    at = every.join(broadcast_if_small(rare), ["site", "k"]).select("site", "k", "c", "who", F.explode("near").alias("x")).distinct()
+    return at.groupBy("site", "k", "c", "x").agg(F.count(F.lit(1)).alias("m")).where(f"m >= {MIN_PAGES} and m >= {PLACE_SHARE} * c").select("site", "k").distinct()
 
 
-def _wildcards(texts: DataFrame, rest: DataFrame, sizes: _Sizes) -> DataFrame:
-    """(k) of lines that recur but for one word: a text slot, whatever it holds. texts: (k, t, c), c on all hosts; rest: (site, k, c).
+def _wildcards(texts: DataFrame, rest: DataFrame, sizes: _Sizes) -> tuple[DataFrame, DataFrame]:
+    """Lines that recur but for one word, a text slot, whatever it holds: (site, k, key) on hosts of their own, and (k, key) of the family; key is the line's but for that word. texts: (k, t, c), c on all hosts; rest: (site, k, c).
 
     Lines that agree but for one word agree in one whole half. Only those whose half stands on MIN_PAGES pages in several lines are
     laid out by the words of their other half; the rest can't recur with a slot.
@@ -142,16 +172,21 @@ def _wildcards(texts: DataFrame, rest: DataFrame, sizes: _Sizes) -> DataFrame:
     m = F.floor(F.size("h") / 2).cast("int")
     half = lambda side, at, n: F.struct(F.xxhash64(F.lit(side), F.size("h"), F.slice("h", at, n)).alias("half"), F.lit(side).alias("side"))
     halved = one.withColumn("_h", F.explode(F.array(half(0, F.lit(1), m), half(1, m + 1, F.size("h"))))).select("k", "c", "h", "_h.*")
-    shared = halved.groupBy("half").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sum("c").alias("c")).where(f"a <> b and c >= {MIN_PAGES}").select("half")
-    met = halved.join(broadcast_if_small(cut(shared)), "half", "left_semi")
+    shared = halved.groupBy("half").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sum("c").alias("c")).where(f"a <> b and c >= {MIN_PAGES}").select("half", F.lit(True).alias("_s"))
+    met = flagged(halved, cut(shared), ["half"]).where("_s")
     whole = F.aggregate("h", F.size("h").cast("long"), lambda a, h: a.bitwiseXOR(h))
     holes = F.transform("h", lambda h, i: F.xxhash64(F.col("whole").bitwiseXOR(h), i))  # all words but one
     holes = F.when(F.col("side") == 0, F.slice(holes, m + 1, F.size("h"))).otherwise(F.slice(holes, F.lit(1), m))
     keyed = cut(met.withColumn("whole", whole).select(F.col("k").alias("line"), F.explode(holes).alias("k")))
-    held = keyed.join(rest.select("site", "c", F.col("k").alias("line")), "line").groupBy("site", "k").agg(F.sum("c").alias("c"), F.lit(False).alias("fixed"))
-    varied = held.groupBy("k").agg(F.sum("c").alias("c")).where(f"c >= {MIN_PAGES}").select("k")
-    _, family = sizes.recurring(held.join(varied, "k", "left_semi"))
-    return keyed.join(broadcast_if_small(cut(family)), "k", "left_semi").select(F.col("line").alias("k")).distinct()
+    held = cut(keyed.join(rest.select("site", "c", F.col("k").alias("line")), "line").groupBy("site", "k").agg(F.sum("c").alias("c")))
+    varied = held.groupBy("k").agg(F.sum("c").alias("c")).where(f"c >= {MIN_PAGES}").select("k", F.lit(True).alias("_v"))
+    held = cut(flagged(held, cut(varied), ["k"]).where("_v").select("site", "k", "c"))
+    own = cut(sizes.own(held))
+    family = sizes.family(own, held)
+    line = lambda d, *by: d.groupBy(*by, F.col("line").alias("k")).agg(F.min("key").alias("key"))
+    named = keyed.select("line", F.col("k").alias("key"))
+    own = named.join(own.select("site", F.col("k").alias("key")), "key").join(rest.select("site", F.col("k").alias("line")), ["site", "line"])
+    return line(own, "site"), line(named.join(broadcast_if_small(cut(family.select(F.col("k").alias("key")))), "key"))
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -167,7 +202,7 @@ def common_words(a: list[str], b: list[str]) -> int:
 
 
 def _slots(rest: DataFrame, wrapper: DataFrame) -> DataFrame:
-    """(k) of templates of rest that are wrapper lines but for text slots. Both: (k, t).
+    """(k, key): templates of rest that are wrapper lines but for text slots, each with the hashes of those. Both: (k, t).
 
     Where SLOT_SHARE of both lines' words agree in order, the lines have `least` of the words of either in common, wherever those
     stand. So in any one order of words, here the rarest of the wrapper first, what is left of each line without its last
@@ -191,137 +226,301 @@ def _slots(rest: DataFrame, wrapper: DataFrame) -> DataFrame:
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([2 * common_words(u := a.split(), v := b.split()) >= SLOT_SHARE * (len(u) + len(v)) - 1e-9 for a, b in zip(x, y, strict=True)], dtype="bool")
 
-    return pairs.where(agree("t", "ft")).select("k").distinct()
+    return pairs.where(agree("t", "ft")).select("k", F.col("fk").alias("key"))
 
 
-_ROW = ("n", "load", "k", "frame", "most", "title", "item", "rank")
+class Wrapper:
+    """An expression: items in order, and of each how its pages bear it out.
 
+    pages: pages that have it; sure: those of them on which it needs no evidence of place; beside: those on which it lies beside an item
+    or an end of the text; runs, lists, reach, clean: runs of lines behind it that could be entries of a list, those of two or more, their sum,
+    and the longest that the structure of its page ends.
+    """
 
-def _by_page(marked: DataFrame) -> DataFrame:
-    """A page's lines in order, each of _ROW an array."""
-    rows = marked.groupBy("path", "site").agg(F.array_sort(F.collect_list(F.struct(*_ROW))).alias("r"))
-    return rows.select("path", "site", *(F.col(f"r.{c}").alias(c) for c in _ROW))
-
+    STATS = ("pages", "sure", "beside", "runs", "lists", "reach", "clean")
+
+    def __init__(self) -> None:
+        self.keys: list[int] = []
+        self.stats: list[list[int]] = []
+        self.at: dict[int, list[int]] = {}
+
+    def align(self, keys: Sequence[int]) -> list[int]:
+        """The place of each key, -1 where it has none: a longest common subsequence with the expression."""
+        ends: list[int] = []
+        last: list[tuple[int, int]] = []  # (key's index, place) of the end of the best chain of each length
+        back: dict[tuple[int, int], tuple[int, int] | None] = {}
+        for j, key in enumerate(keys):
+            for p in reversed(self.at.get(key, ())):
+                n = bisect_left(ends, p)
+                back[j, p] = last[n - 1] if n else None
+                if n == len(ends):
+                    ends.append(p)
+                    last.append((j, p))
+                elif p < ends[n]:
+                    ends[n], last[n] = p, (j, p)
+        out = [-1] * len(keys)
+        step = last[-1] if last else None
+        while step:
+            out[step[0]] = step[1]
+            step = back[step]
+        return out
+
+    def add(self, keys: Sequence[int], stats: Sequence[Sequence[int]]) -> None:
+        """Aligns a page's items, or another wrapper's, and merges them."""
+        places = self.align(keys)
+        if -1 in places:
+            new_keys: list[int] = []
+            new_stats: list[list[int]] = []
+            taken = 0
+            for j, p in enumerate(places):
+                if p >= 0:
+                    new_keys += self.keys[taken : p + 1]
+                    new_stats += self.stats[taken : p + 1]
+                    taken = p + 1
+                    places[j] = len(new_keys) - 1
+                else:
+                    new_keys.append(keys[j])
+                    new_stats.append([0] * len(self.STATS))
+                    places[j] = len(new_keys) - 1
+            self.keys, self.stats = new_keys + self.keys[taken:], new_stats + self.stats[taken:]
+            self.at = {}
+            for p, key in enumerate(self.keys):
+                self.at.setdefault(key, []).append(p)
+        for p, one in zip(places, stats, strict=True):
+            mine = self.stats[p]
+            for i, v in enumerate(one[:-1]):
+                mine[i] += v
+            mine[-1] = max(mine[-1], one[-1])
+
+
+def _run(key: Sequence[int], item: Sequence[bool], rank: Sequence[int], i: int) -> int:
+    """Lines that follow line i and could be entries of a list: as far as their numbers run, or up to an item or a paragraph."""
+    n = len(key)
+    j = i + 1
+    if j < n and rank[j] == 1:
+        while j < n and rank[j] == j - i:
+            j += 1
+    else:
+        while j < n and not key[j] and item[j]:
+            j += 1
+    return j - i - 1
 
-def _pages(batch: pd.DataFrame) -> Iterator[list[dict]]:
-    """Each page's lines; of several loads those of the greatest hash, of repeated rows one."""
-    for cols in zip(*(batch[c] for c in _ROW), strict=True):
-        rows = [dict(zip(_ROW, r, strict=True)) for r in zip(*(c.tolist() for c in cols), strict=True)]
-        if len(rows) > rows[-1]["n"] + 1:
-            load = max(r["load"] for r in rows)
-            rows = list({r["n"]: r for r in rows if r["load"] == load}.values())
-        yield rows
 
+def page_stats(key: Sequence[int], sure: Sequence[bool], title: Sequence[bool], item: Sequence[bool], rank: Sequence[int]) -> tuple[list[int], list[list[int]]]:
+    """The items of a page and what each says (Wrapper.STATS). key is 0 for lines that are no items."""
+    n = len(key)
+    first = next((i for i in range(n) if title[i]), n)
+    keys, stats = [], []
+    for i in range(n):
+        if not key[i]:
+            continue
+        run = _run(key, item, rank, i)
+        end = i + 1 + run
+        clean = run > 0 and i > first and (end == n or key[end]) and not rank[i + 1]
+        beside = i == 0 or i == n - 1 or bool(key[i - 1] and sure[i - 1]) or bool(key[i + 1] and sure[i + 1])
+        keys.append(key[i])
+        stats.append([1, int(sure[i]), int(beside), 1, int(run >= 2), run, run if clean else 0])
+    return keys, stats
 
-def _run(rows: list[dict], i: int) -> int:
-    """Lines that follow line i and could be entries of a list."""
-    j = i + 1
-    while j < len(rows) and not rows[j]["frame"] and rows[j]["item"]:
-        j += 1
-    return j - i - 1
 
+def entries(frame: Sequence[bool], most: Sequence[int | None], title: Sequence[bool], item: Sequence[bool], rank: Sequence[int]) -> set[int]:
+    """Places of the entries of a page's lists. most, of a line that heads a list: the longest list that ends by structure; None of any other line.
 
-def entries(rows: list[dict]) -> set[int]:
-    """Places of the list entries of a page. `most` of a head line: how many entries without numbers its lists have at most (0: no head)."""
+    Numbered entries run as far as the numbers. Others run to the page's own title, or to the next item or the end of the text; where a
+    paragraph ends them, which may have a head of its own, they are as many as the longest list of that head.
+    """
     out: set[int] = set()
-    titles = [i for i, r in enumerate(rows) if r["title"]]
-    for i, r in enumerate(rows):
-        if not r["frame"] or not r["most"]:
-            continue
-        j = i + 1
-        if j < len(rows) and rows[j]["rank"] == 1:
-            k = 1
-            while j < len(rows) and rows[j]["rank"] == k:
-                out.add(j)
-                j, k = j + 1, k + 1
+    n = len(frame)
+    titles = [i for i in range(n) if title[i]]
+    for i in range(n):
+        if not frame[i] or most[i] is None:
             continue
-        end = i + 1 + _run(rows, i)
-        own = next((t for t in titles if i < t <= end), None)
-        if own is not None and own < end:
+        end = i + 1 + _run(frame, item, rank, i)
+        own = next((t for t in titles if i < t < end), None)
+        if end > i + 1 and rank[i + 1] == 1:
+            pass
+        elif own is not None:
             end = own
-        elif not titles and end < len(rows) and not rows[end]["frame"] and end - i > 2:
-            end -= 1  # what stands before the first paragraph is the title
-        out.update(range(i + 1, min(end, i + 1 + r["most"])))
+        elif end < n and not frame[end] and end not in titles:
+            if not titles and end - i > 2:
+                end -= 1  # what stands before the first paragraph is the title
+            if most[i]:
+                end = min(end, i + 1 + most[i])
+        out.update(range(i + 1, end))
     return out
 
 
-def frame(pages: DataFrame) -> DataFrame:
-    """(path, line_no, frame): every line of every text, and whether it belongs to the site's frame. pages: (path, html, texte).
+_COLS = ("key", "sure", "title", "item", "rank")
+_NODES = "site long, chunk int, key array<long>, " + ", ".join(f"{c} array<int>" for c in Wrapper.STATS)
+
+
+def _by_page(rows: DataFrame) -> DataFrame:
+    """A page's lines in order, each of _COLS an array."""
+    r = rows.groupBy("site", "path").agg(F.array_sort(F.collect_list(F.struct("n", "k", *_COLS))).alias("r"))
+    return r.select("site", "path", *(F.col(f"r.{c}").alias(c) for c in ("k", *_COLS)))
 
-    Where a path was loaded with several texts, all count for the wrappers and the one of the greatest hash is given.
+
+def _laid(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("site", "chunk").sortWithinPartitions("site", "chunk", *order)
+
+
+def _wrappers(paged: DataFrame, largest: int) -> DataFrame:
+    """_NODES: the wrapper of each site, chunk 0. paged: (site, chunk, path, *_COLS)."""
+
+    def grown(batches: Iterable[pd.DataFrame], columns: Sequence[str], read) -> Iterator[pd.DataFrame]:
+        every = (row for b in batches for row in zip(*(b[c] for c in ("site", "chunk", *columns)), strict=True))
+        out: list[tuple] = []
+        for (site, chunk), group in groupby(every, key=lambda r: (r[0], r[1])):
+            w = Wrapper()
+            for r in group:
+                w.add(*read(*r[2:]))
+            out.append((site, chunk, w.keys, *([s[i] for s in w.stats] for i in range(len(Wrapper.STATS)))))
+            if len(out) >= 1000:
+                yield pd.DataFrame(out, columns=["site", "chunk", "key", *Wrapper.STATS])
+                out = []
+        yield pd.DataFrame(out, columns=["site", "chunk", "key", *Wrapper.STATS])
+
+    def of_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return grown(batches, _COLS, lambda *c: page_stats(*(x.tolist() for x in c)))
+
+    def of_wrappers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return grown(batches, ("key", *Wrapper.STATS), lambda key, *stats: (key.tolist(), list(zip(*(s.tolist() for s in stats), strict=True))))
+
+    nodes = cut(_laid(paged.select("site", "chunk", "path", *_COLS), "path").mapInPandas(of_pages, _NODES))
+    chunks = -(-largest // CHUNK_PAGES)
+    while chunks > 1:
+        chunks = -(-chunks // FAN_IN)
+        joint = nodes.withColumnRenamed("chunk", "part").withColumn("chunk", F.floor(F.col("part") / FAN_IN).cast("int"))
+        nodes = cut(_laid(joint, "part").mapInPandas(of_wrappers, _NODES))
+    return nodes
+
+
+def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(paged, items, texts): pages by line; the items of every site's expression; and the templates they stand for.
+
+    paged: (site, chunk, path, k, *_COLS). items: (site, pos, key, pages, of, kept, most): the item's place, how many pages of how many
+    have it, whether it is frame, and for the head of a repeated group the longest list that ends by structure (NULL: no head). texts: (key, t, slot).
     """
-    every = cut(lines(pages))
+    every = cut(lines(newest(pages)))
     sizes = _Sizes(every)
     counts = cut(_counts(every))
-    per_host, family = map(cut, sizes.recurring(counts))
+    strong = cut(sizes.own(counts))
+    per_host = cut(strong.unionByName(_layouts(every, counts, strong)))
+    family = cut(sizes.family(per_host, counts))
     yes = lambda d, name: d.withColumn(name, F.lit(True))
 
     # groups of parts: a part is known as a line of its own, or recurs as a part
     kinds = cut(every.where("pk is not null").groupBy("site", "pk").agg(F.count(F.lit(1)).alias("c"), F.first("parts").alias("parts")))
-    cells = kinds.select("site", "pk", "c", F.size("parts").alias("m"), F.explode("parts").alias("t")).withColumn("k", F.xxhash64("t"))
-    of_parts = cells.where("m > 1 and instr(t, '#') = 0").groupBy("site", "k").agg(F.sum("c").alias("c"), F.lit(False).alias("fixed"))
-    _, part_family = sizes.recurring(of_parts, often=False)
-    as_part = cut(family.unionByName(part_family).distinct())
-    grouped = cells.join(yes(broadcast_if_small(as_part), "ok"), "k", "left").join(yes(broadcast_if_small(per_host), "here"), ["site", "k"], "left")
+    cells = cut(kinds.select("site", "pk", "c", F.size("parts").alias("m"), F.explode("parts").alias("t")).withColumn("k", F.xxhash64("t")))
+    part_counts = cut(cells.where("m > 1 and instr(t, '#') = 0").groupBy("site", "k").agg(F.sum("c").alias("c")))
+    part_host = cut(sizes.own(part_counts))
+    as_part = cut(family.unionByName(sizes.family(part_host, part_counts)).distinct())
+    here = cut(per_host.unionByName(part_host).distinct())
+    grouped = flagged(flagged(cells, yes(as_part, "ok"), ["k"]), yes(here, "here"), ["site", "k"])
     grouped = cut(grouped.groupBy("site", "pk").agg(F.every(F.coalesce("ok", "here", F.lit(False))).alias("all")).where("all").select("site", "pk"))
     # menus without signs between their entries: every word is one of short entries
-    texts = cut(every.where("t is not null").groupBy("k", "t").agg(F.max("bare").alias("bare")))
-    said = texts.select("k", "t")
-    entry = said.unionByName(cells.select("k", "t").distinct()).where("size(split(t, ' ')) <= 3").join(as_part, "k", "left_semi")
-    entry = yes(broadcast_if_small(cut(entry.select(F.explode(F.split("t", " ")).alias("w")).distinct())), "is")
-    spaced = texts.where("bare and size(split(t, ' ')) >= 4 and instr(t, '#') = 0").select("k", "t", F.substring_index("t", " ", 1).alias("w")).join(entry, "w", "left_semi")
-    menus = spaced.select("k", F.explode(F.split("t", " ")).alias("w")).join(entry, "w", "left").groupBy("k").agg(F.every(F.coalesce("is", F.lit(False))).alias("all")).where("all").select("k")
-
-    line = cut(as_part.unionByName(menus).distinct())
-    exact = every.join(broadcast_if_small(yes(line, "f")), "k", "left").join(broadcast_if_small(yes(per_host, "h")), ["site", "k"], "left").join(broadcast_if_small(yes(grouped, "grouped")), ["site", "pk"], "left")
-    exact = cut(exact.select("path", "load", "site", "n", "k", "title", "item", "rank", F.coalesce("f", "h", "grouped", F.lit(False)).alias("frame")))
+    texts = cut(every.where("t is not null").groupBy("k", "t").agg(F.max("item").alias("bare")))
+    entry = texts.select("k", "t").unionByName(cells.select("k", "t").distinct()).where("size(split(t, ' ')) <= 3").join(as_part.unionByName(here.select("k")).distinct(), "k", "left_semi")
+    entry = yes(cut(entry.select(F.explode(F.split("t", " ")).alias("w")).distinct()), "is")
+    spaced = flagged(texts.where("bare and size(split(t, ' ')) >= 4 and instr(t, '#') = 0").select("k", "t", F.substring_index("t", " ", 1).alias("w")), entry, ["w"]).where("is")
+    menus = flagged(spaced.select("k", F.explode(F.split("t", " ")).alias("w")), entry, ["w"]).groupBy("k").agg(F.every(F.coalesce("is", F.lit(False))).alias("all")).where("all").select("k")
+
+    marked = flagged(flagged(flagged(every, yes(as_part, "f"), ["k"]), yes(per_host, "h"), ["site", "k"]), yes(grouped, "g"), ["site", "pk"])
+    marked = cut(flagged(marked, yes(cut(menus), "m"), ["k"]).select("path", "site", "n", "k", "title", "item", F.coalesce("rank", F.lit(0)).alias("rank"), "f", "h", F.coalesce("g", "m").alias("g")))
     # text slots: lines that recur but for one word; then lines like those known
-    rest = cut(counts.join(exact.where("not frame").select("site", "k").distinct(), ["site", "k"], "left_semi").where("k <> 0"))
+    open_here = marked.where("f is null and h is null and g is null and k <> 0").select("site", "k").distinct()
+    rest = cut(counts.join(open_here, ["site", "k"], "left_semi"))
     open_texts = cut(rest.groupBy("k").agg(F.sum("c").alias("c")).join(texts.select("k", "t"), "k"))
-    holed = cut(_wildcards(open_texts, rest, sizes))
-    known = line.unionByName(per_host.select("k")).unionByName(holed).distinct()
-    opened = open_texts.select("k", "t").join(broadcast_if_small(holed), "k", "left_anti")
-    slots = cut(_slots(opened, texts.join(broadcast_if_small(cut(known)), "k", "left_semi").select("k", "t")).unionByName(holed))
+    holed_here, holed = map(cut, _wildcards(open_texts, rest, sizes))
+    holed_any = cut(holed.select("k").unionByName(holed_here.select("k")).distinct())
+    known = cut(as_part.unionByName(per_host.select("k")).unionByName(holed_any).distinct())
+    said = flagged(texts.select("k", "t"), yes(known, "known"), ["k"]).where("known").select("k", "t")
+    alike = cut(_slots(flagged(open_texts.select("k", "t"), yes(holed_any, "x"), ["k"]).where("x is null").select("k", "t"), said))
+    slot_here = rest.select("site", "k").join(broadcast_if_small(alike), "k").join(broadcast_if_small(per_host.withColumnRenamed("k", "key")), ["site", "key"]).groupBy("site", "k").agg(F.min("key").alias("key"))
+    slots = alike.groupBy("k").agg(F.min("key").alias("key")).unionByName(holed.select("k", "key"))
+    own_slots = cut(holed_here.unionByName(slot_here).groupBy("site", "k").agg(F.min("key").alias("a")))
+    group = F.xxhash64(F.lit("group"))
+    marked = flagged(flagged(marked, own_slots, ["site", "k"]), cut(slots.groupBy("k").agg(F.min("key").alias("b"))), ["k"])
+    key = F.when(F.col("h"), F.col("k")).when(F.col("g"), group).when(F.col("f"), F.col("k")).otherwise(F.coalesce("a", "b", F.lit(0)))
+    marked = flagged(marked.withColumn("key", F.when(F.col("k") == 0, 0).otherwise(key)), sizes.of, ["site"])
+    sure = F.coalesce("h", "g", F.col("a").isNotNull() | (F.col("pages") < MIN_PAGES))
+    paged = _by_page(marked.select("site", "path", "n", "k", "key", sure.alias("sure"), "title", "item", "rank"))
+    chunks = F.ceil(F.col("pages") / CHUNK_PAGES)
+    paged = cut(flagged(paged, sizes.of, ["site"]).withColumn("chunk", F.pmod(F.xxhash64("path"), chunks).cast("int")).drop("pages"))
+
+    nodes = _wrappers(paged, sizes.largest)
+    each = nodes.select("site", F.posexplode(F.arrays_zip("key", *Wrapper.STATS)).alias("pos", "x")).select("site", "pos", "x.*")
+    each = cut(flagged(each, sizes.of.withColumnRenamed("pages", "of"), ["site"]))
+    kept = F.greatest("sure", "beside") >= PLACE_SHARE * F.col("pages")
+    heads = lambda d, *by: d.groupBy(*by, "key").agg(*(F.sum(c).alias(c) for c in ("runs", "lists", "reach")), F.max("clean").alias("clean")).where(f"runs >= {MIN_PAGES}")
+    most = lambda d, name: d.select(*(c for c in ("site", "key") if c in d.columns), F.when((F.col("lists") >= 0.9 * F.col("runs")) & (F.col("reach") >= 2 * F.col("runs")), F.col("clean")).alias(name))
+    own, of_all = most(heads(each, "site"), "here"), most(heads(each), "any")
+    items = flagged(flagged(each.withColumn("kept", kept), cut(own), ["site", "key"]), cut(of_all), ["key"])
+    # what a host's own lists show counts; where they are too few or mixed with items, those of all hosts
+    items = items.withColumn("most", F.coalesce("here", "any"))
+    items = cut(items.select("site", "pos", "key", "pages", "of", "kept", "most"))
+    named = texts.select(F.col("k").alias("key"), "t", F.lit(False).alias("slot")).unionByName(slots.select("key", "k").unionByName(own_slots.select(F.col("a").alias("key"), "k")).join(texts.select("k", "t"), "k").select("key", "t", F.lit(True).alias("slot")))
+    return paged, items, named
 
-    marked = cut(exact.join(broadcast_if_small(yes(slots, "s")), "k", "left").select("path", "load", "site", "n", "k", (F.col("frame") | F.coalesce("s", F.lit(False))).alias("frame"), "title", "item", F.coalesce("rank", F.lit(0)).alias("rank")))
 
-    def following(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for rows in _pages(b):
-                first = next((i for i, r in enumerate(rows) if r["title"]), len(rows))
-                for i, r in enumerate(rows):
-                    if r["frame"]:
-                        run = _run(rows, i)
-                        end = i + 1 + run
-                        clean = run > 0 and i > first and (end == len(rows) or rows[end]["frame"]) and not rows[i + 1]["rank"]
-                        out.append((r["k"], run, float(run) if clean else None))
-            yield pd.DataFrame(out, columns=["k", "run", "clean"])
-
-    runs = _by_page(marked.withColumn("most", F.lit(0))).mapInPandas(following, "k long, run long, clean double")
-    # the lists of a head have two entries at least
-    heads = runs.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.avg((F.col("run") >= 2).cast("double")).alias("lists"), F.avg("run").alias("run"), F.percentile_approx("clean", 0.9).alias("most"))
-    heads = cut(heads.where(f"m >= {MIN_PAGES} and lists >= 0.9 and run >= 2").select("k", F.coalesce("most", "run").cast("int").alias("most")))
-    headed = marked.join(broadcast_if_small(heads), "k", "left").withColumn("most", F.coalesce("most", F.lit(0)))
-
-    def without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def frame(pages: DataFrame) -> DataFrame:
+    """(path, line_no, frame): every line of every text, and whether it belongs to the site's frame. pages: (path, html, texte, loaded_at or not).
+
+    Pages without a path or text have no lines. Of several loads of a path the last one's text counts. Blank lines are no frame.
+    """
+    paged, items, _ = wrappers(pages)
+    empty = lambda t: F.array().cast(f"array<{t}>")
+    rows = paged.select("site", "chunk", F.lit(1).alias("o"), "path", "k", "key", "title", "item", "rank", empty("boolean").alias("kept"), empty("int").alias("most"))
+    inner = F.array_sort(F.collect_list(F.struct("pos", "key", "kept", "most")))
+    heads = items.groupBy("site").agg(inner.alias("r")).join(paged.select("site", "chunk").distinct(), "site")
+    heads = heads.select("site", "chunk", F.lit(0).alias("o"), F.lit("").alias("path"), empty("long").alias("k"), F.col("r.key").alias("key"), empty("boolean").alias("title"), empty("boolean").alias("item"), empty("int").alias("rank"), F.col("r.kept").alias("kept"), F.transform("r.most", lambda m: F.coalesce(m, F.lit(-1))).alias("most"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, kept, most = Wrapper(), [], []
         for b in batches:
             out = []
-            for p, s, rows in zip(b["path"], b["site"], _pages(b), strict=True):
-                gone = entries(rows)
-                left = [i for i, r in enumerate(rows) if not r["frame"] and i not in gone]
-                out += [(p, s, r["n"], r["k"], r["frame"] or i in gone, len(left) == 1 and i == left[0]) for i, r in enumerate(rows)]
+            for site, o, path, k, key, title, item, rank, ok, longest in zip(*(b[c] for c in ("site", "o", "path", "k", "key", "title", "item", "rank", "kept", "most")), strict=True):
+                if not o:
+                    w = Wrapper()
+                    w.keys = key.tolist()
+                    for p, x in enumerate(w.keys):
+                        w.at.setdefault(x, []).append(p)
+                    kept, most = ok.tolist(), longest.tolist()
+                    continue
+                key, k = key.tolist(), k.tolist()
+                at = [i for i, x in enumerate(key) if x]
+                framed = [False] * len(key)
+                heads: list[int | None] = [None] * len(key)
+                for i, p in zip(at, w.align([key[i] for i in at]), strict=True):
+                    if p >= 0 and kept[p]:
+                        framed[i] = True
+                        heads[i] = most[p] if most[p] >= 0 else None
+                gone = entries(framed, heads, title.tolist(), item.tolist(), rank.tolist())
+                left = [i for i, f in enumerate(framed) if not f and i not in gone]
+                out += [(path, site, i, k[i], f or i in gone, left == [i]) for i, f in enumerate(framed)]
             yield pd.DataFrame(out, columns=["path", "site", "n", "k", "frame", "only"])
 
-    final = cut(_by_page(headed).mapInPandas(without, "path string, site long, n int, k long, frame boolean, only boolean"))
-    notices = final.where("only").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("site").alias("hosts")).where("c >= 3 and hosts >= 2").select("k", F.lit(True).alias("notice"))
-    out = final.join(notices, "k", "left")
-    return out.select("path", F.col("n").alias("line_no"), (F.col("frame") | (F.col("only") & F.coalesce("notice", F.lit(False)))).alias("frame"))
+    final = cut(_laid(rows.unionByName(heads), "o").mapInPandas(read, "path string, site long, n int, k long, frame boolean, only boolean"))
+    alone = cut(final.where("only").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("site").alias("hosts")))
+    least = NOTICE_SHARE * (alone.agg(F.sum("c")).first()[0] or 0)
+    notices = cut(alone.where((F.col("hosts") >= 2) & (F.col("c") >= max(3.0, least))).select("k", F.lit(True).alias("notice")))
+    return flagged(final, notices, ["k"]).select("path", F.col("n").alias("line_no"), (F.col("frame") | (F.col("only") & F.coalesce("notice", F.lit(False)))).alias("frame"))
+
+
+def expressions(pages: DataFrame) -> DataFrame:
+    """(site, pos, kind, template, pages, of, most): the items of every site's wrapper in order; any text may stand between them.
+
+    kind: `fixed` if all pages have it, `optional`, `slot` for lines that agree but for words, `group` for menus; most: the longest list
+    behind a head. site is a hash.
+    """
+    _, items, texts = wrappers(pages)
+    texts = texts.groupBy("key").agg(F.min("t").alias("template"), F.every("slot").alias("slot"))
+    kind = F.when(F.col("key") == F.xxhash64(F.lit("group")), "group").when(F.col("slot"), "slot").when(F.col("pages") >= F.col("of"), "fixed").otherwise("optional")
+    return flagged(items.where("kept"), cut(texts), ["key"]).select("site", "pos", kind.alias("kind"), "template", "pages", "of", "most")
 
 
 def articles(pages: DataFrame, framed: DataFrame) -> DataFrame:
     """(path, article): each text without its frame; "" if nothing is left. Pages without text have no row."""
-    text = pages.where("path is not null and texte is not null").groupBy("path").agg(F.max_by("texte", F.xxhash64("texte")).alias("texte"))
-    body = text.select("path", F.posexplode(F.split("texte", "\n")).alias("line_no", "line")).join(framed, ["path", "line_no"])
+    body = newest(pages).select("path", F.posexplode(F.split("texte", "\n")).alias("line_no", "line")).join(framed, ["path", "line_no"])
     kept = F.array_sort(F.collect_list(F.when(~F.col("frame"), F.struct("line_no", "line"))))
     return body.groupBy("path").agg(F.array_join(F.transform(kept, lambda r: r["line"]), "\n").alias("article"))

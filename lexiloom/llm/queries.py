@@ -17,7 +17,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "bulletins").select("path", "html", "texte")
+    return table(s, d, "bulletins").select("path", "html", "texte", "loaded_at")
 
 
 def _packed(s: SparkSession, d: str) -> tuple[DataFrame, int]:
@@ -39,6 +39,7 @@ def _alike(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: boilerplate.frame(_pages(s, d)).where("frame").select("path", "line_no"),
     "p1_articles": lambda s, d: boilerplate.articles(_pages(s, d), boilerplate.frame(_pages(s, d))),
+    "p1_wrappers": lambda s, d: boilerplate.expressions(_pages(s, d)),
     "p2_found": lambda s, d: distinctive.typical(table(s, d, "tokens")).select("article", "token"),
     "p2_residuals": lambda s, d: distinctive.residuals(table(s, d, "tokens")).select(
         "article", "token", "tf", "df", F.round("score", 6).alias("score"), F.round("residual", 6).alias("residual")
