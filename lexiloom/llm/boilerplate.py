@@ -33,7 +33,9 @@ from lexiloom.sources.corpus import latest
 
 #: A line is an item of a host from this share of its pages, and from MIN_PAGES anyway: fewer may agree by chance.
 HOST_SHARE, MIN_PAGES = 0.08, 4
-#: A line is the family's if this share of the hosts that can show a recurrence have it as an item, two at least; or if this share of the
+#: From so many pages on a host shows all its items by itself; smaller ones lean on the family.
+OWN_PAGES = MIN_PAGES / HOST_SHARE
+#: A line is the family's if hosts have it as an item, as many as this share of the hosts of OWN_PAGES, two at least; or if this share of the
 #: hosts that are too small for one hold it (a third of that share, MIN_PAGES at least), and SMALL_TIMES as often as by their share of the pages of hosts whose item it isn't.
 FAMILY_SHARE, SMALL_TIMES = 0.03, 5
 #: How much of a line's occurrences must lie beside the same line (rare layouts) or beside items (the family's lines on large hosts).
@@ -132,7 +134,7 @@ class _Sizes:
     def __init__(self, every: DataFrame) -> None:
         self.of = cut(every.where("n = 0").select("site", "who").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages")))
         small = F.col("pages") < MIN_PAGES
-        r = self.of.agg(F.sum("pages"), F.sum(F.when(small, F.col("pages"))), F.count_if(~small), F.count_if(small), F.max("pages")).first()
+        r = self.of.agg(F.sum("pages"), F.sum(F.when(small, F.col("pages"))), F.count_if(F.col("pages") >= OWN_PAGES), F.count_if(small), F.max("pages")).first()
         self.total, self.small, self.large_hosts, self.small_hosts, self.largest = float(r[0] or 0), float(r[1] or 0), r[2], r[3], int(r[4] or 0)
 
     def own(self, counts: DataFrame) -> DataFrame:
@@ -232,7 +234,7 @@ def _slots(rest: DataFrame, wrapper: DataFrame) -> DataFrame:
 class Wrapper:
     """An expression: items in order, and of each how its pages bear it out.
 
-    pages: pages that have it; sure: those of them on which it needs no evidence of place; beside: those on which it lies beside an item
+    pages: pages that have it; sure: those of them on which it needs no evidence of place; beside: those on which it lies beside a sure item
     or an end of the text; runs, lists, reach, clean: runs of lines behind it that could be entries of a list, those of two or more, their sum,
     and the longest that the structure of its page ends.
     """
@@ -306,25 +308,27 @@ def _run(key: Sequence[int], item: Sequence[bool], rank: Sequence[int], i: int)
     return j - i - 1
 
 
-def page_stats(key: Sequence[int], sure: Sequence[bool], title: Sequence[bool], item: Sequence[bool], rank: Sequence[int]) -> tuple[list[int], list[list[int]]]:
-    """The items of a page and what each says (Wrapper.STATS). key is 0 for lines that are no items."""
+def page_stats(key: Sequence[int], sure: Sequence[int], title: Sequence[bool], item: Sequence[bool], rank: Sequence[int]) -> tuple[list[int], list[list[int]]]:
+    """The items of a page and what each says (Wrapper.STATS). key is 0 for lines that are no items; sure: 0 if an item needs evidence of
+    place, 1 if it doesn't but may be an entry of a list, 2 if it ends a list."""
     n = len(key)
+    stop = [k if s == 2 else 0 for k, s in zip(key, sure, strict=True)]
     first = next((i for i in range(n) if title[i]), n)
     keys, stats = [], []
     for i in range(n):
         if not key[i]:
             continue
-        run = _run(key, item, rank, i)
+        run = _run(stop, item, rank, i)
         end = i + 1 + run
-        clean = run > 0 and i > first and (end == n or key[end]) and not rank[i + 1]
+        clean = run > 0 and i > first and (end == n or stop[end]) and not rank[i + 1]
         beside = i == 0 or i == n - 1 or bool(key[i - 1] and sure[i - 1]) or bool(key[i + 1] and sure[i + 1])
         keys.append(key[i])
-        stats.append([1, int(sure[i]), int(beside), 1, int(run >= 2), run, run if clean else 0])
+        stats.append([1, int(sure[i] > 0), int(beside), 1, int(run >= 2), run, run if clean else 0])
     return keys, stats
 
 
-def entries(frame: Sequence[bool], most: Sequence[int | None], title: Sequence[bool], item: Sequence[bool], rank: Sequence[int]) -> set[int]:
-    """Places of the entries of a page's lists. most, of a line that heads a list: the longest list that ends by structure; None of any other line.
+def entries(frame: Sequence[bool], stop: Sequence[bool], most: Sequence[int | None], title: Sequence[bool], item: Sequence[bool], rank: Sequence[int]) -> set[int]:
+    """Places of the entries of a page's lists. stop: items that are no entries themselves; most, of a line that heads a list: the longest list that ends by structure; None of any other line.
 
     Numbered entries run as far as the numbers. Others run to the page's own title, or to the next item or the end of the text; where a
     paragraph ends them, which may have a head of its own, they are as many as the longest list of that head.
@@ -335,7 +339,7 @@ def entries(frame: Sequence[bool], most: Sequence[int | None], title: Sequence[b
     for i in range(n):
         if not frame[i] or most[i] is None:
             continue
-        end = i + 1 + _run(frame, item, rank, i)
+        end = i + 1 + _run(stop, item, rank, i)
         own = next((t for t in titles if i < t < end), None)
         if end > i + 1 and rank[i + 1] == 1:
             pass
@@ -405,8 +409,9 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sizes = _Sizes(every)
     counts = cut(_counts(every))
     strong = cut(sizes.own(counts))
-    per_host = cut(strong.unionByName(_layouts(every, counts, strong)))
-    family = cut(sizes.family(per_host, counts))
+    rare = _layouts(every, counts, strong).withColumn("soft", F.lit(True))
+    per_host = cut(strong.withColumn("soft", F.lit(False)).unionByName(rare))
+    family = cut(sizes.family(per_host.select("site", "k"), counts))
     yes = lambda d, name: d.withColumn(name, F.lit(True))
 
     # groups of parts: a part is known as a line of its own, or recurs as a part
@@ -415,7 +420,7 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     part_counts = cut(cells.where("m > 1 and instr(t, '#') = 0").groupBy("site", "k").agg(F.sum("c").alias("c")))
     part_host = cut(sizes.own(part_counts))
     as_part = cut(family.unionByName(sizes.family(part_host, part_counts)).distinct())
-    here = cut(per_host.unionByName(part_host).distinct())
+    here = cut(per_host.select("site", "k").unionByName(part_host).distinct())
     grouped = flagged(flagged(cells, yes(as_part, "ok"), ["k"]), yes(here, "here"), ["site", "k"])
     grouped = cut(grouped.groupBy("site", "pk").agg(F.every(F.coalesce("ok", "here", F.lit(False))).alias("all")).where("all").select("site", "pk"))
     # menus without signs between their entries: every word is one of short entries
@@ -426,7 +431,7 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     menus = flagged(spaced.select("k", F.explode(F.split("t", " ")).alias("w")), entry, ["w"]).groupBy("k").agg(F.every(F.coalesce("is", F.lit(False))).alias("all")).where("all").select("k")
 
     marked = flagged(flagged(flagged(every, yes(as_part, "f"), ["k"]), yes(per_host, "h"), ["site", "k"]), yes(grouped, "g"), ["site", "pk"])
-    marked = cut(flagged(marked, yes(cut(menus), "m"), ["k"]).select("path", "site", "n", "k", "title", "item", F.coalesce("rank", F.lit(0)).alias("rank"), "f", "h", F.coalesce("g", "m").alias("g")))
+    marked = cut(flagged(marked, yes(cut(menus), "m"), ["k"]).select("path", "site", "n", "k", "title", "item", F.coalesce("rank", F.lit(0)).alias("rank"), "f", "h", "soft", F.coalesce("g", "m").alias("g")))
     # text slots: lines that recur but for one word; then lines like those known
     open_here = marked.where("f is null and h is null and g is null and k <> 0").select("site", "k").distinct()
     rest = cut(counts.join(open_here, ["site", "k"], "left_semi"))
@@ -436,14 +441,14 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     known = cut(as_part.unionByName(per_host.select("k")).unionByName(holed_any).distinct())
     said = flagged(texts.select("k", "t"), yes(known, "known"), ["k"]).where("known").select("k", "t")
     alike = cut(_slots(flagged(open_texts.select("k", "t"), yes(holed_any, "x"), ["k"]).where("x is null").select("k", "t"), said))
-    slot_here = rest.select("site", "k").join(broadcast_if_small(alike), "k").join(broadcast_if_small(per_host.withColumnRenamed("k", "key")), ["site", "key"]).groupBy("site", "k").agg(F.min("key").alias("key"))
+    slot_here = rest.select("site", "k").join(broadcast_if_small(alike), "k").join(broadcast_if_small(cut(per_host.select("site", F.col("k").alias("key")))), ["site", "key"]).groupBy("site", "k").agg(F.min("key").alias("key"))
     slots = alike.groupBy("k").agg(F.min("key").alias("key")).unionByName(holed.select("k", "key"))
     own_slots = cut(holed_here.unionByName(slot_here).groupBy("site", "k").agg(F.min("key").alias("a")))
     group = F.xxhash64(F.lit("group"))
     marked = flagged(flagged(marked, own_slots, ["site", "k"]), cut(slots.groupBy("k").agg(F.min("key").alias("b"))), ["k"])
     key = F.when(F.col("h"), F.col("k")).when(F.col("g"), group).when(F.col("f"), F.col("k")).otherwise(F.coalesce("a", "b", F.lit(0)))
     marked = flagged(marked.withColumn("key", F.when(F.col("k") == 0, 0).otherwise(key)), sizes.of, ["site"])
-    sure = F.coalesce("h", "g", F.col("a").isNotNull() | (F.col("pages") < MIN_PAGES))
+    sure = F.when(F.col("soft"), 1).when(F.coalesce("h", "g", F.col("a").isNotNull() | (F.col("pages") < OWN_PAGES)), 2).otherwise(0)
     paged = _by_page(marked.select("site", "path", "n", "k", "key", sure.alias("sure"), "title", "item", "rank"))
     chunks = F.ceil(F.col("pages") / CHUNK_PAGES)
     paged = cut(flagged(paged, sizes.of, ["site"]).withColumn("chunk", F.pmod(F.xxhash64("path"), chunks).cast("int")).drop("pages"))
@@ -470,16 +475,16 @@ def frame(pages: DataFrame) -> DataFrame:
     """
     paged, items, _ = wrappers(pages)
     empty = lambda t: F.array().cast(f"array<{t}>")
-    rows = paged.select("site", "chunk", F.lit(1).alias("o"), "path", "k", "key", "title", "item", "rank", empty("boolean").alias("kept"), empty("int").alias("most"))
+    rows = paged.select("site", "chunk", F.lit(1).alias("o"), "path", "k", "key", "sure", "title", "item", "rank", empty("boolean").alias("kept"), empty("int").alias("most"))
     inner = F.array_sort(F.collect_list(F.struct("pos", "key", "kept", "most")))
     heads = items.groupBy("site").agg(inner.alias("r")).join(paged.select("site", "chunk").distinct(), "site")
-    heads = heads.select("site", "chunk", F.lit(0).alias("o"), F.lit("").alias("path"), empty("long").alias("k"), F.col("r.key").alias("key"), empty("boolean").alias("title"), empty("boolean").alias("item"), empty("int").alias("rank"), F.col("r.kept").alias("kept"), F.transform("r.most", lambda m: F.coalesce(m, F.lit(-1))).alias("most"))
+    heads = heads.select("site", "chunk", F.lit(0).alias("o"), F.lit("").alias("path"), empty("long").alias("k"), F.col("r.key").alias("key"), empty("int").alias("sure"), empty("boolean").alias("title"), empty("boolean").alias("item"), empty("int").alias("rank"), F.col("r.kept").alias("kept"), F.transform("r.most", lambda m: F.coalesce(m, F.lit(-1))).alias("most"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, kept, most = Wrapper(), [], []
         for b in batches:
             out = []
-            for site, o, path, k, key, title, item, rank, ok, longest in zip(*(b[c] for c in ("site", "o", "path", "k", "key", "title", "item", "rank", "kept", "most")), strict=True):
+            for site, o, path, k, key, sure, title, item, rank, ok, longest in zip(*(b[c] for c in ("site", "o", "path", "k", "key", "sure", "title", "item", "rank", "kept", "most")), strict=True):
                 if not o:
                     w = Wrapper()
                     w.keys = key.tolist()
@@ -495,7 +500,8 @@ def frame(pages: DataFrame) -> DataFrame:
                     if p >= 0 and kept[p]:
                         framed[i] = True
                         heads[i] = most[p] if most[p] >= 0 else None
-                gone = entries(framed, heads, title.tolist(), item.tolist(), rank.tolist())
+                stop = [f and s != 1 for f, s in zip(framed, sure.tolist(), strict=True)]
+                gone = entries(framed, stop, heads, title.tolist(), item.tolist(), rank.tolist())
                 left = [i for i, f in enumerate(framed) if not f and i not in gone]
                 out += [(path, site, i, k[i], f or i in gone, left == [i]) for i, f in enumerate(framed)]
             yield pd.DataFrame(out, columns=["path", "site", "n", "k", "frame", "only"])
