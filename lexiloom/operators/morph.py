@@ -21,6 +21,17 @@ eussions eussiez eussent
 """.split()
 
 
+# Endings of regular French words. A verb's come in place of -er.
+ENDINGS = {"nom": ("", "s"), "adjectif": ("", "s", "e", "es"), "verbe": ("er", "e", "es", "ons", "ez", "ent", "ait", "aient", "era", "eront", "é", "ée", "és", "ées", "ant")}
+
+
+def inflected(lemmas: DataFrame) -> DataFrame:
+    """(word, lemma): a lexicon of the regular forms of (lemma, kind) rows; kind is a key of ENDINGS, other rows give none."""
+    endings = F.create_map(*(x for k, v in ENDINGS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    stem = F.when(F.col("kind") == "verbe", F.regexp_replace("lemma", "er$", "")).otherwise(F.col("lemma"))
+    return lemmas.select(F.explode(F.transform(F.try_element_at(endings, F.col("kind")), lambda e: F.concat(stem, e))).alias("word"), "lemma")
+
+
 def alpha_words(docs: DataFrame, *fields: str) -> DataFrame:
     """(article, pos, word): words between white space that are letters only; pos counts all words."""
     return docs.select("article", F.posexplode(words(F.concat_ws(" ", *(fields or ("titre", "texte"))))).alias("pos", "word")).where(is_alpha("word"))

@@ -1,11 +1,32 @@
-"""SQL (DuckDB) for the queries; built from the same few parts, so each definition stands once."""
+"""SQL (DuckDB) for the queries. It takes nothing from the code that it is held against: patterns, word lists and forms are written out here."""
 
 from __future__ import annotations
 
-from lexiloom.functions.text import TOKEN, WS
-from lexiloom.operators.morph import STOP_WORDS
-from lexiloom.plans.queries import LEXICON
-
+TOKEN = r"[_\p{L}\p{N}]+"
+WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# French stop words.
+_STOPS = """
+au aux avec ce ces dans de des du elle en et eux il je la le les leur lui ma mais me même mes moi mon ne nos notre nous on ou par pas pour qu que qui
+sa se ses son sur ta te tes toi ton tu un une vos votre vous c d j l à m n s t y été étée étées étés étant étante étants étantes suis es est sommes
+êtes sont serai seras sera serons serez seront serais serait serions seriez seraient étais était étions étiez étaient fus fut fûmes fûtes furent sois
+soit soyons soyez soient fusse fusses fût fussions fussiez fussent ayant ayante ayantes ayants eu eue eues eus ai as avons avez ont aurai auras aura
+aurons aurez auront aurais aurait aurions auriez auraient avais avait avions aviez avaient eut eûmes eûtes eurent aie aies ait ayons ayez aient eusse
+eusses eût eussions eussiez eussent
+"""
+_NOUNS = """
+article banc base batterie bulletin calculateur capteur catalyseur centre chaîne chercheur composite couche culture dispositif donnée drone équipe
+étude fibre filière filtre ingénieur laboratoire laser lentille logiciel machine matériau membrane mesure méthode microscope module molécule moteur
+mousse pile plateforme polymère prix procédé programme projet protéine protocole prototype puce réacteur recherche réseau résine robot satellite
+simulation sonde spécialiste station structure surface système technique technologie traitement turbine vaccin véhicule
+"""
+_ADJECTIVES = """
+autonome chimique durable fiable flexible hybride magnétique mobile numérique optique rapide recyclable réversible robuste sensible souple stable
+thermique
+"""
+_VERBS = """
+accélérer améliorer analyser compléter contrôler détecter espérer exploiter favoriser identifier limiter optimiser prolonger protéger recycler
+remplacer simuler stabiliser transformer
+"""
 NBSP = "\xa0"
 
 
@@ -45,7 +66,14 @@ IMAGES = _pairs("i.legendeimage")
 _MAP = "m as (select map(list(word), list(replacement)) m from {})"
 ALPHA = rf"""{DOCS}, ws as (select article, list_filter(regexp_split_to_array({strip("concat_ws(' ', titre, texte)")}, '{WS}+'), lambda w: w <> '') l from docs),
 words as (select article, (generate_subscripts(l, 1) - 1)::int pos, unnest(l) word from ws), alpha as (select * from words where regexp_full_match(word, '\p{{L}}+'))"""
-_LEX = "lex(word, lemma) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in LEXICON) + ")"
+
+
+def _forms(words: str, ends: str, cut: int = 0) -> str:
+    """Rows (form, lemma) of the words with each ending."""
+    return ", ".join(f"('{w[: len(w) - cut]}{e}', '{w}')" for w in words.split() for e in ends.split(","))
+
+
+_LEX = "lex(word, lemma) as (select word, min(lemma) from (values " + ", ".join((_forms(_NOUNS, ",s"), _forms(_ADJECTIVES, ",s,e,es"), _forms(_VERBS, "er,e,es,ons,ez,ent,ait,aient,era,eront,é,ée,és,ées,ant", 2))) + ") v(word, lemma) group by word)"
 LEMMAS = f"{ALPHA}, {_LEX}, lemmas as (select article, pos, a.word, coalesce(lemma, lower(a.word)) reduction from alpha a left join lex on lower(a.word) = lex.word)"
 
 
@@ -110,23 +138,46 @@ def _xml() -> str:
 
 
 def _useful() -> str:
-    values = ", ".join("('" + w.replace("'", "''") + "')" for w in STOP_WORDS)
+    values = ", ".join("('" + w.replace("'", "''") + "')" for w in _STOPS.split())
     return f"with {LEMMAS}, stops(word) as (values {values}) select article, pos, word, reduction from lemmas where lower(word) not in (select word from stops)"
 
 
 _REPORT = "select count(reduction)::bigint total, count(distinct reduction)::bigint uniques, round((1 - count(distinct reduction) / nullif(count(reduction), 0)) * 100, 2) taux from"
 
 
+_TEXTS = "date bulletin article titre rubrique texte auteur contacts".split()
+
+
+def _readable(rows: str, names: list[str] = _TEXTS) -> str:
+    """Empty fields as missing ones, which files can't tell apart."""
+    return f"select {', '.join(f"nullif({c}, '') as {c}" for c in names)} from ({rows})"
+
+
 def build() -> dict[str, str]:
     page = lambda c, name=None: f"with {PARSED} select article, {c}{' as ' + name if name else ''} from page"
     fields = [f"case when {f} is not null then {_rewritten(f)} end" for f in ("titre", "rubrique", "texte")]
     legend = f"case when i.legendeimage is not null then {_rewritten('i.legendeimage')} end"
     filtered = f"select date, bulletin, article, {fields[0]} titre, {fields[1]} rubrique, {fields[2]} texte, auteur, contacts, {_pairs(legend)} images from docs, m"
+    stopped = f"with {STOP}, rules as (select token word, '' replacement from stop), {_MAP.format('rules')} {filtered}"
     return {
+        "file_pages": f"with {PAGES} select regexp_extract(path, '([^/]+)\\.[^./]+$', 1) article, html from pages where html is not null",
+        "file_tokens": f"with {TOKS} select * from toks",
+        "file_tf": f"with {TF} select * from tf",
+        "file_tf_padded": f"with {TF} select * from tf",
+        "file_idf": f"with {IDF} select * from idf",
+        "file_tfidf_padded": f"with {W} select * from tfidf",
+        "file_stop_lines": f"with {STOP} select token word, null::varchar replacement from stop",
+        "file_substitutions": f"with {RULES} select * from rules",
+        "file_corpus": f"with {DOCS} {_readable('select * from docs')}",
+        "file_corpus_tolerant": f"with {DOCS} {_readable('select * from docs')}",
+        "file_corpus_filtered": _readable(stopped),
+        "file_subcorpus": f"with {DOCS} {_readable('select * from docs', ['article', 'titre'])}",
+        "corpus_one_file": f"with {DOCS} select 1::bigint files, count(*)::bigint as lines from docs",
+        "posting_blocks": f"with {TF} select token, article from tf",
         "tokens": f"with {TOKS} select * from toks",
         "token_counts_per_doc": f"with {TOKS} select article, len(l)::int n_tokens from lists",
         "stored_tokens": f"with {STORED} select * from stored",
-        "whitespace_words": f"with {DOCS}, w as (select article, list_filter(regexp_split_to_array({strip('texte')}, '{WS}+'), lambda w: w <> '') l from docs) select article, (generate_subscripts(l, 1) - 1)::int pos, unnest(l) word from w",
+        "whitespace_words": f"with {DOCS}, w as (select article, list_filter(regexp_split_to_array({strip("concat_ws(' ', titre, texte)")}, '{WS}+'), lambda w: w <> '') l from docs) select article, (generate_subscripts(l, 1) - 1)::int pos, unnest(l) word from w",
         "alpha_words": f"with {ALPHA} select * from alpha",
         "tf": f"with {TF} select * from tf",
         "stored_tf": f"with {STORED} select article, token, count(*)::bigint tf from stored group by all",

@@ -15,6 +15,7 @@ IMAGE = _struct(urlimage=S, legendeimage=S)
 IMAGES = _struct(image=T.ArrayType(IMAGE))
 PAGE = _struct(path=S, html=S)
 DOCUMENT = _struct(date=S, bulletin=S, article=S, titre=S, rubrique=S, texte=S, auteur=S, contacts=S, images=IMAGES)
+SUBCORPUS_TITRE = _struct(article=S, titre=S)
 TOKENS = _struct(article=S, pos=I, token=S)
 TF = _struct(article=S, token=S, tf=L)
 IDF = _struct(token=S, df=L, idf=D)

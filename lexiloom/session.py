@@ -119,14 +119,14 @@ def hot_keys(rows: DataFrame, key: str, least: int = HOT_ROWS) -> list:
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, weight: Column) -> DataFrame:
-    """Inner equi-join on key of a left side with hot keys and a right side with one row a key.
+    """Inner equi-join on key of a left side with hot keys and a right side with few rows a key.
 
     weight (of right) is the number of left rows that a key has. Keys above 1/HOT_SHARE of all left rows, at most
     HOT_SHARE of them by arithmetic, are spread over SALTS partitions by the hash of `spread` (of left); their right rows
     are repeated as often. Other keys are joined as they stand. A NULL key joins nothing.
     """
     w = right.select(F.col(key).alias("_hot"), weight.cast("double").alias("_w"))
-    hot = F.broadcast(w.where(F.col("_w") > w.agg(F.sum("_w") / HOT_SHARE).scalar()).select("_hot", F.lit(True).alias("_is_hot")))
+    hot = F.broadcast(w.where(F.col("_w") > w.agg(F.sum("_w") / HOT_SHARE).scalar()).select("_hot", F.lit(True).alias("_is_hot")).distinct())
     salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     lhs = left.join(hot, left[key] == hot["_hot"], "left").withColumn("_salt", salt).drop("_hot", "_is_hot")
     rhs = right.join(hot, right[key] == hot["_hot"], "left")

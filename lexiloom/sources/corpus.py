@@ -41,9 +41,9 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("path", F.decode("content", "UTF-8").alias("html"))
 
 
-def read_corpus_xml(spark: SparkSession, path: str) -> DataFrame:
-    """A well-formed corpus of <document> rows, splittable."""
-    return spark.read.format("xml").option("rowTag", "document").schema(schemas.DOCUMENT).load(path)
+def read_corpus_xml(spark: SparkSession, path: str, schema: T.StructType = schemas.DOCUMENT) -> DataFrame:
+    """A well-formed corpus of <document> rows, or a sub-corpus of some of their fields, splittable."""
+    return spark.read.format("xml").option("rowTag", "document").option("ignoreSurroundingSpaces", False).schema(schema).load(path)
 
 
 def read_corpus_tolerant(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import urlparse
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,20 @@ def write_corpus_xml(docs: DataFrame, path: str, one_file: bool = False) -> None
     (docs.coalesce(1) if one_file else docs).write.mode("overwrite").format("xml").option("rootTag", "corpus").option("rowTag", "document").save(path)
 
 
+def write_pages(pages: DataFrame, folder: str) -> int:
+    """One file a page, named as its path ends; folder is one that all executors see. Returns the number of pages; one without path or html makes no file."""
+    at = Path(urlparse(folder).path)
+    at.mkdir(parents=True, exist_ok=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, html in zip(b["path"], b["html"], strict=True):
+                (at / Path(path).name).write_text(html, encoding="utf-8", newline="")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return pages.where("path is not null and html is not null").select("path", "html").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def escaped(x: Column) -> Column:
     return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 

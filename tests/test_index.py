@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexiloom import schemas
+from lexiloom import schemas, session
 from lexiloom.functions import text
 from lexiloom.operators import index, morph, vocab
-from lexiloom.operators.graph import components
 from lexiloom.session import salted_join
 
 DOCS = "article string, titre string, texte string"
@@ -79,11 +79,66 @@ def test_salted_join_keeps_hot_keys_whole(spark):
     assert out.where("key = 'hot'").select("n").distinct().collect()[0][0] == 6667
 
 
-def test_components(spark):
-    edges = [(str(i), str(i + 1)) for i in range(30)] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "q")]
-    got = dict(map(tuple, components(spark.createDataFrame(edges, "a string, b string")).collect()))
-    assert {got[str(i)] for i in range(31)} == {"0"} and got["y"] == "x" and got["z"] == "z" and "q" not in got
-    assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+def test_flagged_keeps_rows_and_hot_keys(spark, monkeypatch):
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("key"), F.col("id").alias("v"))
+    right = session.cut(spark.createDataFrame([(7, "hot"), (8, "cold"), (-1, "none")], "key long, name string"))
+    want = rows(left.join(right, "key", "left").select("v", F.coalesce("name", F.lit(""))))
+    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (0, 0))
+    monkeypatch.setattr(session.hot_keys, "__defaults__", (10,))
+    out = session.flagged(left, right, ["key"])
+    assert rows(out.select("v", F.coalesce("name", F.lit("")))) == want
+    assert session.flagged(left, right.limit(0), ["key"]).count() == 3000
+
+
+def test_cut_measures_and_scope_removes(spark):
+    with session.scope(spark):
+        t = session.cut(spark.createDataFrame([("é", 1), (None, 2)], "s string, n int"))
+        assert session.rows_of(t) == 2 and session._measured[t][1] == 2 + 16 and t.count() == 2
+        at = t.inputFiles()[0].removeprefix("file:").replace("file://", "")
+        assert Path("/" + at.lstrip("/")).exists()
+    assert not Path("/" + at.lstrip("/")).exists()
+
+
+def test_shared_dir_is_needed_off_local_masters(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Context._held
+
+        class _held:
+            @staticmethod
+            def getCheckpointDir():
+                class Empty:
+                    isDefined = staticmethod(lambda: False)
+
+                return Empty
+
+    class Spark:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Spark)
+
+
+def test_stored_tf_of_hot_articles(spark, monkeypatch):
+    raw = [("hot", i, f"t{i % 5}") for i in range(400)] + [("hot", 3, "a"), ("hot", 3, "t3")] + [(f"c{i}", i % 7, f" T{i % 3} ") for i in range(300)] + [("c1", 1, None), (None, 0, "x"), ("c2", None, "y"), ("c9", 90, " ")]
+    df = spark.createDataFrame(raw, schemas.TOKENS)
+    want = rows(index.tf(index.stored_tokens(df)))
+    assert rows(index.stored_tf(df)) == want and ("hot", "a", 1) in want
+    monkeypatch.setattr(session.hot_keys, "__defaults__", (100,))
+    assert rows(index.stored_tf(df)) == want
+    assert index.stored_tf(df.limit(0)).count() == 0
+
+
+def test_inflected(spark):
+    df = spark.createDataFrame([("pile", "nom"), ("mobile", "adjectif"), ("limiter", "verbe"), ("x", "?"), (None, "nom")], "lemma string, kind string")
+    got = dict(map(tuple, morph.inflected(df).where("word is not null").collect()))
+    assert got["piles"] == "pile" and got["mobiles"] == "mobile" and got["limitent"] == "limiter" and "x" not in got and got["limiter"] == "limiter"
 
 
 @pytest.mark.parametrize(("x", "want"), [("L'eau du Robinet", ["l", "eau", "du", "robinet"]), ("voiture_1 x² ½", ["voiture_1", "x²", "½"]), ("", [])])

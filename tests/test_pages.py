@@ -88,6 +88,25 @@ def test_latest(spark):
     assert sorted((r["k"], r["v"]) for r in corpus.latest(df, "k").collect()) == [("a", "new"), ("b", "t2")]
 
 
+def test_latest_keeps_single_rows_where_they_lie(spark):
+    data = [(f"k{i}", i, f"v{i}") for i in range(50)] + [("k1", 99, "new"), ("k2", None, "none"), ("k3", 3, "v3"), ("k4", 5, "b"), ("k4", 6, "c"), ("k4", 6, "a")]
+    df = spark.createDataFrame(data, "k string, loaded_at int, v string")
+    got = {r["k"]: r["v"] for r in corpus.latest(df, "k").collect()}
+    assert len(got) == 50 and got["k1"] == "new" and got["k2"] == "v2" and got["k3"] == "v3" and got["k4"] == "c" and got["k7"] == "v7"
+    assert corpus.latest(df, "k").count() == 50 and corpus.latest(df.limit(0), "k").count() == 0
+    plan = corpus.latest(df.where("k <> 'k4' and k <> 'k2' and k <> 'k3'"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_page_files_and_sub_corpus(spark, tmp_path):
+    df = spark.createDataFrame([("b/1.htm", page()), ("b/2.htm", "é\r\n<p>"), ("b/3.htm", None), (None, "x")], schemas.PAGE)
+    assert sinks.write_pages(df, str(tmp_path / "pages")) == 2
+    assert {r["path"][-5:]: r["html"] for r in corpus.read_pages(spark, str(tmp_path / "pages")).collect()} == {"1.htm": page(), "2.htm": "é\r\n<p>"}
+    docs = spark.createDataFrame([("1", "a < b"), ("2", None)], schemas.SUBCORPUS_TITRE)
+    sinks.write_corpus_xml(docs, str(tmp_path / "sub"))
+    assert sorted(map(tuple, corpus.read_corpus_xml(spark, str(tmp_path / "sub"), schemas.SUBCORPUS_TITRE).collect())) == [("1", "a < b"), ("2", None)]
+
+
 def test_pages_from_files(spark, tmp_path):
     (tmp_path / "67937.htm").write_text(page(), encoding="utf8")
     (tmp_path / "IMAGESWEB").mkdir()
