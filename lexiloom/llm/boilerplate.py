@@ -100,19 +100,19 @@ def newest(pages: DataFrame) -> DataFrame:
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """(path, who, site, n, k, t, title, item, bare, rank, near, parts, pk): one row a line of each page's text. pages: (path, html, texte), a row a path.
+    """(path, who, named, site, n, k, t, title, item, bare, rank, near, parts, pk): one row a line of each page's text. pages: (path, html, texte), a row a path.
 
     k is the template's hash (0 for a line without words), t the template itself where it has words, bare whether the line has no sign
     at its end, item whether it has no bullet either, near hashes of the lines before and after it, parts the templates of the parts
     that signs cut the line into, pk their hash. who tells articles apart: pages that give one article again under the same title
-    share it. A page that names no host is its own.
+    share it; named is that title, or the text where it has none. A page that names no host is its own.
     """
     one = pages.select("path", _title(F.col("html")).alias("title"), F.split("texte", "\n").alias("l"))
     one = one.withColumn("site", host(F.col("title"))).withColumn("name", _dated(_plain(F.coalesce("site", F.lit("")))))
     longest = F.array_max(F.transform("l", lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("h"))))
     one = one.select("path", F.xxhash64(F.coalesce("site", F.concat(F.lit("/"), "path"))).alias("site"), F.when(F.col("name") == "", "@").otherwise(F.col("name")).alias("name"), F.get(F.split("title", ">"), F.lit(2)).alias("own"), longest.alias("most"), "l")
-    one = template(one, "own", "own").select("path", F.xxhash64("own", "most").alias("who"), "site", "name", F.nullif("own", F.lit("")).alias("own"), "l", F.transform("l", lambda x: F.xxhash64(F.translate(F.lower(x), "0123456789", ""))).alias("h"))
-    rows = one.select("path", "who", "site", "name", "own", "h", F.posexplode("l").alias("n", "line"))
+    one = template(one, "own", "own").select("path", F.xxhash64("own", "most").alias("who"), F.when(F.col("own") != "", F.xxhash64("own")).otherwise(F.xxhash64("most")).alias("named"), "site", "name", F.nullif("own", F.lit("")).alias("own"), "l", F.transform("l", lambda x: F.xxhash64(F.translate(F.lower(x), "0123456789", ""))).alias("h"))
+    rows = one.select("path", "who", "named", "site", "name", "own", "h", F.posexplode("l").alias("n", "line"))
     near = F.array_compact(F.array(F.when(F.col("n") > 0, F.get("h", F.col("n") - 1)), F.get("h", F.col("n") + 1)))
     rows = template(rows.withColumn("near", near).drop("h"), "line", "t")
     bare = ~F.rlike("line", F.lit(r"[.;:»…]\s*$"))
@@ -123,7 +123,7 @@ def lines(pages: DataFrame) -> DataFrame:
     signs = reduce(or_, (F.contains("line", F.lit(x)) for x in ("|", "·", ">", "•", "[", "]", "–", "—", "^", "*", "<<", " - ", " / ", "   ")), F.startswith("line", F.lit("-")))
     parts = F.when(signs, F.filter(parts, lambda p: ~p.isin("", "#")))
     return rows.select(
-        "path", "who", "site", "n", F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"), F.nullif("t", F.lit("")).alias("t"),
+        "path", "who", "named", "site", "n", F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"), F.nullif("t", F.lit("")).alias("t"),
         F.coalesce(F.col("t") == F.col("own"), F.lit(False)).alias("title"), item.alias("item"), bare.alias("bare"), rank.alias("rank"), "near", parts.alias("parts"),
     ).withColumn("pk", F.when(F.size("parts") > 0, F.xxhash64("parts")))
 
@@ -157,9 +157,9 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def _layouts(every: DataFrame, counts: DataFrame, per_host: DataFrame) -> DataFrame:
-    """(site, k) of lines on few of a large host's pages that lie beside one and the same line on most of them: items of a rare layout."""
+    """(site, k) of lines on few of a large host's pages that lie beside one and the same line on most of them, under different titles: items of a rare layout, not of an article given again."""
     rare = cut(counts.where(f"c >= {MIN_PAGES} and k <> 0").join(broadcast_if_small(per_host), ["site", "k"], "left_anti"))
-    at = every.join(broadcast_if_small(rare), ["site", "k"]).select("site", "k", "c", "who", F.explode("near").alias("x")).distinct()
+    at = every.join(broadcast_if_small(rare), ["site", "k"]).select("site", "k", "c", "named", F.explode("near").alias("x")).distinct()
     return at.groupBy("site", "k", "c", "x").agg(F.count(F.lit(1)).alias("m")).where(f"m >= {MIN_PAGES} and m >= {PLACE_SHARE} * c").select("site", "k").distinct()
 
 
@@ -411,7 +411,7 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     strong = cut(sizes.own(counts))
     rare = _layouts(every, counts, strong).withColumn("soft", F.lit(True))
     per_host = cut(strong.withColumn("soft", F.lit(False)).unionByName(rare))
-    family = cut(sizes.family(per_host.select("site", "k"), counts))
+    family = cut(sizes.family(strong, counts))
     yes = lambda d, name: d.withColumn(name, F.lit(True))
 
     # groups of parts: a part is known as a line of its own, or recurs as a part
