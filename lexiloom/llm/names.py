@@ -1,17 +1,20 @@
 """Spellings of one person's or organisation's name, linked.
 
-A symmetric-delete index (each token with each of its one-letter deletions) finds tokens within one edit; the parts of two names are
-then matched by the cheapest assignment, in which an initial, an abbreviation or a pet name may stand for a given name.
+A symmetric-delete index (each token with its deletions of one letter, in long tokens of two) finds tokens within a small edit distance;
+the tokens of two names are then matched by the cheapest assignment, in which an initial, an abbreviation or a pet name may stand for a
+given name, and an abbreviation for a word of an organisation's.
 
-Names whose given name is well established in the data are anchors. Anchors of one given name and of family names within one edit are
-one writer. Any other spelling joins the writer that it fits best, and none if it fits several equally well: `V. Martin` beside a
-Valentin and a Véronique Martin stays alone. What fits no anchor is compared with its like.
+Persons whose given name is well established in the data are anchors. Any other spelling joins the writer that it fits best, and none if
+it fits several equally well: `V. Martin` beside a Valentin and a Véronique Martin stays alone. What fits no anchor is compared with its like.
+
+Close forms are grouped around the most frequent of them, not chained: every member of a group is close to its head.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata as ud
+from functools import lru_cache
 from itertools import permutations
 
 import pandas as pd
@@ -19,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.looks import look_of
-from lexiloom.operators.graph import components
-from lexiloom.session import cut
+from lexiloom.session import cut, rows_of
 
 # Words of French author lines.
 NO_NAME = frozenset("anonyme anonymous inconnu auteur-inconnu la-redaction redaction redacteur collectif n-a sans-nom".split())
@@ -41,11 +43,11 @@ PET_NAMES = {
     "romane": "romy", "sebastien": "bastien", "simone": "momone", "stephanie": "fanny", "suzanne": "suzy", "theodore": "theo", "therese": "tess", "thierry": "titi",
     "valentin": "tintin", "veronique": "vero", "victor": "totor", "william": "bill willy", "yolande": "yoyo",
 }
+#: Endings by which French and English make pet names of the beginning of a name.
+DIMINUTIVES = "ot ette et on ou ounet inou y ie by ny".split()
 _BODY = {a: k for k, v in BODIES.items() for a in [k, *v.split()]}
-_PETS: dict[str, set[str]] = {}
-for _full, _short in PET_NAMES.items():
-    for _s in _short.split():
-        _PETS.setdefault(_s, set()).add(_full)
+#: (pet name, name) pairs, the default of every parameter `pets`.
+PETS = tuple(sorted((s, full) for full, short in PET_NAMES.items() for s in short.split()))
 _MAIL = re.compile(r"\s*[-–—,;]?\s*\b(?:e-?mail|mail|courriel|mel)\s*$", re.I)
 _AFFILIATION = re.compile(r"\s*[(\[]\s*[A-ZÀ-Þ0-9.&/ -]{2,12}\s*[)\]]\s*$")
 
@@ -70,6 +72,31 @@ def within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+def edits(n: int) -> int:
+    """Edits allowed in a word of n letters: none in the shortest, where another letter is another word; two in long ones."""
+    return 0 if n < 4 else 1 if n < 12 else 2
+
+
+def close(a: str, b: str) -> bool:
+    """Whether a and b are within the edits that the shorter one allows: insertions, deletions, substitutions, swaps of neighbours."""
+    k = edits(min(len(a), len(b)))
+    if k < 2:
+        return a == b or (k == 1 and within_one(a, b))
+    if abs(len(a) - len(b)) > k:
+        return False
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, before, row = before, row, [i]
+        for j, y in enumerate(b, 1):
+            d = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, last[j - 2] + 1)
+            row.append(d)
+        if min(row) > k:
+            return False
+    return row[-1] <= k
+
+
 def _body(token: str) -> str | None:
     """The kind of organisation that a token names, with one typing error allowed in long words."""
     t = letters(token)
@@ -79,12 +106,21 @@ def _body(token: str) -> str | None:
 
 
 def _organisation(s: str) -> str | None:
-    """An organisation in one form: its kind first, then the other words as they follow it, then those before it; no small words,
-    no acronym of its own. NULL if no word names a kind."""
-    tokens = [t for t in re.split(r"[\s,;()\[\]]+|\s-\s|(?<=\s)-|-(?=\s)|(?<=d)['’]|(?<=l)['’]", s) if t]
+    """An organisation in one form, without small words; NULL if s names none.
+
+    Where a word names a known kind, that comes first, then the other words as they follow it, then those before it without an acronym
+    of its own. Without one the words stay in order: what holds a number, several words in lower case beside a capital, or nothing but
+    capitals that can't be spoken names an organisation too.
+    """
+    tokens = [t for t in re.split(r"[\s,;()\[\]]+|\s-\s|(?<=\s)-|-(?=\s)|(?<=d)['’]|(?<=l)['’]", s) if letters(t)]
     at = next((i for i, t in enumerate(tokens) if _body(t)), None)
     if at is None or len(tokens) < 2:
-        return None
+        plain = [t for t in tokens if letters(t) not in SMALL]
+        low = [t for t in plain if t.islower() and len(t) > 2]
+        capital = any(t[0].isupper() for t in tokens)
+        number = len(plain) > 1 and any(t.isdigit() for t in plain)
+        unspoken = len(tokens) == 1 and len(s) > 2 and s.isupper() and s.isalpha() and not set(letters(s)) & set("aeiouy")
+        return " ".join(letters(t) for t in plain) if capital and (number or len(low) > 1 or unspoken) else None
     # an abbreviated kind needs its case: "Ag.", not the initials of a person
     kind = _body(tokens[at])
     if letters(tokens[at]) != kind and len(letters(tokens[at])) <= 3 and len(tokens) < 3:
@@ -94,6 +130,41 @@ def _organisation(s: str) -> str | None:
     return " ".join([kind, *(t for t in rest if t and t not in SMALL)])
 
 
+def word_cost(a: str, b: str) -> float | None:
+    """How far one word of an organisation is from another: 0, 0.3 for an abbreviation, 1 for a typing error; NULL if they are two words. Numbers are never misspelt."""
+    if a == b:
+        return 0.0
+    if a.isdigit() or b.isdigit():
+        return None
+    short, long = sorted((a, b), key=len)
+    if len(short) >= 2 and long.startswith(short):
+        return 0.3
+    return 1.0 if close(a, b) else None
+
+
+def body_cost(a: str, b: str) -> float | None:
+    """The cheapest assignment of the words of two organisations of as many words, in any order. NULL if there is none, or if over one word is misspelt or no longer word agrees."""
+    x, y = a.split(), b.split()
+    if len(x) != len(y) or len(x) < 2:
+        return None
+    for w in set(x) & set(y):  # words that agree are matched first: no assignment is cheaper
+        for _ in range(min(x.count(w), y.count(w))):
+            x.remove(w)
+            y.remove(w)
+    if len(x) > 6 or not any(len(w) >= 4 for w in set(a.split()) & set(b.split())):
+        return None  # seven words that differ are another name
+
+    @lru_cache(None)
+    def best(i: int, used: int) -> float:
+        if i == len(x):
+            return 0.0
+        costs = [c + best(i + 1, used | 1 << j) for j in range(len(y)) if not used >> j & 1 and (c := word_cost(x[i], y[j])) is not None]
+        return min(costs, default=float("inf"))
+
+    total = best(0, 0)
+    return total if total < 2 else None
+
+
 def _person(s: str) -> tuple[list[tuple[str, str, bool]], bool]:
     """Readings (family name, given name, abbreviated), and whether the writing marks the family name. The given name keeps its hyphens."""
     comma = re.fullmatch(r"\s*([^,]+),\s*([^,]+)", s)
@@ -144,98 +215,167 @@ def parse(value: str | None) -> dict:
     return out
 
 
-def given_cost(a: str, b: str) -> float | None:
-    """How far given name a (perhaps short) is from the full b; NULL if it can't stand for it."""
+def stems_of(x: str) -> list[str]:
+    """A given name without the ending of a pet name, if it may have one: at least three letters stay."""
+    return [x[: -len(e)] for e in DIMINUTIVES if x.endswith(e) and len(x) - len(e) >= 3]
+
+
+def given_cost(a: str, b: str, pets: dict[str, set[str]]) -> float | None:
+    """How far given name a (perhaps short) is from the full b; NULL if it can't stand for it. pets: names by pet name."""
     x, y = a.replace("-", ""), b.replace("-", "")
     if x == y:
         return 0.0
     if not x or not y:
         return None
-    if y in _PETS.get(x, ()):
+    if y in pets.get(x, ()):
         return 0.1
     parts, full = a.split("-"), b.split("-")
     if len(parts) == len(full) and all(f.startswith(p) for p, f in zip(parts, full, strict=True)):
         return 0.2
     if len(parts) == 1 and (y.startswith(x) or (len(full) > 1 and x == "".join(f[0] for f in full))):
         return 0.3
-    if len(x) >= 3 and within_one(x, y):
+    if any(y in pets.get(s, ()) or y.startswith(s) for s in stems_of(x)) or (len(x) >= 4 and y.endswith(x)):
+        return 0.4
+    if close(x, y) or (len(x) == 3 and within_one(x, y)):
         return 0.5
     return None
 
 
 def family_cost(a: str, b: str) -> float | None:
-    if a == b:
-        return 0.0
-    return 1.0 if min(len(a), len(b)) >= 4 and within_one(a, b) else None
+    return 0.0 if a == b else 1.0 if close(a, b) else None
 
 
-def assignment_cost(family: str, given: str, family_b: str, given_b: str) -> float | None:
+def assignment_cost(family: str, given: str, family_b: str, given_b: str, pets: dict[str, set[str]]) -> float | None:
     """The cheapest assignment of a spelling's two parts to those of a full name; parts may have been typed in either order."""
     best = None
     for f, g in permutations((family, given)):
-        x, y = family_cost(f.replace("-", ""), family_b), given_cost(g, given_b)
+        x, y = family_cost(f.replace("-", ""), family_b), given_cost(g, given_b, pets)
         if x is not None and y is not None and (best is None or x + y < best):
             best = x + y
     return best
 
 
 def _deletes(x: Column) -> Column:
-    """A string and its one-letter deletions."""
-    cuts = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
-    return F.array_distinct(F.when(F.length(x) >= 4, F.array_append(cuts, x)).otherwise(F.array(x)))
-
-
-def _cost(kind):
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([kind(*r) for r in zip(a, b, c, d, strict=True)], dtype="float64").astype(object).where(lambda v: v.notna(), None)
-
-    return run
+    """A string and what is left of it without as many letters as `edits` allows."""
+    one = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))
+    cuts = F.array_append(one(x), x)
+    two = F.flatten(F.transform(cuts, lambda v: F.array_append(one(v), v)))
+    return F.when(F.length(x) < 4, F.array(x)).when(F.length(x) < 12, F.array_distinct(cuts)).otherwise(F.array_distinct(two))
 
 
-def _one_edit(a: str, b: str) -> Column:
+def _matches(a: str, b: str, test) -> Column:
     @F.pandas_udf("boolean")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([within_one(v, w) for v, w in zip(x, y, strict=True)], dtype="bool")
+        return pd.Series([test(v, w) for v, w in zip(x, y, strict=True)], dtype="bool")
 
     return run(a, b)
 
 
 def _near(nodes: DataFrame, text: str, *equal: str) -> DataFrame:
-    """(a, b): ids of nodes whose texts are within one edit and whose `equal` columns are the same. nodes: (id, text, *equal), ids unique."""
+    """(a, b): ids of nodes whose texts are close and whose `equal` columns are the same. nodes: (id, text, *equal), ids unique."""
     keyed = nodes.select("id", text, *equal, F.explode(_deletes(F.col(text))).alias("_k"))
     left = keyed.select("_k", *equal, F.col("id").alias("a"), F.col(text).alias("_ta"))
     right = keyed.select("_k", *equal, F.col("id").alias("b"), F.col(text).alias("_tb"))
     met = left.join(right, ["_k", *equal]).where("a < b").select("a", "b", "_ta", "_tb").distinct()
-    return met.where(_one_edit("_ta", "_tb")).select("a", "b")
-
-
-def _grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with `component`, the node's own id where it has no edge."""
-    return nodes.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def _attach(others: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(value, component) of the values that fit exactly one component best. others: (value, family, given); anchors: (family, given, component)."""
-    ends = lambda g: F.array(F.concat(F.lit("<"), F.substring(g, 1, 1)), F.concat(F.lit(">"), F.right(g, F.lit(1))))
-    o = others.where("given <> ''").select("value", F.col("family").alias("f"), F.col("given").alias("g"))
-    pets = F.create_map(*(F.lit(x) for s, full in _PETS.items() for x in (s, "|".join(sorted(full)))))
-    plain = F.replace("g", F.lit("-"), F.lit(""))
-    stands_for = F.concat(F.array("g"), F.coalesce(F.split(F.try_element_at(pets, plain), r"\|"), F.array().cast("array<string>")))
-    o = o.select("value", "f", "g", F.explode(_deletes(F.col("f"))).alias("k"), stands_for.alias("_s")).select("value", "f", "g", "k", F.explode("_s").alias("_s"))
-    o = o.select("value", "f", "g", "k", F.explode(ends(F.col("_s"))).alias("e")).distinct()
-    a = anchors.select("family", "given", "component", F.explode(_deletes(F.col("family"))).alias("k"), ends(F.col("given")).alias("_e"))
-    a = a.select("family", "given", "component", "k", F.explode("_e").alias("e"))
-    met = o.join(a, ["k", "e"]).select("value", "f", "g", "family", "given", "component").distinct()
-    cost = met.withColumn("cost", _cost(assignment_cost)("f", "g", "family", "given")).where("cost is not null")
-    # costs differ by tenths: a component's best, then the components within the value's best
-    per = cost.groupBy("value", "component").agg(F.min(F.round("cost", 3)).alias("cost"))
-    best = per.groupBy("value").agg(F.min_by("component", "cost").alias("component"), F.min("cost").alias("cost"))
-    rivals = per.join(best.select("value", F.col("cost").alias("_best")), "value").where("cost = _best").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    return best.join(rivals.where("n = 1"), "value").select("value", "component")
-
-
-def _established(readings: DataFrame) -> DataFrame:
+    return met.where(_matches("_ta", "_tb", close)).select("a", "b")
+
+
+def _same_words(bodies: DataFrame) -> DataFrame:
+    """(a, b): ids of organisations whose words match one by one. bodies: (id, words).
+
+    Two such names have a word in common within the edits or as an abbreviation, whichever words these are; each name is laid out by its
+    two rarest words (one more than may be misspelt) and by all its words, so a word that all names have brings none together by itself.
+    """
+    toks = cut(bodies.select("id", "words", F.explode(F.array_distinct(F.split("words", " "))).alias("t")))
+    n = toks.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    rare = toks.join(n, "t").groupBy("id", "words").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "t"))), 1, 2).alias("r"))
+    begins = F.transform(F.sequence(F.lit(2), F.greatest(F.length("t"), F.lit(2))), lambda i: F.concat(F.lit("<"), F.substring(F.col("t"), F.lit(1), i)))
+    keys = F.explode(F.array_union(_deletes(F.col("t")), begins)).alias("k")
+    left = rare.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.explode("r.t").alias("t")).select("a", "wa", F.explode(F.array_append(_deletes(F.col("t")), F.concat(F.lit("<"), "t"))).alias("k"))
+    right = toks.select(F.col("id").alias("b"), F.col("words").alias("wb"), keys)
+    short = toks.where("length(t) >= 2").select(F.col("id").alias("b"), F.col("words").alias("wb"), F.concat(F.lit("<"), "t").alias("k"))
+    longer = rare.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.explode("r.t").alias("t")).select("a", "wa", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("t"), F.lit(2))), lambda i: F.concat(F.lit("<"), F.substring(F.col("t"), F.lit(1), i)))).alias("k"))
+    met = left.join(right, "k").unionByName(longer.join(short, "k")).where("a <> b").select("a", "b", "wa", "wb").distinct()
+    found = met.where(_matches("wa", "wb", lambda v, w: body_cost(v, w) is not None))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) of all nodes: groups around a head, the heaviest of its neighbours (of equal ones that with the most); component is the head's id. nodes: (id, w); edges: (a, b).
+
+    Round by round, every node heavier than all its free neighbours takes those (one with several such heads goes to the heaviest) and
+    all of them leave. So a chain of close forms is cut where its frequent ones are, and no group is wider than two steps.
+    """
+    by = lambda c: F.struct(F.col("w").alias("w"), F.col("n").alias("n"), F.col(c).alias("id"))
+    one = edges.where("a <> b").distinct()
+    both = cut(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    w = cut(nodes.select("id", "w").join(both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id"))
+    free = cut(both.join(w.withColumnRenamed("id", "b"), "b").select("a", by("b").alias("b")).join(w.withColumnRenamed("id", "a"), "a").select(by("a").alias("a"), "b"))
+    taken: list[DataFrame] = []
+    while rows_of(free):
+        heads = cut(free.groupBy("a").agg(F.max("b").alias("b")).where("a > b").select(F.col("a").alias("head")))
+        caught = cut(free.join(heads, free["b"] == heads["head"]).groupBy("a").agg(F.max("head").alias("head")))
+        taken.append(caught.select(F.col("a.id").alias("id"), F.col("head.id").alias("component")))
+        gone = cut(heads.select(F.col("head").alias("x")).unionByName(caught.select(F.col("a").alias("x"))))
+        free = cut(free.join(gone, free["a"] == gone["x"], "left_anti").join(gone, free["b"] == gone["x"], "left_anti"))
+    out = nodes.select("id")
+    if not taken:
+        return out.withColumn("component", F.col("id"))
+    every = taken[0]
+    for t in taken[1:]:
+        every = every.unionByName(t)
+    return out.join(every, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _attach(others: DataFrame, anchors: DataFrame, pets: tuple[tuple[str, str], ...], loose: bool = True) -> DataFrame:
+    """(value, component, cost): of every value the components it fits, each at its best cost. others: (value, family, given); anchors: (family, given, component).
+
+    Both sides are laid out by what is left of the family name and by what the given name may stand for: its beginning, its end, what
+    is left of it, its initials, the names of a pet name. A family name that many have so brings together no names but those that may agree.
+    loose: whether beginnings, ends and initials count too.
+    """
+    table: dict[str, set[str]] = {}
+    for short, full in pets:
+        table.setdefault(short, set()).add(full)
+    names = F.create_map(*(F.lit(x) for s, full in sorted(table.items()) for x in (s, "|".join(sorted(full))))) if table else F.lit(None).cast("map<string,string>")
+    plain = F.replace("given", F.lit("-"), F.lit(""))
+    key = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
+    stems = lambda x: F.filter(F.array(*(F.when(F.endswith(x, F.lit(e)) & (F.length(x) - len(e) >= 3), F.substring(x, F.lit(1), F.length(x) - len(e))).otherwise("") for e in DIMINUTIVES)), lambda v: v != "")
+    full = lambda xs: F.flatten(F.transform(xs, lambda x: F.coalesce(F.split(F.try_element_at(names, x), r"\|"), F.array().cast("array<string>"))))
+    near = lambda x: F.array_union(_deletes(x), F.when(F.length(x) == 3, F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(3))))).otherwise(F.array().cast("array<string>")))
+    asked = F.concat(key("=", near(plain)), key("=", full(F.array_union(F.array(plain), stems(plain)))))
+    if loose:
+        asked = F.concat(asked, key("<", F.array_union(F.array(plain, F.substring_index("given", "-", 1)), stems(plain))), key(">", F.array(plain)), key(".", F.array(plain)))
+    o = others.where("given <> ''").select("value", F.col("family").alias("f"), F.col("given").alias("g"), F.explode(_deletes(F.col("family"))).alias("k"), F.array_distinct(asked).alias("_e"))
+    o = o.select("value", "f", "g", F.explode(F.transform("_e", lambda e: F.xxhash64("k", e))).alias("h"))
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain), F.lit(1))), lambda i: F.substring(plain, F.lit(1), i))
+    ends = F.when(F.length(plain) > 4, F.transform(F.sequence(F.lit(4), F.length(plain)), lambda i: F.right(plain, i))).otherwise(F.array(plain))
+    initials = F.array_join(F.transform(F.split("given", "-"), lambda p: F.substring(p, 1, 1)), "")
+    held = key("=", near(plain))
+    if loose:
+        held = F.concat(held, key("<", starts), key(">", ends), key(".", F.array(initials)))
+    a = anchors.where("given <> ''").select("family", "given", "component", F.explode(_deletes(F.col("family"))).alias("k"), F.array_distinct(held).alias("_e"))
+    a = a.select("family", "given", "component", F.explode(F.transform("_e", lambda e: F.xxhash64("k", e))).alias("h"))
+    met = o.join(a, "h").select("value", "f", "g", "family", "given", "component").distinct()
+
+    @F.pandas_udf("double")
+    def cost(f: pd.Series, g: pd.Series, family: pd.Series, given: pd.Series) -> pd.Series:
+        return pd.Series([assignment_cost(*r, table) for r in zip(f, g, family, given, strict=True)], dtype="float64").astype(object).where(lambda v: v.notna(), None)
+
+    # costs differ by tenths
+    scored = met.withColumn("cost", F.round(cost("f", "g", "family", "given"), 3)).where("cost is not null")
+    return scored.groupBy("value", "component").agg(F.min("cost").alias("cost"))
+
+
+def _best(fits: DataFrame) -> DataFrame:
+    """(value, component) of the values that fit exactly one component best."""
+    fits = cut(fits)
+    best = fits.groupBy("value").agg(F.min("cost").alias("_best"))
+    rivals = fits.join(best, "value").where("cost = _best").groupBy("value").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
+    return rivals.where("n = 1").select("value", "component")
+
+
+def _established(readings: DataFrame, pets: tuple[tuple[str, str], ...]) -> DataFrame:
     """(g): given names that stand beside at least three family names, and aren't a misspelling or a shortening of one five times as common."""
     used = readings.where("marked and not short and length(given) >= 3")
     n = cut(used.select(F.replace("given", F.lit("-"), F.lit("")).alias("g"), "family").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n")))
@@ -246,12 +386,14 @@ def _established(readings: DataFrame) -> DataFrame:
     rival = both.unionByName(starts.join(n.select(F.col("g").alias("a")), "a")).distinct()
     less, more = n.select(F.col("g").alias("a"), F.col("n").alias("_n")), n.select(F.col("g").alias("b"), F.col("n").alias("_m"))
     dominated = rival.join(less, "a").join(more, "b").where("_m >= 5 * _n").select(F.col("a").alias("g"))
-    pets = names.sparkSession.createDataFrame([(p,) for p in _PETS], "g string")
-    return n.where("n >= 3").select("g").join(dominated, "g", "left_anti").join(F.broadcast(pets), "g", "left_anti")
+    out = n.where("n >= 3").select("g").join(dominated, "g", "left_anti")
+    if not pets:
+        return out
+    return out.join(F.broadcast(names.sparkSession.createDataFrame(sorted({(p,) for p, _ in pets}), "g string")), "g", "left_anti")
 
 
-def writers(values: DataFrame, column: str = "auteur") -> DataFrame:
-    """(value, writer): every distinct value that names somebody, and the writer it names, as an arbitrary but stable key.
+def writers(values: DataFrame, column: str = "auteur", pets: tuple[tuple[str, str], ...] = PETS) -> DataFrame:
+    """(value, writer): every distinct value that names somebody, and the writer it names, as an arbitrary but stable key. pets: (pet name, name) pairs.
 
     NULL, empty and anonymous values give no row. A value that can't be told stands alone under its own key.
     """
@@ -261,40 +403,44 @@ def writers(values: DataFrame, column: str = "auteur") -> DataFrame:
     def parsed(x: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(v) for v in x], columns=["kind", "body", "readings", "marked"])
 
-    distinct = values.select(F.col(column).alias("value")).where("value is not null").distinct()
-    p = cut(distinct.select("value", parsed("value").alias("p")).select("value", "p.*").where("kind is not null"))
+    distinct = values.select(F.col(column).alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("w"))
+    p = cut(distinct.select("value", "w", parsed("value").alias("p")).select("value", "w", "p.*").where("kind is not null"))
 
-    r = p.where("kind = 'person'").select("value", "marked", F.size("readings").alias("n"), F.inline("readings"))
-    known = _established(r)
+    r = p.where("kind = 'person'").select("value", "w", "marked", F.size("readings").alias("n"), F.inline("readings"))
+    known = _established(r, pets)
     plain = F.replace("given", F.lit("-"), F.lit(""))
     r = r.withColumn("g", plain).join(known.withColumn("known", F.lit(True)), "g", "left").withColumn("known", F.coalesce("known", F.lit(False)) & ~F.col("short"))
     sure = r.groupBy("value").agg(F.count_if("known").alias("_sure"))
     r = cut(r.join(sure, "value").where("_sure <> 1 or known"))
 
     named = r.where("known and (n = 1 or _sure = 1)")
-    anchors = named.groupBy("family", "g").agg(F.max_by("given", F.length("given")).alias("given"))
-    anchors = anchors.select(F.concat_ws("|", "family", "g").alias("id"), "family", "g", "given")
-    bodies = p.where("kind = 'body'").select("value", F.concat(F.lit("b:"), "body").alias("id"))
+    anchors = named.groupBy("family", "g").agg(F.max(F.struct(F.length("given").alias("n"), "given")).alias("given"), F.sum("w").alias("w"))
+    anchors = cut(anchors.select(F.concat_ws("|", "family", "g").alias("id"), "family", "g", "given.given", "w"))
+    bodies = p.where("kind = 'body'").select("value", "w", "body", F.concat(F.lit("b:"), "body").alias("id"))
     # organisations and anchors in one graph; what must agree between them is the given name, or being an organisation
-    forms = bodies.select("id").distinct().select("id", F.replace(F.substring("id", 3, 10**6), F.lit(" "), F.lit("")).alias("text"), F.lit("b:").alias("with"))
-    forms = forms.unionByName(anchors.select("id", F.col("family").alias("text"), F.col("g").alias("with")))
-    grouped = cut(_grouped(forms, _near(forms, "text", "with")).select("id", "component"))
+    forms = bodies.groupBy("id", "body").agg(F.sum("w").alias("w")).select("id", F.replace("body", F.lit(" "), F.lit("")).alias("text"), F.lit("b:").alias("with"), "w", "body")
+    forms = cut(forms.unionByName(anchors.select("id", F.col("family").alias("text"), F.col("g").alias("with"), "w", F.lit(None).cast("string").alias("body"))))
+    edges = _near(forms, "text", "with").unionByName(_same_words(forms.where("body is not null").select("id", F.col("body").alias("words"))))
+    grouped = cut(_stars(forms, edges))
     body = bodies.join(grouped, "id").select("value", F.col("component").alias("writer"))
     anchors = cut(anchors.join(grouped, "id").select("id", "family", "given", "component"))
     first = named.select("value", F.concat_ws("|", "family", "g").alias("id")).join(anchors, "id").select("value", "component")
     rest = r.join(first.select("value"), "value", "left_anti")
-    second = cut(_attach(rest.select("value", "family", "given"), anchors).unionByName(first))
-
-    left = r.join(second.select("value"), "value", "left_anti")
-    # what fits no anchor: the same parts in any order are one form; forms within one edit, and short forms of full ones
-    form = left.groupBy("value").agg(F.min(F.array_join(F.array_sort(F.array("family", plain)), "|")).alias("id"), F.min("short").alias("short"))
-    full = form.where("not short").select("id").distinct().withColumn("text", F.replace("id", F.lit("|"), F.lit("")))
-    full = cut(_grouped(full, _near(full, "text")))
-    whole = form.where("not short").join(full, "id").select("value", "component")
-    like = left.where("not short and given <> ''").select("value", "family", "given").join(whole, "value").select("family", "given", "component").distinct()
-    third = _attach(left.where("short").select("value", "family", "given"), like)
+    second = cut(_best(_attach(rest.select("value", "family", "given"), anchors, pets)).unionByName(first))
+
+    left = cut(r.join(second.select("value"), "value", "left_anti"))
+    # what fits no anchor: the same parts in any order are one form; close forms, pet names, and short forms of full ones
+    form = left.groupBy("value").agg(F.min(F.array_join(F.array_sort(F.array("family", plain)), "|")).alias("id"), F.min("short").alias("short"), F.max("w").alias("w"))
+    full = cut(form.where("not short").groupBy("id").agg(F.sum("w").alias("w")).withColumn("text", F.replace("id", F.lit("|"), F.lit(""))))
+    whole = cut(left.where("not short and given <> ''").select("value", "family", "given").join(form.where("not short").select("value", "id"), "value"))
+    alike = _attach(whole.select(F.col("id").alias("value"), "family", "given").distinct(), whole.select("family", "given", F.col("id").alias("component")).distinct(), pets, loose=False)
+    edges = _near(full, "text").unionByName(alike.select(F.least("value", "component").alias("a"), F.greatest("value", "component").alias("b")).where("a <> b"))
+    full = cut(_stars(full, edges))
+    members = form.where("not short").join(full, "id").select("value", "component")
+    like = whole.join(full, "id").select("family", "given", "component").distinct()
+    third = cut(_best(_attach(left.where("short").select("value", "family", "given"), like, pets)))
     alone = form.where("short").join(third.select("value"), "value", "left_anti").select("value", F.col("id").alias("component"))
-    loose = whole.unionByName(third).unionByName(alone).select("value", F.concat(F.lit("q:"), "component").alias("writer"))
+    loose = members.unionByName(third).unionByName(alone).select("value", F.concat(F.lit("q:"), "component").alias("writer"))
     return body.unionByName(second.select("value", F.concat(F.lit("p:"), "component").alias("writer"))).unionByName(loose)
 
 
