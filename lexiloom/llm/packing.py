@@ -32,67 +32,98 @@ class Plan:
     bins: int
 
 
-def _below(counts: np.ndarray) -> np.ndarray:
-    """For each x the largest size <= x that is left, or -1."""
-    return np.maximum.accumulate(np.where(counts > 0, np.arange(len(counts)), -1))
-
-
-def _pattern(counts: np.ndarray, capacity: int, two_fit: bool) -> dict[int, int]:
-    """The sizes of the next container, with their numbers; takes them from counts."""
+class _Left:
+    """Counts of sizes left, with the sizes that are left as bits: in blocks, to find the next smaller one; and as one number and its mirror, to find pairs of a given sum."""
+
+    BLOCK = 1024
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts.tolist()
+        self.capacity = len(self.counts) - 1
+        self.blocks = [0] * (self.capacity // self.BLOCK + 1)
+        self.used_blocks = self.all = self.mirror = 0
+        for s in np.flatnonzero(counts).tolist():
+            self._flip(s)
+
+    def _flip(self, s: int) -> None:
+        i, j = divmod(s, self.BLOCK)
+        self.blocks[i] ^= 1 << j
+        if bool(self.blocks[i]) != bool(self.used_blocks >> i & 1):
+            self.used_blocks ^= 1 << i
+        self.all ^= 1 << s
+        self.mirror ^= 1 << self.capacity - s
+
+    def change(self, s: int, by: int) -> None:
+        had = self.counts[s]
+        self.counts[s] = had + by
+        if bool(had) != bool(had + by):
+            self._flip(s)
+
+    def below(self, x: int) -> int:
+        """The largest size <= x that is left, or -1."""
+        i, j = divmod(x, self.BLOCK)
+        here = self.blocks[i] & (1 << j + 1) - 1
+        if here:
+            return i * self.BLOCK + here.bit_length() - 1
+        lower = self.used_blocks & (1 << i) - 1
+        return (lower.bit_length() - 1) * self.BLOCK + self.blocks[lower.bit_length() - 1].bit_length() - 1 if lower else -1
+
+    def pair(self, least: int, most: int) -> tuple[int, int] | None:
+        """Two items left, of the greatest sum over least and up to most, and as even as such a sum allows."""
+        for total in range(most, least, -1):
+            smaller = self.all & self.mirror >> self.capacity - total & (1 << total // 2 + 1) - 1
+            while smaller:
+                b = smaller.bit_length() - 1
+                if 2 * b < total or self.counts[b] > 1:
+                    return total - b, b
+                smaller ^= 1 << b
+        return None
+
+
+def _pattern(left: _Left, two_fit: bool) -> dict[int, int]:
+    """The sizes of the next container, with their numbers; takes them from those left."""
     used: dict[int, int] = {}
-    below = _below(counts)
-    gap = capacity
+    gap = left.capacity
 
     def take(s: int) -> None:
-        nonlocal gap, below
-        counts[s] -= 1
+        nonlocal gap
+        left.change(s, -1)
         used[s] = used.get(s, 0) + 1
         gap -= s
-        if not counts[s]:
-            below = _below(counts)
 
-    while gap and (s := int(below[gap])) > 0:
+    while gap and (s := left.below(gap)) > 0:
         take(s)
     while two_fit and gap and used:
         least = min(used)
-        room = gap + least
-        a = np.flatnonzero(counts[1 : room + 1]) + 1
-        if not len(a):
-            break
-        other = np.minimum(a, room - a)
-        b = below[other]
-        twin = (b == a) & (counts[a] < 2)
-        b = np.where(twin, below[np.maximum(a - 1, 0)], b)
-        total = np.where(b > 0, a + b, 0)
-        k = int(total.argmax())
-        if total[k] <= least:
+        two = left.pair(least, gap + least)
+        if two is None:
             break
         used[least] -= 1
         if not used[least]:
             del used[least]
-        counts[least] += 1
+        left.change(least, 1)
         gap += least
-        below = _below(counts)
-        take(int(a[k]))
-        take(int(b[k]))
+        for s in two:
+            take(s)
     return used
 
 
 def plan(counts: np.ndarray, two_fit: bool = True) -> Plan:
     """counts[s]: documents of size s, for s from 0 to the capacity. Size 0 takes no place here."""
     counts = counts.copy()
-    capacity = len(counts) - 1
     counts[0] = 0
-    given = np.zeros(capacity + 1, np.int64)
+    left = _Left(counts)
+    given = [0] * len(counts)
     rows: list[tuple[int, int, int, int]] = []
     bins = 0
-    while counts.any():
-        used = _pattern(counts, capacity, two_fit)
-        times = 1 + min(int(counts[s]) // u for s, u in used.items())
+    while left.all:
+        used = _pattern(left, two_fit)
+        times = 1 + min(left.counts[s] // u for s, u in used.items())
         for s, u in used.items():
-            rows.append((s, int(given[s]), u, bins))
+            rows.append((s, given[s], u, bins))
             given[s] += u * times
-            counts[s] -= u * (times - 1)
+            if times > 1:
+                left.change(s, -u * (times - 1))
         bins += times
     rows.sort()
     cols = np.array(rows, np.int64).reshape(-1, 4).T
