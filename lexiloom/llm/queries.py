@@ -29,11 +29,16 @@ def _mixed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets"))
 
 
-def _alike(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "corpus")
-    texts = looks.alike(c.select("article", "texte"), "article", "texte").select(F.lit("texte").alias("champ"), "cle_a", "cle_b")
-    dates = c.select("date").distinct().withColumn("value", F.col("date"))
-    return texts.unionByName(looks.alike(dates, "date", "value").select(F.lit("date").alias("champ"), "cle_a", "cle_b"))
+def _by_field(form: Callable[[DataFrame, str, str], DataFrame]) -> Query:
+    """A form of looks over the texts by article, and over the dates."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        c = table(s, d, "corpus")
+        parts = (("texte", c.select("article", "texte"), "article", "texte"), ("date", c.select("date", F.col("date").alias("value")).distinct(), "date", "value"))
+        made = [(field, form(*rest)) for field, *rest in parts]
+        return made[0][1].select(F.lit(made[0][0]).alias("champ"), "*").unionByName(made[1][1].select(F.lit(made[1][0]).alias("champ"), "*"))
+
+    return run
 
 
 QUERIES: dict[str, Query] = {
@@ -48,13 +53,15 @@ QUERIES: dict[str, Query] = {
     "p3_frequencies": lambda s, d: frequency.frequencies(table(s, d, "tokens")),
     "p4_found": lambda s, d: names.pairs(names.writers(table(s, d, "corpus"))),
     "p4_writers": lambda s, d: names.writers(table(s, d, "corpus")),
-    "p5_found": _alike,
+    "p5_found": _by_field(looks.alike),
+    "p5_classes": _by_field(looks.classes),
     "p5_forms": lambda s, d: table(s, d, "corpus").select("article", "loaded_at", looks.look("date").alias("date"), looks.look("texte").alias("texte"), looks.fold("texte").alias("texte_fold")),
     "p6_found": lambda s, d: packing.over_capacity(_packed(s, d)[0]),
     "p6_containers": lambda s, d: _packed(s, d)[0],
     "p6_fill": lambda s, d: packing.fill(*_packed(s, d)),
-    "p7_found": lambda s, d: _mixed(s, d)[1].where("short").select("source"),
+    "p7_found": lambda s, d: _mixed(s, d)[1].where("short").select("source").distinct(),
     "p7_mixture": lambda s, d: _mixed(s, d)[0],
     "p7_shares": lambda s, d: mixing.reached(*_mixed(s, d)),
+    "p7_leaves": lambda s, d: mixing.reached(*_mixed(s, d), ("domain", "language", "source")),
     "p8_found": lambda s, d: sentences.sentences(table(s, d, "documents")),
 }

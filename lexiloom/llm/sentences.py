@@ -10,15 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Width at which texts are wrapped: a break that the next word would have crossed is a wrap, in a text whose lines stay about that long.
-WRAP, SLACK = 72, 8
-#: A quotation may be so long; beyond it, its ends count as those of plain text.
-QUOTE = 600
+#: How much longer than the width of its text a wrapped line may be, as blanks were doubled since.
+SLACK = 1.1
 _CHUNK = 256
 
 # Placeholders.
 DOT, ITEM, GREEK_END, INSIDE = (chr(0xE000 + k) for k in range(4))
-OPEN, CLOSE, OPEN_COLON, CLOSE_COLON = (chr(0xE010 + k) for k in range(4))
+OPEN, CLOSE, OPEN_COLON, CLOSE_COLON, NESTED = (chr(0xE010 + k) for k in range(5))
 CUT, SOFT = chr(0xE020), chr(0xE030)
 
 # Abbreviations that something always follows, by language; and those that only a number follows.
@@ -73,42 +71,133 @@ def _dots(x: Column) -> Column:
     return F.regexp_replace(x, r"\.(?:" + "|".join(rules) + ")", DOT)
 
 
+#: What ends a sentence; inside a quotation it doesn't.
+_ENDS = ".!?…。！？｡;।؟"
+
+
 def _inside(x: Column) -> Column:
-    """Ends inside quotations; and the quotations that follow a colon, by signs of their own."""
-    near = rf"(?:[^{OPEN}-{CLOSE_COLON}\n]|\n(?!{_SP}*\n)){{0,{QUOTE}}}+"
-    plain = rf"[^{OPEN}-{CLOSE_COLON}.!?…。！？｡;।؟]{{0,{QUOTE}}}+"
-    masked = F.regexp_replace(x, rf"({OPEN}{plain}|\G(?<!^){plain})[.!?…。！？｡;।؟](?={near}{CLOSE})", f"$1{INSIDE}")
-    after_colon = rf"(?<=[:：]{_SP}?){OPEN}({near}){CLOSE}"
-    # it matters where sentences follow each other without a blank
-    masked = F.when(F.rlike(x, F.lit(_CJK_END)), F.regexp_replace(masked, after_colon, f"{OPEN_COLON}$1{CLOSE_COLON}")).otherwise(masked)
-    return F.when(F.instr(x, CLOSE) > 0, masked).otherwise(x)
-
-
-def _width(line: Column) -> Column:
-    """Length of a line with its double blanks as one."""
-    return F.length(F.replace(line, F.lit("  "), F.lit(" ")))
-
-
-def _wraps(line: Column, following: Column, longest: Column) -> Column:
-    """Whether the break between two lines merely wraps a sentence."""
-    finished = F.rlike(F.right(line, F.lit(8)), F.lit(rf"(?:{_END}|{_CJK_END}|{_DANDA}|\x{{e003}}{_SP}?[{_C}\x{{e013}}])(?:{_SP}|{_CLOSER})*$"))
-    low = F.rlike(following, F.lit(rf"^{_SP}*(?!i\p{{Lu}})(?!{_MARKER}{_SP})[\p{{Ll}},;:){_C}\x{{e013}}]"))
-    word = F.length(F.regexp_extract(following, r"^\s*(\S+)", 1))
-    full = (longest <= WRAP + SLACK) & (_width(line) + 1 + word > WRAP)
-    marked = F.lit(rf"^{_SP}*{_MARKER}{_SP}")
-    bullet = F.rlike(following, F.lit(rf"^{_SP}*[•*·▪◦‣]{_SP}")) | (F.rlike(following, marked) & (F.rlike(line, marked) | ~full))
-    caseless = F.rlike(following, F.lit(rf"^{_SP}*\p{{Lo}}"))
-    # cheap and rare tests first
-    return (low | (full & ~finished & ~caseless & (word > 0))) & (F.trim(line) != "") & ~bullet
-
-
-def _lines(x: Column) -> tuple[Column, Column]:
-    """The longest line; and the text with wraps masked, while other line breaks stay and end a unit."""
-    lines = F.split(x, "\n")
-    longest = F.array_max(F.transform(lines, _width))
-    shifted = F.array_append(F.slice(lines, F.lit(2), F.size(lines)), F.lit(None).cast("string"))
-    joined = F.zip_with(lines, shifted, lambda a, b: F.concat(a, F.when(b.isNull(), "").when(_wraps(a, b, F.col("_longest")), SOFT).otherwise("\n")))
-    return longest, F.array_join(joined, "")
+    """Ends inside quotations, of any length and in any nesting; and the quotations that follow a colon, by signs of their own.
+
+    The text is cut at signs and blank lines. The depth behind each piece counts the signs open there, from 0 at each blank line. A piece
+    is inside a quotation if the depth falls below its own later in the paragraph: an opening sign that none closes counts for nothing.
+    """
+    apart = F.regexp_replace(x, r"\n(?=[^\S\n]*\n)", f"{CUT}\n")
+    for sign in (OPEN, CLOSE):
+        apart = F.replace(apart, F.lit(sign), F.lit(CUT + sign + CUT))
+    pieces = F.split(apart, CUT)
+    none = F.array().cast("array<int>")
+
+    def deeper(acc: Column, p: Column) -> Column:
+        d = F.when(p == OPEN, F.greatest(acc["d"], F.lit(0)) + 1).when(p == CLOSE, F.greatest(acc["d"] - 1, F.lit(0))).when(F.startswith(p, F.lit("\n")) & F.rlike(p, F.lit(r"^\n[^\S\n]*\n")), -1).otherwise(F.greatest(acc["d"], F.lit(0)))
+        return F.struct(d.alias("d"), F.array_append(acc["o"], d).alias("o"))
+
+    # -1 marks the first piece behind a blank line
+    depths = lambda ps: F.aggregate(ps, F.struct(F.lit(0).alias("d"), none.alias("o")), deeper, lambda a: a["o"])
+
+    def later(acc: Column, d: Column) -> Column:
+        """From the end: the least depth behind each piece in its paragraph."""
+        return F.struct(F.when(d < 0, _FAR).otherwise(F.least(acc["m"], d)).alias("m"), F.array_append(acc["o"], acc["m"]).alias("o"))
+
+    least = lambda ds: F.reverse(F.aggregate(F.reverse(ds), F.struct(F.lit(_FAR).alias("m"), none.alias("o")), later, lambda a: a["o"]))
+    # a sign inside another quotation begins and ends nothing
+    mask = lambda p, d, m: F.when((p == OPEN) & (m >= d - 1), p).when(m < d, F.translate(p, _ENDS + OPEN + CLOSE, INSIDE * len(_ENDS) + NESTED * 2)).otherwise(p)
+
+    def put_together(s: Column) -> Column:
+        masked = F.transform(s, lambda r, i: mask(r["p"], r["d"], r["m"]))
+        # it matters where sentences follow each other without a blank
+        east = F.rlike(x, F.lit(_CJK_END))
+        opens = lambda r, i: (r["p"] == OPEN) & (r["m"] < r["d"]) & (i > 0) & F.rlike(F.get(s, i - 1)["p"], F.lit(rf"[:：]{_SP}?$"))
+        simple = lambda i: (F.get(s, i + 2)["p"] == CLOSE)
+        colon = F.transform(s, lambda r, i: F.when(opens(r, i) & simple(i), OPEN_COLON).when((r["p"] == CLOSE) & (i > 2) & opens(F.get(s, i - 2), i - 2), CLOSE_COLON).otherwise(mask(r["p"], r["d"], r["m"])))
+        return F.array_join(F.when(east, colon).otherwise(masked), "")
+
+    zipped = lambda ps: F.transform(F.array(depths(ps)), lambda ds: F.arrays_zip(ps.alias("p"), ds.alias("d"), least(ds).alias("m")))[0]
+    # an array of one element binds a value once
+    done = F.transform(F.transform(F.array(pieces), zipped), put_together)[0]
+    return F.when(F.instr(x, CLOSE) > 0, done).otherwise(x)
+
+
+_FAR = 1 << 30
+
+
+def _line(x: Column) -> Column:
+    """What a line says about wraps: its text, length (double blanks as one), how it begins, and the length of its first word."""
+    t = F.ltrim(x, F.lit(_BLANK + SOFT))
+    first = F.left(t, F.lit(1))
+    # where words aren't parted by blanks a line may break at any letter
+    tight = (first >= "\u0e00") & F.rlike(first, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"))
+    word = F.when(tight, 1).otherwise(F.length(F.substring_index(t, " ", 1)))
+    return F.struct(x.alias("x"), F.length(F.replace(x, F.lit("  "), F.lit(" "))).alias("n"), word.alias("word"), first.alias("first"))
+
+
+def _test(cheap: Column, line: Column, pattern: str) -> Column:
+    """A pattern, tried where a cheap test of a line's first sign allows it."""
+    return cheap & F.rlike(line["x"], F.lit(pattern))
+
+
+def _marked(line: Column) -> Column:
+    return _test(F.rlike(line["first"], F.lit(r"[-•*–—·▪◦‣\p{Nd}a-z]")), line, rf"^{_SP}*{_MARKER}{_SP}")
+
+
+def _low(line: Column) -> Column:
+    return _test(F.rlike(line["first"], F.lit(rf"[\p{{Ll}},;:){_C}\x{{e013}}]")), line, rf"^{_SP}*(?!i\p{{Lu}})(?!{_MARKER}{_SP})")
+
+
+def _finished(line: Column) -> Column:
+    end = F.right(line["x"], F.lit(8))
+    return F.rlike(end, F.lit(rf"(?:{_END}|{_CJK_END}|{_DANDA}|\x{{e003}}{_SP}?[{_C}\x{{e013}}])(?:{_SP}|{_CLOSER})*$"))
+
+
+def _lines(x: Column) -> Column:
+    """The text with wraps masked, while other line breaks stay and end a unit.
+
+    A break wraps a sentence if the next line goes on in lower case; or if the line is unfinished and full, as the next word would have
+    crossed the width at which the text is wrapped. That width is one that most breaks behind unfinished lines agree on: one before lower
+    case is enough to show it, two before letters without case, three before any other. Lines that aren't wrapped, however long, say nothing about it.
+    """
+    breaks = lambda ls: F.filter(
+        F.zip_with(ls, F.slice(ls, F.lit(2), F.size(ls)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+        lambda p: p["a"].isNotNull(),
+    )
+
+    def told(p: Column) -> Column:
+        """A break, whether lower case follows (NULL beside a blank line) and whether the line is finished."""
+        both = (p["a"]["word"] > 0) & (p["b"]["word"] > 0)
+        low = F.when(both, _low(p["b"]))
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), low.alias("low"), F.when(both & ~low, _finished(p["a"])).alias("finished"), F.when(both & ~low, _marked(p["b"])).alias("marked"))
+
+    def ranges(ps: Column) -> Column:
+        """The widths that each break which may be a wrap allows, as the events +v and -v."""
+        may = F.filter(ps, lambda p: (p["low"] | ~p["finished"] & ~p["marked"]) & (p["b"]["n"] <= p["a"]["n"] + p["b"]["word"]))
+
+        def events(p: Column) -> Column:
+            v = F.when(p["low"], 3).when((p["b"]["first"] >= "\u0590") & F.rlike(p["b"]["first"], F.lit(r"\p{Lo}")), 2).otherwise(1)
+            return F.array(
+                F.struct(F.greatest(p["a"]["n"], p["b"]["n"]).alias("at"), F.lit(0).alias("end"), v.alias("v")),
+                F.struct((p["a"]["n"] + p["b"]["word"]).alias("at"), F.lit(1).alias("end"), (-v).alias("v")),
+            )
+
+        return F.array_sort(F.flatten(F.transform(may, events)))
+
+    def widest(acc: Column, e: Column) -> Column:
+        now = acc["now"] + e["v"]
+        better = (e["end"] == 0) & (now > acc["best"])
+        # the range of the best is open until the first event that ends one
+        hi = F.when(better, _FAR).when((e["end"] == 1) & (acc["hi"] == _FAR), e["at"]).otherwise(acc["hi"])
+        return F.struct(now.alias("now"), F.when(better, now).otherwise(acc["best"]).alias("best"), F.when(better, e["at"]).otherwise(acc["lo"]).alias("lo"), hi.alias("hi"))
+
+    zero = F.struct(F.lit(0).alias("now"), F.lit(2).alias("best"), F.lit(_FAR).alias("lo"), F.lit(0).alias("hi"))
+    width = lambda ps: F.aggregate(ranges(ps), zero, widest, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+
+    def wraps(p: Column, w: Column) -> Column:
+        a, b = p["a"], p["b"]
+        full = (F.greatest(a["n"], b["n"]) <= SLACK * w["hi"]) & (a["n"] + b["word"] >= w["lo"])
+        bullet = F.rlike(b["first"], F.lit("[•*·▪◦‣]")) & F.rlike(b["x"], F.lit(rf"^{_SP}*[•*·▪◦‣]{_SP}"))
+        return F.coalesce(p["low"] | (full & ~p["finished"] & ~bullet & ~(p["marked"] & _marked(a))), F.lit(False))
+
+    join = lambda ps, w: F.array_join(F.transform(ps, lambda p: F.concat(p["a"]["x"], F.when(p["b"].isNull(), "").when(wraps(p, w), SOFT).otherwise("\n"))), "")
+    both = F.transform(F.array(F.transform(breaks(F.transform(F.split(x, "\n"), _line)), told)), lambda ps: F.struct(ps.alias("ps"), width(ps).alias("w")))
+    return F.transform(both, lambda r: join(r["ps"], r["w"]))[0]
 
 
 def _items(x: Column) -> Column:
@@ -137,8 +226,7 @@ def masked(docs: DataFrame, text: str) -> DataFrame:
     x = F.col(text)
     greek = F.when(F.instr(x, ";") > 0, F.regexp_replace(x, rf"[;\x{{37e}}](?<=[\x{{370}}-\x{{3ff}}\x{{1f00}}-\x{{1fff}}][;\x{{37e}}])(?={_SP}|$)", GREEK_END)).otherwise(x)
     one = docs.withColumn("_m", _inside(_dots(_quotes(greek))))
-    longest, lines = _lines(F.col("_m"))
-    two = one.withColumn("_longest", longest).withColumn("_m", F.when(F.instr("_m", "\n") > 0, lines).otherwise(F.col("_m"))).drop("_longest")
+    two = one.withColumn("_m", F.when(F.instr("_m", "\n") > 0, _lines(F.col("_m"))).otherwise(F.col("_m")))
     return two.withColumn("_m", _cuts(_items(F.col("_m"))))
 
 
@@ -154,7 +242,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     NULL, empty and blank texts give no unit. Repeated rows give their units again. A text is cut in one row: its work grows with
     its length, in steps of _CHUNK units. Private-use characters in a text count as letters only where they aren't placeholders.
     """
-    own = r"[\x{e000}-\x{e003}\x{e010}-\x{e013}\x{e020}\x{e030}]"
+    own = r"[\x{e000}-\x{e003}\x{e010}-\x{e014}\x{e020}\x{e030}]"
     clean = docs.where(F.col(text).isNotNull()).select(key, F.when(F.rlike(text, F.lit(r"[\x{e000}-\x{e030}]")), F.regexp_replace(text, own, "x")).otherwise(F.col(text)).alias("_t"))
     m = masked(clean, "_t").select(key, F.split("_m", CUT).alias("_p"))
     chunks = F.transform(F.sequence(F.lit(0), F.size("_p") - 1, F.lit(_CHUNK)), lambda i: F.slice("_p", i + 1, F.lit(_CHUNK)))

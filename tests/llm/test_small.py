@@ -162,6 +162,32 @@ def test_two_fit_beats_greedy():
     assert first == [2, 2, 6] and packing.plan(counts, False).bins == p.bins == 2
 
 
+def test_pairs_left():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        counts = np.where(rng.random(40) < 0.3, rng.integers(1, 3, 40), 0)
+        counts[0] = 0
+        left = packing._Left(counts)
+        items = [s for s in range(40) for _ in range(counts[s])]
+        for x in range(40):
+            assert left.below(x) == max([s for s in items if s <= x], default=-1)
+        least, most = sorted(rng.integers(1, 39, 2).tolist())
+        sums = [a + b for i, a in enumerate(items) for b in items[i + 1 :] if least < a + b <= most]
+        two = left.pair(least, most)
+        assert (sum(two) if two else None) == max(sums, default=None)
+
+
+def test_large_capacity_is_planned():
+    import time
+
+    rng = np.random.default_rng(4)
+    capacity = 131_072
+    sizes_ = np.clip(rng.lognormal(7, 1.5, 1_000_000).astype(int), 1, capacity)
+    start = time.perf_counter()
+    p = packing.plan(np.bincount(sizes_, minlength=capacity + 1))
+    assert time.perf_counter() - start < 30 and sizes_.sum() / (p.bins * capacity) > 0.99
+
+
 @pytest.mark.parametrize("group", [3, 10**6])
 def test_pack(spark, monkeypatch, group):
     monkeypatch.setattr(packing, "RANK_GROUP", group)
@@ -218,6 +244,22 @@ def test_mixture(spark, monkeypatch, bucket):
     assert mixing.select(d.limit(0), mixing.budgets(d.limit(0), targets)).count() == 0
 
 
+def test_three_levels_with_shortages(spark):
+    docs = [(1, "a", "fr", "web", 10), (2, "b", "fr", "web", 500), (3, "c", "en", "web", 30), (4, "d", "fr", "livres", 100), (5, "e", "de", "livres", 1000), (6, "a", "en", "web", 30), (7, "x", "fr", "web", 330)]
+    d = spark.createDataFrame(docs, "doc_id int, source string, lang string, domain string, size int")
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.2, 1), ("c", 0.2, 1), ("d", 0.3, 1), ("e", 0.1, 1)], "source string, target_share double, max_repeats int")
+    got = {(r["domain"], r["language"], r["source"]): r["budget"] for r in mixing.budgets(d, targets, 1000).collect()}
+    # a has a quarter of its tokens in French, the rest in English
+    # web: 600 = fr 250 + en 350; en is full at 60, so French takes 540: a its 10, b 500, and 30 more are for books
+    assert got == pytest.approx({("web", "fr", "a"): 10, ("web", "fr", "b"): 500, ("web", "en", "a"): 30, ("web", "en", "c"): 30, ("livres", "fr", "d"): 100, ("livres", "de", "e"): 330})
+    shares = mixing.budgets(d, targets, 1000)
+    assert {r["source"] for r in shares.where("short").collect()} == {"a", "c", "d"}
+    mix = mixing.select(d, shares)
+    by = {(r["language"], r["source"]): r["tokens"] for r in mixing.reached(mix, shares, ("domain", "language", "source")).collect()}
+    assert by["fr", "b"] == 500 and by["en", "a"] == 30 and by["de", "e"] == 0  # its one text is longer than its budget
+    assert mixing.reached(mix, shares).where("source = 'a'").first()["tokens"] == 40
+
+
 # p8
 
 TEXTS = {
@@ -233,6 +275,9 @@ TEXTS = {
     "ทำไมจึงเพิ่ม ปัจจุบันวัดได้": ["ทำไมจึงเพิ่ม", "ปัจจุบันวัดได้"],
     "Γιατί μειώνει; Η ομάδα, δηλ. 18 άτομα, μειώνει. «Λειτουργεί;», ρωτούν.": ["Γιατί μειώνει;", "Η ομάδα, δηλ. 18 άτομα, μειώνει.", "«Λειτουργεί;», ρωτούν."],
     "La fibre réduit un très long calculateur de mesure en série dans le\ncentre de Paris. Il reste à optimiser cette base avec la caméra de\nPierre.": ["La fibre réduit un très long calculateur de mesure en série dans le\ncentre de Paris.", "Il reste à optimiser cette base avec la caméra de\nPierre."],
+    "« Un. « Deux ! “Trois. Quatre.” » Cinq. Fin. » dit-il. Bien.": ["« Un. « Deux ! “Trois. Quatre.” » Cinq. Fin. » dit-il.", "Bien."],
+    "« Jamais fermé. Suite. Fin.\n\n« Un. Deux. » dit-elle.": ["« Jamais fermé.", "Suite.", "Fin.", "« Un. Deux. » dit-elle."],
+    "« " + "La fibre réduit le bruit. " * 60 + "» dit-il. Bien.": ["« " + "La fibre réduit le bruit. " * 60 + "» dit-il.", "Bien."],
     "": [], " \n\t ": [], "..": [".."],
 }
 
@@ -245,6 +290,31 @@ def test_sentences(spark, text):
     assert [r[3] for r in got] == TEXTS[text]
 
 
+_PROSE = "La fibre de Pierre réduit un très long calculateur de mesure en série. Le projet de Paris et de Lyon mesure une eau claire et stable avec la caméra du Centre Marie Curie de la ville. Il reste à optimiser cette base avec la caméra de Jean Martin et de Louise Petit, selon M. Durand, en 2009."
+
+
+@pytest.mark.parametrize("width", [30, 45, 60, 72, 100])
+def test_wraps_of_any_width(spark, width):
+    import textwrap
+
+    text = "Un titre court\n\n" + textwrap.fill(_PROSE, width) + "\n\n" + "Une ligne qui ne fut jamais coupée " * 8 + "finit.\nUn autre titre\nLa suite."
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = [r["sentence"].replace("\n", " ") for r in sentences.restored(df, sentences.sentences(df)).orderBy("debut").collect()]
+    want = [x.strip() + "." for x in _PROSE.replace("M. Durand", "M@ Durand").split(".")[:-1]]
+    assert got == ["Un titre court", *(x.replace("@", ".") for x in want), "Une ligne qui ne fut jamais coupée " * 8 + "finit.", "Un autre titre", "La suite."]
+
+
+def test_wraps_without_case(spark):
+    words = "تقيس المجموعة درجة حرارة الماء في كل مرحلة من مراحل التجربة وتقارن النتائج مع القيم السابقة التي نشرت".split()
+    import textwrap
+
+    text = textwrap.fill(" ".join(words * 3) + ".", 60)
+    east = "研究员测量水的温度并与以前公布的数值进行比较结果表明新方法更稳定" * 4 + "。"
+    east = "\n".join(east[i : i + 40] for i in range(0, len(east), 40))
+    df = spark.createDataFrame([(1, text), (2, east), (3, "عنوان قصير\n" + " ".join(words) + ".")], "doc_id int, text string")
+    assert {r["doc_id"]: r["count"] for r in sentences.sentences(df).groupBy("doc_id").count().collect()} == {1: 1, 2: 1, 3: 2}
+
+
 def test_sentence_places(spark):
     long = "Une 😀 phrase. " * 1000
     df = spark.createDataFrame([(1, long), (2, None), (3, "ab. C.")], "doc_id int, text string")
@@ -311,6 +381,106 @@ def _body(rng):
     return say(5), [f"{say(12)}.", f"{say(14)}."]
 
 
+def test_wrapper_alignment():
+    w = boilerplate.Wrapper()
+    page = lambda ks: w.add(ks, [[1, 1, 1, 0, 0, 0, 0]] * len(ks))
+    for ks in ([1, 2, 3, 4], [1, 3, 4], [1, 5, 4], [4, 1]):
+        page(ks)
+    at = dict(zip(w.keys, [s[0] for s in w.stats], strict=False))
+    assert w.keys.count(1) == 1 or w.keys.count(4) == 2  # the last page has an order of its own
+    for ks in ([1, 2, 3, 4], [1, 5, 4], [4, 1]):
+        assert -1 not in w.align(ks)
+    assert w.align([9]) == [-1] and w.align([]) == [] and at[5] == 1
+    other = boilerplate.Wrapper()
+    other.add([1, 6, 4], [[7, 7, 7, 0, 0, 0, 3]] * 3)
+    w.add(other.keys, other.stats)
+    assert -1 not in w.align([1, 6, 4]) and sum(s[0] for k, s in zip(w.keys, w.stats, strict=True) if k == 6) == 7
+
+
+def test_lists_end_by_structure():
+    f = lambda s: [c == "F" for c in s]
+    item = lambda s: [c in "ieT" for c in s]
+    run = lambda s, most, title="", ranks=None: boilerplate.entries(f(s), f(s), [most if c == "F" else None for c in s], [c == "T" for c in s], item(s), ranks or [0] * len(s))
+    assert run("FeeeeeeeeeeF", 2) == set(range(1, 11))  # ends at an item: all
+    assert run("TpFeee", 2) == {3, 4, 5}  # ends with the text
+    assert run("TpFeeeep", 3) == {3, 4, 5}  # ends at a paragraph: the longest known
+    assert run("FeeTp", 9) == {1, 2}  # the page's title is no entry
+    assert run("Feep", 9) == {1}  # no title is known: the line before the paragraph is it
+    assert run("Fiiii", 0, ranks=[0, 1, 2, 3, 0]) == {1, 2, 3}
+
+
+def test_subheads_need_evidence_on_the_host(spark):
+    rng = np.random.default_rng(11)
+    pages = []
+    for h, n, every in (("Portail Abagouoz", 6, 1), ("Veille Bebemont", 6, 1), ("Lettre Cucucourt", 300, 100)):
+        for i in range(n):
+            title, body = _body(rng)
+            subhead = ["Contexte scientifique"] if i % every == 0 else []
+            pages.append((f"B/{h}{i}.htm", h, title, ["Accueil", title, body[0], *subhead, body[1], "Haut de page"]))
+    got = _framed(spark, pages)
+    assert all(not any("Contexte" in x for x in got[p]) for p, h, _, _ in pages if h == "Lettre Cucucourt")
+    assert all({"Accueil", "Haut de page"} <= got[p] for p, *_ in pages)
+
+
+def test_rare_layout_of_a_large_host(spark):
+    rng = np.random.default_rng(12)
+    pages = []
+    for i in range(200):
+        title, body = _body(rng)
+        rare = ["Espace des lecteurs", "Petites annonces", "Nos archives sonores"] if i % 40 == 0 else ["Accueil"]
+        pages.append((f"B/{i}.htm", HOSTS[0], title, [*rare, title, *body]))
+    got = _framed(spark, pages)
+    assert all(got[p] == set(ls[:-3]) for p, _, _, ls in pages)
+
+
+def test_article_given_again_is_no_frame(spark):
+    rng = np.random.default_rng(13)
+    again = _body(rng)
+    pages = []
+    for i in range(40):
+        title, body = again if i % 4 == 0 else _body(rng)
+        pages.append((f"B/{i}.htm", HOSTS[0], title, ["Accueil", title, *body]))
+    assert all(x == {"Accueil"} for x in _framed(spark, pages).values())
+
+
+def test_last_load_counts(spark):
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(12):
+        title, body = _body(rng)
+        rows.append((f"B/{i}.htm", f"<title>3 mai &gt; Bulletin {HOSTS[0]} {i} &gt; {title}</title>", "\n".join(["Accueil", title, *body]), i))
+    rows += [("B/0.htm", rows[0][1], "Accueil\nUn.", 100), ("B/0.htm", rows[0][1], "Un.\nAccueil\nDeux.", 99), ("B/0.htm", rows[0][1], None, 101)]
+    df = spark.createDataFrame(rows, "path string, html string, texte string, loaded_at int")
+    got = sorted((r["line_no"], r["frame"]) for r in boilerplate.frame(df).collect() if r["path"] == "B/0.htm")
+    assert got == [(0, True), (1, False)]
+
+
+def test_hot_lines_without_broadcasts(spark, monkeypatch):
+    from lexiloom import session
+
+    rng = np.random.default_rng(15)
+    pages = []
+    for i in range(60):
+        title, body = _body(rng)
+        pages.append((f"B/{i}.htm", HOSTS[i % 3], title, ["Accueil", title, body[0], *["Publicité"] * 12, body[1]]))  # a third of all lines
+    monkeypatch.setattr(boilerplate, "CHUNK_PAGES", 7)
+    monkeypatch.setattr(boilerplate, "FAN_IN", 2)
+    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (0, 0))
+    monkeypatch.setattr(session.hot_keys, "__defaults__", (50,))
+    assert all(x == {"Accueil", "Publicité"} for x in _framed(spark, pages).values())
+
+
+def test_expressions(spark):
+    rng = np.random.default_rng(16)
+    rows = []
+    for i in range(20):
+        title, body = _body(rng)
+        ls = ["Accueil", title, body[0], *(["Publicité"] if i % 2 else []), body[1], f"Offert ici par {_odd(i)} ;", "Presse | Agenda | Forum", "Presse", "Agenda", "Forum"]
+        rows.append((f"B/{i}.htm", f"<title>3 mai &gt; Bulletin {HOSTS[0]} {i} &gt; {title}</title>", "\n".join(ls)))
+    got = boilerplate.expressions(spark.createDataFrame(rows, "path string, html string, texte string")).orderBy("pos").collect()
+    assert [r["kind"] for r in got] == ["fixed", "optional", "slot", "group", "fixed", "fixed", "fixed"] and got[1]["pages"] == 10
+
+
 HOSTS = ("Portail Abagouoz", "Veille Bebemont", "Lettre Cucucourt")
 _odd = lambda i, j=0: "Xa" + chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + j)
 
