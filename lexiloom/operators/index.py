@@ -33,10 +33,11 @@ def stored_tokens(tokens: DataFrame) -> DataFrame:
     return _placed(_stored(tokens), "article", "pos").where("token is not null")
 
 
-def stored_tf(tokens: DataFrame) -> DataFrame:
+def stored_tf(tokens: DataFrame, hot: list | None = None) -> DataFrame:
     """`tf` of `stored_tokens`. Rows are laid out by article once, for the places and for the counts; articles that hold too many of
-    them are laid out by place and counted in two steps."""
-    hot = hot_keys(tokens.where("article is not null"), "article")
+    them are laid out by place and counted in two steps. hot: those articles, if they are known."""
+    if hot is None:
+        hot = hot_keys(tokens.where("article is not null"), "article")
     rows = _stored(tokens)
     # nonblank is not pushed below the aggregate, so the layout stays and the cleaning isn't repeated
     count = lambda placed: placed.groupBy("article", "token").agg(F.count(F.lit(1)).alias("tf"), F.max(F.length("token")).alias("_n")).where("_n > 0").drop("_n")

@@ -113,8 +113,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
 
 def hot_keys(rows: DataFrame, key: str, least: int = HOT_ROWS) -> list:
     """Keys with more than one row in HOT_SHARE of all and more than `least` rows: at most HOT_SHARE, whatever the data."""
-    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = n.where((F.col("n") > least) & (F.col("n") > n.agg(F.sum("n") / HOT_SHARE).scalar()))
+    return hot_of(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, least)
+
+
+def hot_of(counts: DataFrame, key: str, least: int = HOT_ROWS) -> list:
+    """hot_keys of counted rows: (key, n), a row a key."""
+    hot = counts.where((F.col("n") > least) & (F.col("n") > counts.agg(F.sum("n") / HOT_SHARE).scalar()))
     return [r[0] for r in hot.select(key).limit(HOT_SHARE).collect()]
 
 
