@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lexiloom import schemas
 from lexiloom.functions.html import Page
 from lexiloom.functions.text import pystrip, words
-from lexiloom.session import broadcast_if_small, cut, rows_of
+from lexiloom.session import cut, flagged, rows_of
 
 
 def latest(df: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
@@ -25,13 +25,13 @@ def latest(df: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
     often = cut(often.select(key, "_last", ((F.col("_n") == 2) & (F.col("_m") == 2) & (F.col("_first") < F.col("_last"))).alias("_two")))
     if not rows_of(often):
         return df
-    out = df.join(broadcast_if_small(often), key, "left").where(F.col("_two").isNull() | (F.col("_two") & (F.col(by) == F.col("_last")))).select(*df.columns)
-    more = often.where("not _two").select(key)
-    if not more.limit(1).count():
+    out = flagged(df, often, [key]).where(F.col("_two").isNull() | (F.col("_two") & (F.col(by) == F.col("_last")))).select(*df.columns)
+    more = cut(often.where("not _two").select(key, F.lit(True).alias("_more")))
+    if not rows_of(more):
         return out
     ties = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != key]
     best = F.max_by(F.struct(*(c for c in df.columns if c != key)), F.struct(by, *sorted(ties))).alias("_row")
-    rest = df.join(broadcast_if_small(more), key, "left_semi").groupBy(key).agg(best).select(key, "_row.*")
+    rest = flagged(df, more, [key]).where("_more").drop("_more").groupBy(key).agg(best).select(key, "_row.*")
     return out.unionByName(rest.select(*df.columns))
 
 
