@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import BLANKS, words
+from lexiloom.functions.text import BLANKS
 from lexiloom.session import cut, flagged, joined
 
 # Letters and signs of other scripts that are drawn like the ones below them: Cyrillic small and capital, Greek, Armenian,
@@ -72,24 +72,27 @@ def fold_of(look: str) -> str:
 
 @lru_cache(maxsize=1)
 def _plain_class() -> str:
-    """A character class, in the syntax of Java, of those that stand for themselves whatever is beside them, by rule: no mark, not changed by any form of normalisation or by the table, and folded as lower() does."""
+    """A character class, in the syntax of Java, of those that stand for themselves whatever is beside them, by rule: no mark, not
+    changed by any form of normalisation or by the table, and folded as lower() does. Of the first 256 and of punctuation only: these are
+    tested by bits and a few ranges, while a class of all scripts takes longer than the work it saves. Other texts take the longer way."""
 
     def plain(c: int) -> bool:
         ch = chr(c)
         if c < 0x80:
             return True
-        if ud.category(ch)[0] in "MCZ" or c in _table() or 0x1100 <= c < 0x1200:
+        if ud.category(ch)[0] in "MCZ" or c in _table():
             return False
         return all(ud.normalize(f, ch) == ch for f in ("NFC", "NFKC")) and ch.casefold() == ch.lower() and len(ch.lower()) == 1 and ud.normalize("NFKC", ch.lower()) == ch.lower()
 
     ranges: list[list[int]] = []
-    for c in range(0x3000):
+    for c in (0x152, 0x153, *range(0x2010, 0x2028), 0x20AC):
         if plain(c):
             if ranges and ranges[-1][1] == c - 1:
                 ranges[-1][1] = c
             else:
                 ranges.append([c, c])
-    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
+    bits = "".join(rf"\x{c:x}" for c in range(0x80, 0x100) if plain(c))
+    return rf"\x00-\x7f{bits}" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
 
 
 def _is_plain(x: Column) -> Column:
@@ -104,8 +107,7 @@ def _per_value(x: Column, plain: Column, f) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map({v: f(v) for v in s.dropna().unique()})
 
-    easy = _is_plain(x)
-    return F.when(easy, plain).otherwise(run(F.when(~easy, x)))
+    return F.coalesce(run(F.when(~_is_plain(x), x)), plain)
 
 
 def _column(x: Column | str) -> Column:
@@ -117,7 +119,9 @@ def _look(x: Column) -> Column:
 
 
 def _fold(x: Column) -> Column:
-    return F.lower(F.array_join(words(x), " "))
+    """Of a plain value, which has no blanks but those of ASCII."""
+    one = F.when(F.rlike(x, F.lit(r"[\t-\r\x1c-\x1f]|  ")), F.regexp_replace(x, r"[\t-\r\x1c-\x20]+", " ")).otherwise(x)
+    return F.lower(F.trim(one))
 
 
 def look(x: Column | str) -> Column:
@@ -149,9 +153,9 @@ def digests(values: DataFrame, key: str, value: str) -> DataFrame:
         return pd.DataFrame([seen.get(v, (None, None)) for v in s], columns=["look", "fold"])
 
     x = F.col("_x")
-    rows = values.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("cle"), F.col(value).alias("_x")).withColumn("_easy", _is_plain(x))
-    rows = rows.withColumn("_p", run(F.when(~F.col("_easy"), x)))
-    rows = rows.withColumn("_look", F.when(F.col("_easy"), _look(x)).otherwise(F.col("_p.look"))).withColumn("_fold", F.when(F.col("_easy"), _fold(x)).otherwise(F.col("_p.fold")))
+    rows = values.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("cle"), F.col(value).alias("_x"))
+    rows = rows.withColumn("_p", run(F.when(~_is_plain(x), x)))
+    rows = rows.withColumn("_look", F.coalesce("_p.look", _look(x))).withColumn("_fold", F.coalesce("_p.fold", _fold(x)))
     return rows.where("_look <> ''").select("cle", F.xxhash64("_fold").alias("fold"), *_digest(F.col("_look"), "look"), *_digest(x, "raw")).distinct()
 
 
