@@ -111,11 +111,12 @@ def lines(pages: DataFrame) -> DataFrame:
     one = one.withColumn("site", host(F.col("title"))).withColumn("name", _dated(_plain(F.coalesce("site", F.lit("")))))
     longest = F.array_max(F.transform("l", lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("h"))))
     one = one.select("path", F.xxhash64(F.coalesce("site", F.concat(F.lit("/"), "path"))).alias("site"), F.when(F.col("name") == "", "@").otherwise(F.col("name")).alias("name"), F.get(F.split("title", ">"), F.lit(2)).alias("own"), longest.alias("most"), "l")
-    one = template(one, "own", "own").select("path", F.xxhash64("own", "most").alias("who"), F.when(F.col("own") != "", F.xxhash64("own")).otherwise(F.xxhash64("most")).alias("named"), "site", "name", F.nullif("own", F.lit("")).alias("own"), "l", F.transform("l", lambda x: F.xxhash64(F.translate(F.lower(x), "0123456789", ""))).alias("h"))
+    one = template(one, "own", "own").select("path", F.xxhash64("own", "most").alias("who"), F.when(F.col("own") != "", F.xxhash64("own")).otherwise(F.xxhash64("most")).alias("named"), "site", "name", F.nullif("own", F.lit("")).alias("own"), "l", F.transform("l", lambda x: F.xxhash64(F.when(F.rlike(x, F.lit("[0-9]")), F.regexp_replace(x, "[0-9]+", "")).otherwise(x))).alias("h"))
     rows = one.select("path", "who", "named", "site", "name", "own", "h", F.posexplode("l").alias("n", "line"))
     near = F.array_compact(F.array(F.when(F.col("n") > 0, F.get("h", F.col("n") - 1)), F.get("h", F.col("n") + 1)))
     rows = template(rows.withColumn("near", near).drop("h"), "line", "t")
-    bare = ~F.rlike("line", F.lit(r"[.;:»…]\s*$"))
+    bare = F.instr(F.lit(".;:»…"), F.right(F.rtrim("line", F.lit(" \t\r\x0b\x0c")), F.lit(1))) < 1
+    bare = bare | F.rlike("line", F.lit(r"^\s*$"))
     item = bare & ~F.rlike("line", F.lit(_BULLET))
     rank = F.when(F.rlike("line", F.lit(r"^\s*\p{Nd}")), F.regexp_extract("line", r"^\s*(\p{Nd}+)\.\s", 1).try_cast("int"))
     cut_up = _dated(_plain(F.regexp_replace("line", _PARTS, "\n"), r"\n"))
