@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import BLANKS
 from lexiloom.operators import index
-from lexiloom.session import shared_dir
+from lexiloom.session import cut, hot_of, shared_dir
 
 FANOUT_BITS = 4
 #: Hash bits by which partial sums are laid out: at most so many tasks share them.
@@ -135,12 +135,13 @@ def frequencies(tokens: DataFrame, rare_below: int = RARE_BELOW, common_above: f
     rare: held by fewer articles than rare_below; common: by more than that share of the articles that have a token. Small
     collections may mark a term both ways. NULL and blank tokens and rows without an article don't count, nor does a repeated (article, pos).
     """
-    pairs = index.stored_tf(tokens)
+    per = cut(tokens.where("article is not null").groupBy("article").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.btrim("token", F.lit(BLANKS)) != ""), F.lit(False)).alias("some")))
+    n = float(per.where("some").count())
+    pairs = index.stored_tf(tokens, hot_of(per, "article"))
     rows = pairs.select(F.xxhash64("token").alias("h"), "token", F.col("tf").alias("occurrences"), F.lit(1).cast("bigint").alias("articles"))
     partial = _sums(rows, hold)
     # a task's rows may agree in the bits they were laid out by, so it splits by those below
     total = _sums(partial.repartition(F.shiftrightunsigned("h", 64 - LAYOUT_BITS)), hold, 64 - LAYOUT_BITS)
-    n = tokens.where(F.btrim("token", F.lit(BLANKS)) != "").agg(F.count_distinct("article").cast("double")).scalar()
     return total.select("token", "occurrences", "articles", (F.col("articles") < rare_below).alias("rare"), (F.col("articles") > common_above * n).alias("common"))
 
 
