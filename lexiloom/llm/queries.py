@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import boilerplate, distinctive, frequency, looks, mixing, names, packing, sentences
+from lexiloom.llm import boilerplate, distinctive, frequency, looks, mixing, names, packing, sentences, sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,17 +16,22 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _vocabulary(s: SparkSession) -> str:
+    """The vocabulary file that the session names."""
+    return s.conf.get("spark.lexiloom.vocabulary", sizes.VOCABULARY)
+
+
 def _pages(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "bulletins").select("path", "html", "texte", "loaded_at")
 
 
 def _packed(s: SparkSession, d: str) -> tuple[DataFrame, int]:
     capacity = table(s, d, "containers").first()["capacity_tokens"]
-    return packing.pack_texts(table(s, d, "documents"), capacity), capacity
+    return packing.pack_texts(table(s, d, "documents"), capacity, vocabulary=_vocabulary(s)), capacity
 
 
 def _mixed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets"))
+    return mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets"), vocabulary=_vocabulary(s))
 
 
 def _by_field(form: Callable[[DataFrame, str, str], DataFrame]) -> Query:

@@ -102,6 +102,41 @@ def test_writers(spark):
     assert names.writers(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("value", "kind"), [("CNRS", "body"), ("INSERM Unité 12", "body"), ("Muséum national d'histoire naturelle", "body"), ("Groupe d'étude des sols vivants", "body"), ("DUPONT", "person"), ("Jean de La Fontaine", "person"), ("panbrobriteau frédéric", "person"), ("J. Li", "person"), ("Anonyme", None), ("...", None), (None, None)])
+def test_kinds(value, kind):
+    assert names.parse(value)["kind"] == kind
+
+
+def test_costs():
+    pets = {"bob": {"robert"}}
+    cost = lambda a, b: names.given_cost(a, b, pets)
+    assert cost("bob", "robert") < cost("bobby", "robert") < 0.5 and cost("pierrot", "pierre") and cost("toine", "antoine") and cost("m-c", "marie-claude") and cost("mc", "marie-claude")
+    assert cost("paul", "pierre") is None and cost("", "pierre") is None and cost("o", "antoine") is None
+    assert names.close("schwartzenberg", "schwarzenburg") and not names.close("martin", "marton" + "s") and not names.close("li", "lu") and names.close("", "")
+    assert names.body_cost("institut physique nord", "physique institut nord") == 0 and names.body_cost("institut physique nord", "institut phys nord") and names.body_cost("institut physique nord", "institut phisique nord")
+    assert names.body_cost("inserm unite 12", "inserm unite 13") is None and names.body_cost("institut physique nord", "institut chimie nord") is None and names.body_cost("a b", "a b c") is None
+
+
+def test_groups_dont_chain(spark):
+    nodes = spark.createDataFrame([("martin", 9), ("marton", 2), ("barton", 8), ("baron", 1), ("alone", 1), ("x", 1), ("xx", 1), ("xxx", 1)], "id string, w long")
+    edges = spark.createDataFrame([("martin", "marton"), ("marton", "barton"), ("barton", "baron"), ("x", "xx"), ("xx", "xxx"), ("x", "x")], "a string, b string")
+    assert dict(rows(names._stars(nodes, edges))) == {"martin": "martin", "marton": "martin", "barton": "barton", "baron": "barton", "alone": "alone", "x": "xx", "xx": "xx", "xxx": "xx"}
+    assert rows(names._stars(nodes.limit(0), edges.limit(0))) == []
+
+
+def test_common_surname_and_rare_names(spark):
+    common = [f"{g}{k} MARTIN-email" for g in ("Xavi", "Olga", "Ruth", "Knut") for k in ("as", "or", "il", "um", "ek")]
+    rare = ["Pierrot SCHWARTZENBERG-email", "Pierre Schwarzenburg", "Robert BAMATIZ", "Bobby Bamatiz-email", "INSERM Unité 12", "Unité 12, INSERM", "INSERM Unité 13", "Muséum national d'histoire naturelle", "Muséum d'histoire naturelle national"]
+    known = [f"Pierre {s}ATIZ-email" for s in ("LOR", "BUMU", "KEPA")]
+    df = spark.createDataFrame([(v,) for v in common + rare + known], "auteur string")
+    got = dict(rows(names.writers(df)))
+    for a, b in ((0, 1), (2, 3), (4, 5), (7, 8)):
+        assert got[rare[a]] == got[rare[b]], rare[a]
+    assert len({got[rare[i]] for i in (0, 2, 4, 6, 7)}) == 5 and len({got[v] for v in common}) == len(common)
+    other = dict(rows(names.writers(df, pets=())))
+    assert other[rare[2]] != other[rare[3]]
+
+
 def test_within_one():
     assert names.within_one("ab", "ba") and names.within_one("abc", "ac") and names.within_one("abc", "abcd") and names.within_one("abc", "axc") and names.within_one("", "a")
     assert not names.within_one("abc", "cba") and not names.within_one("ab", "cd") and not names.within_one("abcd", "ab")
@@ -112,13 +147,13 @@ def test_within_one():
 
 @pytest.mark.parametrize(
     ("a", "b"),
-    [("ｅté", "été".replace("été", "eté")), ("5\xa0mai", "5 mai"), ("﻿m​a\xadi ", "mai"), ("е́t", "ét"), ("ﬁn", "fin"), ("2005⁄03⁄03", "2005／03/03"), ("peut‐on", "peut‑on"), ("АС", "AC")],
+    [("ｅté", "été".replace("été", "eté")), ("5\xa0mai", "5 mai"), ("﻿m​a\xadi ", "mai"), ("е́t", "ét"), ("ﬁn", "fin"), ("2005⁄03⁄03", "2005／03/03"), ("peut‐on", "peut‑on"), ("АС", "AC"), ("ꓮ", "A"), ("ᎪᏢ", "AP"), ("ⅼ", "l"), ("Ⅿ", "M"), ("օո", "on"), ("ѡ", "w"), ("−3", "–3")],
 )
 def test_same_look(a, b):
     assert looks.look_of(a) == looks.look_of(b)
 
 
-@pytest.mark.parametrize(("a", "b"), [("m²", "m2"), ("Mai", "mai"), ("é", "e"), ("a", "a."), ("½", "1/2"), ("a b", "ab"), ("a  b", "a b"), ("…", "...")])
+@pytest.mark.parametrize(("a", "b"), [("m²", "m2"), ("Mai", "mai"), ("é", "e"), ("a", "a."), ("½", "1/2"), ("a b", "ab"), ("a  b", "a b"), ("…", "..."), ("г", "r"), ("α", "a"), ("ı", "i"), ("–", "-")])
 def test_different_look(a, b):
     assert looks.look_of(a) != looks.look_of(b)
 
@@ -130,6 +165,21 @@ def test_look_is_stable_and_folds():
     assert looks.fold_of(looks.look_of("STRASSE  ²")) == looks.fold_of(looks.look_of("straße 2"))
 
 
+def test_plain_values_need_no_python(spark):
+    values = ["été", " \tÉté d'hiver ", "Œuvre « 3 € »", "STRASSE ß", "m²", "e\u0301", "a\u200bb", "", " ", "\xa0x", "İ", "ſ", "ﬁn", "한글", "\u1112\u1161", "नमस्ते", None, "x" * 100_000 + "é"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r["i"]: r for r in df.select("i", "v", looks._is_plain(df.v).alias("plain"), looks.look("v").alias("look"), looks.fold("v").alias("fold")).collect()}
+    for i, v in enumerate(values):
+        assert got[i]["look"] == (None if v is None else looks.look_of(v)) and got[i]["fold"] == (None if v is None else looks.fold_of(looks.look_of(v))), v
+    assert [got[i]["plain"] for i in range(7)] == [True, True, True, False, False, False, False]
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([("1", "été"), ("2", "e\u0301té".replace("té", "t\u0301e")), ("3", "été "), ("4", "Été"), ("5", None)], "cle string, value string")
+    got = {r["cle"]: (r["classe"], r["chaines"]) for r in looks.classes(df, "cle", "value").collect()}
+    assert got["1"] == got["3"] and got["1"][1] == 2 and got["4"][1] == 1 and len({c for c, _ in got.values()}) == 3 and "5" not in got
+
+
 def test_alike(spark):
     data = [("1", "été"), ("2", "été"), ("3", "été"), ("3", "été"), ("4", "Été"), ("5", None), ("6", " ​"), ("7", ""), (None, "été "), ("8", "été ")]
     df = spark.createDataFrame(data, "raw string, look string")
@@ -142,6 +192,15 @@ def test_alike_one_hot_string(spark):
     assert looks.alike(df, "k", "v").count() == 2999
 
 
+def test_alike_hot_string_under_a_salt(spark, monkeypatch):
+    from lexiloom import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (0, 0))
+    df = spark.range(3000).selectExpr("cast(id as string) k", "case when id < 3 then 'a\u200b' when id % 3 = 0 then 'a' else concat('v', id) end v")
+    assert looks.alike(df, "k", "v").count() == 3 * 999
+
+
 # p6
 
 
