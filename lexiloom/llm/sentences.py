@@ -114,10 +114,20 @@ def _inside(x: Column) -> Column:
     zipped = lambda ps: F.transform(F.array(depths(ps)), lambda ds: F.arrays_zip(ps.alias("p"), ds.alias("d"), least(ds).alias("m")))[0]
     # an array of one element binds a value once
     done = F.transform(F.transform(F.array(pieces), zipped), put_together)[0]
-    return F.when(F.instr(x, CLOSE) > 0, done).otherwise(x)
+    # without a quotation in another one a chain of matches does the same; its lookaheads are for texts that aren't very long
+    near = rf"(?:[^{OPEN}{CLOSE}\n]++|\n(?![^\S\n]*\n))*+"
+    plain = rf"(?:[^{OPEN}{CLOSE}{_ENDS}\n]++|\n(?![^\S\n]*\n))*+"
+    chain = F.regexp_replace(x, rf"({OPEN}{plain}|\G(?<!^){plain})[{_ENDS}](?={near}{CLOSE})", f"$1{INSIDE}")
+    chain = F.when(F.rlike(x, F.lit(_CJK_END)), F.regexp_replace(chain, rf"(?<=[:：]{_SP}?){OPEN}({near}){CLOSE}", f"{OPEN_COLON}$1{CLOSE_COLON}")).otherwise(chain)
+    nested = F.rlike(x, F.lit(rf"{OPEN}[^{OPEN}{CLOSE}]*+{OPEN}")) | (F.length(x) > _LONG)
+    done = F.when(nested, done).otherwise(chain)
+    # most quotations hold no end and no other quotation: nothing to mask
+    held = F.rlike(x, F.lit(rf"{OPEN}[^{OPEN}{CLOSE}{_ENDS}]*+[{OPEN}{_ENDS}]")) | F.rlike(x, F.lit(_CJK_END))
+    return F.when((F.instr(x, CLOSE) > 0) & held, done).otherwise(x)
 
 
 _FAR = 1 << 30
+_LONG = 20_000
 
 
 def _line(x: Column) -> Column:
@@ -187,7 +197,10 @@ def _lines(x: Column) -> Column:
         return F.struct(now.alias("now"), F.when(better, now).otherwise(acc["best"]).alias("best"), F.when(better, e["at"]).otherwise(acc["lo"]).alias("lo"), hi.alias("hi"))
 
     zero = F.struct(F.lit(0).alias("now"), F.lit(2).alias("best"), F.lit(_FAR).alias("lo"), F.lit(0).alias("hi"))
-    width = lambda ps: F.aggregate(ranges(ps), zero, widest, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+    none = F.struct(F.lit(_FAR).alias("lo"), F.lit(0).alias("hi"))
+    found = lambda ps: F.aggregate(ranges(ps), zero, widest, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+    # the width matters only where a line is unfinished and no lower case follows
+    width = lambda ps: F.when(F.exists(ps, lambda p: ~p["low"] & ~p["finished"] & ~(p["marked"] & _marked(p["a"]))), found(ps)).otherwise(none)
 
     def wraps(p: Column, w: Column) -> Column:
         a, b = p["a"], p["b"]
@@ -226,7 +239,7 @@ def masked(docs: DataFrame, text: str) -> DataFrame:
     x = F.col(text)
     greek = F.when(F.instr(x, ";") > 0, F.regexp_replace(x, rf"[;\x{{37e}}](?<=[\x{{370}}-\x{{3ff}}\x{{1f00}}-\x{{1fff}}][;\x{{37e}}])(?={_SP}|$)", GREEK_END)).otherwise(x)
     one = docs.withColumn("_m", _inside(_dots(_quotes(greek))))
-    two = one.withColumn("_m", F.when(F.instr("_m", "\n") > 0, _lines(F.col("_m"))).otherwise(F.col("_m")))
+    two = one.withColumn("_m", F.when(F.rlike("_m", F.lit(r"\S[^\S\n]*\n[^\S\n]*\S")), _lines(F.col("_m"))).otherwise(F.col("_m")))
     return two.withColumn("_m", _cuts(_items(F.col("_m"))))
 
 
