@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import unicodedata as ud
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,6 +83,10 @@ def close(a: str, b: str) -> bool:
         return a == b or (k == 1 and within_one(a, b))
     if abs(len(a) - len(b)) > k:
         return False
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, before, row = before, row, [i]
@@ -241,20 +244,6 @@ def given_cost(a: str, b: str, pets: dict[str, set[str]]) -> float | None:
     return None
 
 
-def family_cost(a: str, b: str) -> float | None:
-    return 0.0 if a == b else 1.0 if close(a, b) else None
-
-
-def assignment_cost(family: str, given: str, family_b: str, given_b: str, pets: dict[str, set[str]]) -> float | None:
-    """The cheapest assignment of a spelling's two parts to those of a full name; parts may have been typed in either order."""
-    best = None
-    for f, g in permutations((family, given)):
-        x, y = family_cost(f.replace("-", ""), family_b), given_cost(g, given_b, pets)
-        if x is not None and y is not None and (best is None or x + y < best):
-            best = x + y
-    return best
-
-
 def _deletes(x: Column) -> Column:
     """A string and what is left of it without as many letters as `edits` allows."""
     one = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))
@@ -271,13 +260,27 @@ def _matches(a: str, b: str, test) -> Column:
     return run(a, b)
 
 
+def _close(a: str, b: str) -> Column:
+    """`close` of two columns: by the built-in distance, but for pairs that only swaps of neighbours may bring together."""
+
+    @F.pandas_udf("boolean")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([v is not None and close(v, w) for v, w in zip(x, y, strict=True)], dtype="bool")
+
+    n = F.least(F.length(a), F.length(b))
+    k = F.when(n < 4, 0).when(n < 12, 1).otherwise(2)
+    d = F.levenshtein(a, b)
+    swaps = (d > k) & (d <= 2 * k)
+    return (d <= k) | run(F.when(swaps, F.col(a)), F.col(b))
+
+
 def _near(nodes: DataFrame, text: str, *equal: str) -> DataFrame:
     """(a, b): ids of nodes whose texts are close and whose `equal` columns are the same. nodes: (id, text, *equal), ids unique."""
     keyed = nodes.select("id", text, *equal, F.explode(_deletes(F.col(text))).alias("_k"))
     left = keyed.select("_k", *equal, F.col("id").alias("a"), F.col(text).alias("_ta"))
     right = keyed.select("_k", *equal, F.col("id").alias("b"), F.col(text).alias("_tb"))
-    met = left.join(right, ["_k", *equal]).where("a < b").select("a", "b", "_ta", "_tb").distinct()
-    return met.where(_matches("_ta", "_tb", close)).select("a", "b")
+    met = left.join(right.hint("merge"), ["_k", *equal]).where("a < b").select("a", "b", "_ta", "_tb").distinct()
+    return met.where(_close("_ta", "_tb")).select("a", "b")
 
 
 def _same_words(bodies: DataFrame) -> DataFrame:
@@ -295,7 +298,7 @@ def _same_words(bodies: DataFrame) -> DataFrame:
     right = toks.select(F.col("id").alias("b"), F.col("words").alias("wb"), keys)
     short = toks.where("length(t) >= 2").select(F.col("id").alias("b"), F.col("words").alias("wb"), F.concat(F.lit("<"), "t").alias("k"))
     longer = rare.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.explode("r.t").alias("t")).select("a", "wa", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("t"), F.lit(2))), lambda i: F.concat(F.lit("<"), F.substring(F.col("t"), F.lit(1), i)))).alias("k"))
-    met = left.join(right, "k").unionByName(longer.join(short, "k")).where("a <> b").select("a", "b", "wa", "wb").distinct()
+    met = left.join(right.hint("merge"), "k").unionByName(longer.join(short.hint("merge"), "k")).where("a <> b").select("a", "b", "wa", "wb").distinct()
     found = met.where(_matches("wa", "wb", lambda v, w: body_cost(v, w) is not None))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -327,44 +330,59 @@ def _stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(every, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _given_costs(pets: dict[str, set[str]]) -> Column:
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([given_cost(v, w, pets) for v, w in zip(a, b, strict=True)], dtype="float64").astype(object).where(lambda v: v.notna(), None)
+
+    return run("x", "y")
+
+
+def _scored(left: DataFrame, right: DataFrame, cost: Column) -> DataFrame:
+    """(x, y, cost) of the words x of left and y of right that share a key and stand at a cost. Both: (word, keys), words unique; cost of x and y, NULL if they don't match."""
+    x = left.select(F.col("word").alias("x"), F.explode(F.array_distinct("keys")).alias("k"))
+    y = right.select(F.col("word").alias("y"), F.explode(F.array_distinct("keys")).alias("k"))
+    # the sides are many times as large as what they are made from, so they aren't broadcast by their estimated size
+    met = x.join(y.hint("merge"), "k").select("x", "y").distinct()
+    return met.withColumn("cost", cost).where("cost is not null")
+
+
 def _attach(others: DataFrame, anchors: DataFrame, pets: tuple[tuple[str, str], ...], loose: bool = True) -> DataFrame:
     """(value, component, cost): of every value the components it fits, each at its best cost. others: (value, family, given); anchors: (family, given, component).
 
-    Both sides are laid out by what is left of the family name and by what the given name may stand for: its beginning, its end, what
-    is left of it, its initials, the names of a pet name. A family name that many have so brings together no names but those that may agree.
+    Distinct family names are matched with each other, and distinct given names, once each, over symmetric-delete indexes; the given
+    ones also by what they may stand for: beginnings, ends, initials, the names of a pet name. Values then meet anchors on both names in
+    full, so a family name that many have brings none together by itself. A value has a reading for each way to assign its parts, and the cheapest counts.
     loose: whether beginnings, ends and initials count too.
     """
     table: dict[str, set[str]] = {}
     for short, full in pets:
         table.setdefault(short, set()).add(full)
     names = F.create_map(*(F.lit(x) for s, full in sorted(table.items()) for x in (s, "|".join(sorted(full))))) if table else F.lit(None).cast("map<string,string>")
-    plain = F.replace("given", F.lit("-"), F.lit(""))
+    plain = F.replace("word", F.lit("-"), F.lit(""))
     key = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
-    stems = lambda x: F.filter(F.array(*(F.when(F.endswith(x, F.lit(e)) & (F.length(x) - len(e) >= 3), F.substring(x, F.lit(1), F.length(x) - len(e))).otherwise("") for e in DIMINUTIVES)), lambda v: v != "")
-    full = lambda xs: F.flatten(F.transform(xs, lambda x: F.coalesce(F.split(F.try_element_at(names, x), r"\|"), F.array().cast("array<string>"))))
-    near = lambda x: F.array_union(_deletes(x), F.when(F.length(x) == 3, F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(3))))).otherwise(F.array().cast("array<string>")))
-    asked = F.concat(key("=", near(plain)), key("=", full(F.array_union(F.array(plain), stems(plain)))))
-    if loose:
-        asked = F.concat(asked, key("<", F.array_union(F.array(plain, F.substring_index("given", "-", 1)), stems(plain))), key(">", F.array(plain)), key(".", F.array(plain)))
-    o = others.where("given <> ''").select("value", F.col("family").alias("f"), F.col("given").alias("g"), F.explode(_deletes(F.col("family"))).alias("k"), F.array_distinct(asked).alias("_e"))
-    o = o.select("value", "f", "g", F.explode(F.transform("_e", lambda e: F.xxhash64("k", e))).alias("h"))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain), F.lit(1))), lambda i: F.substring(plain, F.lit(1), i))
-    ends = F.when(F.length(plain) > 4, F.transform(F.sequence(F.lit(4), F.length(plain)), lambda i: F.right(plain, i))).otherwise(F.array(plain))
-    initials = F.array_join(F.transform(F.split("given", "-"), lambda p: F.substring(p, 1, 1)), "")
-    held = key("=", near(plain))
+    stems = F.filter(F.array(*(F.when(F.endswith(plain, F.lit(e)) & (F.length(plain) - len(e) >= 3), F.substring(plain, F.lit(1), F.length(plain) - len(e))).otherwise("") for e in DIMINUTIVES)), lambda v: v != "")
+    full = F.flatten(F.transform(F.array_append(stems, plain), lambda x: F.coalesce(F.split(F.try_element_at(names, x), r"\|"), F.array().cast("array<string>"))))
+    short = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.substring(plain, F.lit(1), i - 1), F.substring(plain, i + 1, F.lit(3))))
+    near = F.array_union(_deletes(plain), F.when(F.length(plain) == 3, short).otherwise(F.array().cast("array<string>")))
+    asked = held = key("=", near)
+    asked = F.concat(asked, key("=", full))
     if loose:
+        starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain), F.lit(1))), lambda i: F.substring(plain, F.lit(1), i))
+        ends = F.when(F.length(plain) > 4, F.transform(F.sequence(F.lit(4), F.greatest(F.length(plain), F.lit(4))), lambda i: F.right(plain, i))).otherwise(F.array(plain))
+        initials = F.array_join(F.transform(F.split("word", "-"), lambda p: F.substring(p, 1, 1)), "")
+        asked = F.concat(asked, key("<", F.array_union(F.array(plain, F.substring_index("word", "-", 1)), stems)), key(">", F.array(plain)), key(".", F.array(plain)))
         held = F.concat(held, key("<", starts), key(">", ends), key(".", F.array(initials)))
-    a = anchors.where("given <> ''").select("family", "given", "component", F.explode(_deletes(F.col("family"))).alias("k"), F.array_distinct(held).alias("_e"))
-    a = a.select("family", "given", "component", F.explode(F.transform("_e", lambda e: F.xxhash64("k", e))).alias("h"))
-    met = o.join(a, "h").select("value", "f", "g", "family", "given", "component").distinct()
-
-    @F.pandas_udf("double")
-    def cost(f: pd.Series, g: pd.Series, family: pd.Series, given: pd.Series) -> pd.Series:
-        return pd.Series([assignment_cost(*r, table) for r in zip(f, g, family, given, strict=True)], dtype="float64").astype(object).where(lambda v: v.notna(), None)
-
+    words = lambda d, c: d.where(F.col(c) != "").select(F.col(c).alias("word")).distinct()
+    by_edits = lambda d: d.withColumn("keys", _deletes(F.col("word")))
+    families = cut(_scored(by_edits(words(others, "family")), by_edits(words(anchors, "family")), F.when(F.col("x") == F.col("y"), 0.0).when(_close("x", "y"), 1.0)))
+    givens = cut(_scored(words(others, "given").withColumn("keys", asked), words(anchors, "given").withColumn("keys", held), _given_costs(table)))
+    one = others.where("given <> ''").select("value", F.col("family").alias("f"), F.col("given").alias("g")).distinct()
+    one = one.join(families.select(F.col("x").alias("f"), F.col("y").alias("family"), F.col("cost").alias("cf")), "f")
+    one = one.join(givens.select(F.col("x").alias("g"), F.col("y").alias("given"), F.col("cost").alias("cg")), "g")
+    met = one.join(anchors.select("family", "given", "component"), ["family", "given"])
     # costs differ by tenths
-    scored = met.withColumn("cost", F.round(cost("f", "g", "family", "given"), 3)).where("cost is not null")
-    return scored.groupBy("value", "component").agg(F.min("cost").alias("cost"))
+    return met.groupBy("value", "component").agg(F.min(F.round(F.col("cf") + F.col("cg"), 3)).alias("cost"))
 
 
 def _best(fits: DataFrame) -> DataFrame:
