@@ -299,6 +299,9 @@ def _same_words(bodies: DataFrame) -> DataFrame:
     short = toks.where("length(t) >= 2").select(F.col("id").alias("b"), F.col("words").alias("wb"), F.concat(F.lit("<"), "t").alias("k"))
     longer = rare.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.explode("r.t").alias("t")).select("a", "wa", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("t"), F.lit(2))), lambda i: F.concat(F.lit("<"), F.substring(F.col("t"), F.lit(1), i)))).alias("k"))
     met = left.join(right.hint("merge"), "k").unionByName(longer.join(short.hint("merge"), "k")).where("a <> b").select("a", "b", "wa", "wb").distinct()
+    # words that agree or abbreviate each other begin alike, so all but a misspelt one do
+    begins_of = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda v: F.left(v, F.lit(1))))
+    met = met.where((F.size(F.split("wa", " ")) == F.size(F.split("wb", " "))) & (F.size(F.array_except(begins_of("wa"), begins_of("wb"))) <= 1))
     found = met.where(_matches("wa", "wb", lambda v, w: body_cost(v, w) is not None))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
