@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.looks import look_of
-from lexiloom.session import cut, rows_of
+from lexiloom.session import cut, flagged, rows_of
 
 # Words of French author lines.
 NO_NAME = frozenset("anonyme anonymous inconnu auteur-inconnu la-redaction redaction redacteur collectif n-a sans-nom".split())
@@ -276,34 +276,43 @@ def _close(a: str, b: str) -> Column:
 
 def _near(nodes: DataFrame, text: str, *equal: str) -> DataFrame:
     """(a, b): ids of nodes whose texts are close and whose `equal` columns are the same. nodes: (id, text, *equal), ids unique."""
-    keyed = nodes.select("id", text, *equal, F.explode(_deletes(F.col(text))).alias("_k"))
-    left = keyed.select("_k", *equal, F.col("id").alias("a"), F.col(text).alias("_ta"))
-    right = keyed.select("_k", *equal, F.col("id").alias("b"), F.col(text).alias("_tb"))
-    met = left.join(right.hint("merge"), ["_k", *equal]).where("a < b").select("a", "b", "_ta", "_tb").distinct()
-    return met.where(_close("_ta", "_tb")).select("a", "b")
+    # a long text has hundreds of keys: only their hashes travel
+    keyed = nodes.select("id", F.explode(F.transform(_deletes(F.col(text)), lambda v: F.xxhash64(v, *equal))).alias("_k"))
+    met = keyed.select("_k", F.col("id").alias("a")).join(keyed.select("_k", F.col("id").alias("b")).hint("merge"), "_k").where("a < b").select("a", "b").distinct()
+    of = lambda c: nodes.select(F.col("id").alias(c), F.struct(*equal).alias(f"_e{c}") if equal else F.lit(0).alias(f"_e{c}"), F.col(text).alias(f"_t{c}"))
+    return met.join(of("a"), "a").join(of("b"), "b").where("_ea = _eb").where(_close("_ta", "_tb")).select("a", "b")
 
 
 def _same_words(bodies: DataFrame) -> DataFrame:
     """(a, b): ids of organisations whose words match one by one. bodies: (id, words).
 
-    Two such names have a word in common within the edits or as an abbreviation, whichever words these are; each name is laid out by its
-    two rarest words (one more than may be misspelt) and by all its words, so a word that all names have brings none together by itself.
+    Distinct words are matched with each other once, within the edits or as an abbreviation. As all words of two such names match, one word
+    of a name finds them all: the one whose matches stand in the fewest names. So a word that many names have, rightly or misspelt, brings
+    none together while they have a rarer one.
     """
-    toks = cut(bodies.select("id", "words", F.explode(F.array_distinct(F.split("words", " "))).alias("t")))
-    n = toks.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    rare = toks.join(n, "t").groupBy("id", "words").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "t"))), 1, 2).alias("r"))
+    listed = F.split("words", " ")
+    toks = cut(bodies.select("id", "words", F.size(listed).alias("m"), F.explode(F.array_distinct(listed)).alias("t")).where("m > 1"))
+    words = cut(toks.groupBy("t").agg(F.count(F.lit(1)).alias("n")))
     begins = F.transform(F.sequence(F.lit(2), F.greatest(F.length("t"), F.lit(2))), lambda i: F.concat(F.lit("<"), F.substring(F.col("t"), F.lit(1), i)))
-    keys = F.explode(F.array_union(_deletes(F.col("t")), begins)).alias("k")
-    left = rare.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.explode("r.t").alias("t")).select("a", "wa", F.explode(F.array_append(_deletes(F.col("t")), F.concat(F.lit("<"), "t"))).alias("k"))
-    right = toks.select(F.col("id").alias("b"), F.col("words").alias("wb"), keys)
-    short = toks.where("length(t) >= 2").select(F.col("id").alias("b"), F.col("words").alias("wb"), F.concat(F.lit("<"), "t").alias("k"))
-    longer = rare.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.explode("r.t").alias("t")).select("a", "wa", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("t"), F.lit(2))), lambda i: F.concat(F.lit("<"), F.substring(F.col("t"), F.lit(1), i)))).alias("k"))
-    met = left.join(right.hint("merge"), "k").unionByName(longer.join(short.hint("merge"), "k")).where("a <> b").select("a", "b", "wa", "wb").distinct()
+    asked = words.select(F.col("t").alias("x"), F.explode(F.array_append(_deletes(F.col("t")), F.concat(F.lit("<"), "t"))).alias("k"))
+    held = words.select(F.col("t").alias("y"), F.explode(F.array_union(_deletes(F.col("t")), begins)).alias("k"))
+    met = asked.join(held.hint("merge"), "k").select("x", "y").distinct()
+    number = F.rlike("x", F.lit("^[0-9]+$")) | F.rlike("y", F.lit("^[0-9]+$"))
+    met = met.where((F.col("x") == F.col("y")) | ~number & ((F.length("x") >= 2) & F.startswith("y", "x") | _close("x", "y")))
+    met = cut(met.unionByName(met.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    reach = met.join(words.withColumnRenamed("t", "y"), "y").groupBy(F.col("x").alias("t")).agg(F.sum("n").alias("n"))
+    one = cut(flagged(toks, cut(reach), ["t"]).groupBy("id", "words", "m").agg(F.min(F.struct("n", "t"))["t"].alias("x")))
+    met = cut(met.join(one.select("x").distinct(), "x", "left_semi"))
+    # other words travel nowhere
+    found = flagged(toks, cut(met.select(F.col("y").alias("t"), F.lit(True).alias("_found")).distinct()), ["t"]).where("_found")
+    left = one.select(F.struct("id", "words").alias("a"), "m", "x").join(met.hint("merge"), "x").select("a", "m", F.col("y").alias("t"))
+    pairs = left.join(found.select(F.struct("id", "words").alias("b"), "m", "t").hint("merge"), ["m", "t"]).where("a.id <> b.id")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.words").alias("wa"), F.col("b.words").alias("wb"))
     # words that agree or abbreviate each other begin alike, so all but a misspelt one do
     begins_of = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda v: F.left(v, F.lit(1))))
-    met = met.where((F.size(F.split("wa", " ")) == F.size(F.split("wb", " "))) & (F.size(F.array_except(begins_of("wa"), begins_of("wb"))) <= 1))
-    found = met.where(_matches("wa", "wb", lambda v, w: body_cost(v, w) is not None))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.where(F.size(F.array_except(begins_of("wa"), begins_of("wb"))) <= 1)
+    return pairs.where(_matches("wa", "wb", lambda v, w: body_cost(v, w) is not None)).select("a", "b")
 
 
 def _stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.llm import boilerplate, distinctive, frequency, looks, mixing, names, packing, sentences, sizes
 
@@ -137,6 +138,17 @@ def test_common_surname_and_rare_names(spark):
     assert other[rare[2]] != other[rare[3]]
 
 
+def test_common_words_of_organisations(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    towns = ["".join(rng.choice(list("bdfglmnprtv")) + rng.choice(list("aeiou")) for _ in range(6)) for _ in range(300)]
+    words = [f"institut robotique {t}" for t in towns] + [f"institut robotiqe {t}" for t in towns[:20]] + [f"institut robot {towns[20]}", f"institut robotique {towns[21]}l", "institut robotique"]
+    df = spark.createDataFrame([(w, w) for w in words], "id string, words string")
+    found = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if names.body_cost(a, b) is not None}
+    assert {frozenset(r) for r in rows(names._same_words(df))} == set(map(frozenset, found)) and len(found) == 22
+    monkeypatch.setattr(names, "_matches", lambda a, b, test: F.lit(True))
+    assert names._same_words(df).count() < 100  # of 45,000 pairs with two words alike
+
+
 def test_within_one():
     assert names.within_one("ab", "ba") and names.within_one("abc", "ac") and names.within_one("abc", "abcd") and names.within_one("abc", "axc") and names.within_one("", "a")
     assert not names.within_one("abc", "cba") and not names.within_one("ab", "cd") and not names.within_one("abcd", "ab")
