@@ -283,6 +283,13 @@ def _near(nodes: DataFrame, text: str, *equal: str) -> DataFrame:
     return met.join(of("a"), "a").join(of("b"), "b").where("_ea = _eb").where(_close("_ta", "_tb")).select("a", "b")
 
 
+def _parted(edges: DataFrame) -> DataFrame:
+    """Those edges of close persons, ids `part|part`, whose other parts are close by themselves where one is the same: a long family name allows a short given one no more edits."""
+    a, b = F.split("a", r"\|"), F.split("b", r"\|")
+    rest = edges.withColumns({"_same": F.size(F.array_intersect(a, b)), "_ra": F.array_join(F.array_except(a, b), ""), "_rb": F.array_join(F.array_except(b, a), "")})
+    return rest.where((F.col("_same") == 0) | (F.col("_ra") == "") | (F.col("_rb") == "") | _close("_ra", "_rb")).select("a", "b")
+
+
 def _same_words(bodies: DataFrame) -> DataFrame:
     """(a, b): ids of organisations whose words match one by one. bodies: (id, words).
 
@@ -447,8 +454,8 @@ def writers(values: DataFrame, column: str = "auteur", pets: tuple[tuple[str, st
     anchors = named.groupBy("family", "g").agg(F.max(F.struct(F.length("given").alias("n"), "given")).alias("given"), F.sum("w").alias("w"))
     anchors = cut(anchors.select(F.concat_ws("|", "family", "g").alias("id"), "family", "g", "given.given", "w"))
     bodies = p.where("kind = 'body'").select("value", "w", "body", F.concat(F.lit("b:"), "body").alias("id"))
-    # organisations and anchors in one graph; what must agree between them is the given name, or being an organisation
-    forms = bodies.groupBy("id", "body").agg(F.sum("w").alias("w")).select("id", F.replace("body", F.lit(" "), F.lit("")).alias("text"), F.lit("b:").alias("with"), "w", "body")
+    # organisations and anchors in one graph; what must agree between them is the given name, or being an organisation and its numbers
+    forms = bodies.groupBy("id", "body").agg(F.sum("w").alias("w")).select("id", F.replace("body", F.lit(" "), F.lit("")).alias("text"), F.concat(F.lit("b:"), F.trim(F.regexp_replace("body", r"\P{Nd}+", " "))).alias("with"), "w", "body")
     forms = cut(forms.unionByName(anchors.select("id", F.col("family").alias("text"), F.col("g").alias("with"), "w", F.lit(None).cast("string").alias("body"))))
     edges = _near(forms, "text", "with").unionByName(_same_words(forms.where("body is not null").select("id", F.col("body").alias("words"))))
     grouped = cut(_stars(forms, edges))
@@ -464,7 +471,7 @@ def writers(values: DataFrame, column: str = "auteur", pets: tuple[tuple[str, st
     full = cut(form.where("not short").groupBy("id").agg(F.sum("w").alias("w")).withColumn("text", F.replace("id", F.lit("|"), F.lit(""))))
     whole = cut(left.where("not short and given <> ''").select("value", "family", "given").join(form.where("not short").select("value", "id"), "value"))
     alike = _attach(whole.select(F.col("id").alias("value"), "family", "given").distinct(), whole.select("family", "given", F.col("id").alias("component")).distinct(), pets, loose=False)
-    edges = _near(full, "text").unionByName(alike.select(F.least("value", "component").alias("a"), F.greatest("value", "component").alias("b")).where("a <> b"))
+    edges = _parted(_near(full, "text")).unionByName(alike.select(F.least("value", "component").alias("a"), F.greatest("value", "component").alias("b")).where("a <> b"))
     full = cut(_stars(full, edges))
     members = form.where("not short").join(full, "id").select("value", "component")
     like = whole.join(full, "id").select("family", "given", "component").distinct()
