@@ -7,6 +7,9 @@ masked too. What ends a unit in its script is then marked, the marked text is cu
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +53,12 @@ _MARKER = r"(?:[-•*–—·▪◦‣]|\p{Nd}{1,2}[.)\x{e001}]|[a-z]\))"
 def _quotes(x: Column) -> Column:
     """Quotation signs of all kinds as opening and closing placeholders; straight and ambiguous ones by what is beside them."""
     signs = r"\"\x{ab}\x{bb}\x{201c}-\x{201e}\x{300c}-\x{300f}"
-    closing = rf"(?=[{signs}])(?:[»”」』]|[\"“](?=(?:{_SP}|[.,;:!?…)\]]|$))(?<=[^\s(\[\x{{a0}}\x{{202f}}][\"“]))"
-    return F.when(F.rlike(x, F.lit(f"[{signs}]")), F.regexp_replace(F.regexp_replace(x, closing, CLOSE), f"[{signs}]", OPEN)).otherwise(x)
+    # a class of one range and Latin signs is tried at most characters, the signs only where it fits
+    closing = rf"[\"\x{{bb}}\x{{201c}}-\x{{300f}}](?:(?<=[»”」』])|(?<=[\"“])(?=(?:{_SP}|[.,;:!?…)\]]|$))(?<=[^\s(\[\x{{a0}}\x{{202f}}][\"“]))"
+    opened = F.regexp_replace(x, closing, CLOSE)
+    for sign in "\"«»“”„「」『』":
+        opened = F.replace(opened, F.lit(sign), F.lit(OPEN))
+    return F.when(F.rlike(x, F.lit(f"[{signs}]")), opened).otherwise(x)
 
 
 def _dots(x: Column) -> Column:
@@ -73,6 +80,13 @@ def _dots(x: Column) -> Column:
 
 #: What ends a sentence; inside a quotation it doesn't.
 _ENDS = ".!?…。！？｡;।؟"
+#: Most characters of a text, none of them in _ENDS, a line break or a placeholder: tried before classes of many signs, which cost a test a sign.
+_COMMON = r"[\x{40}-\x{60f} ,'0123456789():/-]++"
+
+
+def _east(x: Column) -> Column:
+    """Whether a text holds one of _CJK_END; four searches of bytes are cheaper than a pattern."""
+    return reduce(or_, (F.contains(x, F.lit(c)) for c in "。！？｡"))
 
 
 def _inside(x: Column) -> Column:
@@ -105,7 +119,7 @@ def _inside(x: Column) -> Column:
     def put_together(s: Column) -> Column:
         masked = F.transform(s, lambda r, i: mask(r["p"], r["d"], r["m"]))
         # it matters where sentences follow each other without a blank
-        east = F.rlike(x, F.lit(_CJK_END))
+        east = _east(x)
         opens = lambda r, i: (r["p"] == OPEN) & (r["m"] < r["d"]) & (i > 0) & F.rlike(F.get(s, i - 1)["p"], F.lit(rf"[:：]{_SP}?$"))
         simple = lambda i: (F.get(s, i + 2)["p"] == CLOSE)
         colon = F.transform(s, lambda r, i: F.when(opens(r, i) & simple(i), OPEN_COLON).when((r["p"] == CLOSE) & (i > 2) & opens(F.get(s, i - 2), i - 2), CLOSE_COLON).otherwise(mask(r["p"], r["d"], r["m"])))
@@ -115,14 +129,14 @@ def _inside(x: Column) -> Column:
     # an array of one element binds a value once
     done = F.transform(F.transform(F.array(pieces), zipped), put_together)[0]
     # without a quotation in another one a chain of matches does the same; its lookaheads are for texts that aren't very long
-    near = rf"(?:[^{OPEN}{CLOSE}\n]++|\n(?![^\S\n]*\n))*+"
-    plain = rf"(?:[^{OPEN}{CLOSE}{_ENDS}\n]++|\n(?![^\S\n]*\n))*+"
+    near = rf"(?:{_COMMON}|[^{OPEN}{CLOSE}\n]++|\n(?![^\S\n]*\n))*+"
+    plain = rf"(?:{_COMMON}|[^{OPEN}{CLOSE}{_ENDS}\n]++|\n(?![^\S\n]*\n))*+"
     chain = F.regexp_replace(x, rf"({OPEN}{plain}|\G(?<!^){plain})[{_ENDS}](?={near}{CLOSE})", f"$1{INSIDE}")
-    chain = F.when(F.rlike(x, F.lit(_CJK_END)), F.regexp_replace(chain, rf"(?<=[:：]{_SP}?){OPEN}({near}){CLOSE}", f"{OPEN_COLON}$1{CLOSE_COLON}")).otherwise(chain)
+    chain = F.when(_east(x), F.regexp_replace(chain, rf"(?<=[:：]{_SP}?){OPEN}({near}){CLOSE}", f"{OPEN_COLON}$1{CLOSE_COLON}")).otherwise(chain)
     nested = F.rlike(x, F.lit(rf"{OPEN}[^{OPEN}{CLOSE}]*+{OPEN}")) | (F.length(x) > _LONG)
     done = F.when(nested, done).otherwise(chain)
     # most quotations hold no end and no other quotation: nothing to mask
-    held = F.rlike(x, F.lit(rf"{OPEN}[^{OPEN}{CLOSE}{_ENDS}]*+[{OPEN}{_ENDS}]")) | F.rlike(x, F.lit(_CJK_END))
+    held = F.rlike(x, F.lit(rf"{OPEN}[^{OPEN}{CLOSE}{_ENDS}]*+[{OPEN}{_ENDS}]")) | _east(x)
     return F.when((F.instr(x, CLOSE) > 0) & held, done).otherwise(x)
 
 
@@ -130,9 +144,9 @@ _FAR = 1 << 30
 _LONG = 20_000
 
 
-def _line(x: Column) -> Column:
-    """What a line says about wraps: its text, length (double blanks as one), how it begins, and the length of its first word."""
-    t = F.ltrim(x, F.lit(_BLANK + SOFT))
+def _line(trimmed: Column) -> Column:
+    """What a line (x, and t without blanks before it) says about wraps: its text, length (double blanks as one), how it begins, and the length of its first word."""
+    x, t = trimmed["x"], trimmed["t"]
     first = F.left(t, F.lit(1))
     # where words aren't parted by blanks a line may break at any letter
     tight = (first >= "\u0e00") & F.rlike(first, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"))
@@ -171,10 +185,13 @@ def _lines(x: Column) -> Column:
     )
 
     def told(p: Column) -> Column:
-        """A break, whether lower case follows (NULL beside a blank line) and whether the line is finished."""
+        """A break, and whether lower case follows (NULL beside a blank line)."""
         both = (p["a"]["word"] > 0) & (p["b"]["word"] > 0)
-        low = F.when(both, _low(p["b"]))
-        return F.struct(p["a"].alias("a"), p["b"].alias("b"), low.alias("low"), F.when(both & ~low, _finished(p["a"])).alias("finished"), F.when(both & ~low, _marked(p["b"])).alias("marked"))
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), F.when(both, _low(p["b"])).alias("low"))
+
+    def more(p: Column) -> Column:
+        """Where it doesn't, whether the line is finished and the next one marked."""
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), p["low"].alias("low"), F.when(~p["low"], _finished(p["a"])).alias("finished"), F.when(~p["low"], _marked(p["b"])).alias("marked"))
 
     def ranges(ps: Column) -> Column:
         """The widths that each break which may be a wrap allows, as the events +v and -v."""
@@ -209,13 +226,16 @@ def _lines(x: Column) -> Column:
         return F.coalesce(p["low"] | (full & ~p["finished"] & ~bullet & ~(p["marked"] & _marked(a))), F.lit(False))
 
     join = lambda ps, w: F.array_join(F.transform(ps, lambda p: F.concat(p["a"]["x"], F.when(p["b"].isNull(), "").when(wraps(p, w), SOFT).otherwise("\n"))), "")
-    both = F.transform(F.array(F.transform(breaks(F.transform(F.split(x, "\n"), _line)), told)), lambda ps: F.struct(ps.alias("ps"), width(ps).alias("w")))
+    # each step binds a value that the next one uses several times
+    trimmed = F.transform(F.split(x, "\n"), lambda v: F.struct(v.alias("x"), F.ltrim(v, F.lit(_BLANK + SOFT)).alias("t")))
+    lines = F.transform(F.array(F.transform(trimmed, _line)), lambda ls: F.transform(F.transform(breaks(ls), told), more))
+    both = F.transform(lines, lambda ps: F.struct(ps.alias("ps"), width(ps).alias("w")))
     return F.transform(both, lambda r: join(r["ps"], r["w"]))[0]
 
 
 def _items(x: Column) -> Column:
     """Ends inside list items: an item is one unit, to the end of its line."""
-    inner = r"[^\n.!?…。！？;]*"
+    inner = rf"(?:{_COMMON}|[^\n.!?…。！？;])*+"
     lined = F.concat(F.lit("\n"), x)
     head = F.regexp_replace(lined, rf"(\n[^\S\n]*\p{{Nd}}{{1,2}})\.(?={_SP})", f"$1{ITEM}")
     chain = rf"(\n[^\S\n]*{_MARKER}{_SP}{inner}|\G(?<!^){inner})[.!?…。！？;]"
@@ -257,14 +277,19 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     own = r"[\x{e000}-\x{e003}\x{e010}-\x{e014}\x{e020}\x{e030}]"
     clean = docs.where(F.col(text).isNotNull()).select(key, F.when(F.rlike(text, F.lit(r"[\x{e000}-\x{e030}]")), F.regexp_replace(text, own, "x")).otherwise(F.col(text)).alias("_t"))
-    m = masked(clean, "_t").select(key, F.split("_m", CUT).alias("_p"))
+    blank = F.lit(_BLANK + SOFT)
+
+    def size(p: Column) -> Column:
+        left = F.ltrim(p, blank)
+        # few units end in white space, and to look for it takes a pass over all of a unit
+        whole = F.when(F.right(p, F.lit(1)).isin(*_BLANK, SOFT), F.length(F.rtrim(left, blank))).otherwise(F.length(left))
+        return F.struct(F.length(p).alias("n"), F.length(left).alias("l"), whole.alias("t"))
+
+    m = masked(clean, "_t").select(key, F.transform(F.split("_m", CUT), size).alias("_p"))
     chunks = F.transform(F.sequence(F.lit(0), F.size("_p") - 1, F.lit(_CHUNK)), lambda i: F.slice("_p", i + 1, F.lit(_CHUNK)))
     m = m.select(key, chunks.alias("_c"))
-    sums = F.transform("_c", lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + F.length(p)))
-    m = m.select(key, F.inline(F.arrays_zip(F.col("_c").alias("c"), _prefix(sums).alias("o"))).alias("_c", "_o"))
-    blank = F.lit(_BLANK + SOFT)
-    size = lambda p: F.struct(F.length(p).alias("n"), F.length(F.ltrim(p, blank)).alias("l"), F.length(F.trim(p, blank)).alias("t"))
-    m = m.select(key, "_o", F.transform("_c", size).alias("_s"))
+    sums = F.transform("_c", lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + p["n"]))
+    m = m.select(key, F.inline(F.arrays_zip(F.col("_c").alias("c"), _prefix(sums).alias("o"))).alias("_s", "_o"))
     m = m.select(key, "_o", F.inline(F.arrays_zip(F.col("_s").alias("s"), _prefix(F.transform("_s", lambda s: s["n"])).alias("b"))).alias("s", "b"))
     start = (F.col("_o") + F.col("b") + F.col("s.n") - F.col("s.l")).cast("int")
     return m.where("s.t > 0").select(key, start.alias("debut"), (start + F.col("s.t")).cast("int").alias("fin"))

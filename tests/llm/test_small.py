@@ -386,6 +386,13 @@ def test_wraps_without_case(spark):
     assert {r["doc_id"]: r["count"] for r in sentences.sentences(df).groupBy("doc_id").count().collect()} == {1: 1, 2: 1, 3: 2}
 
 
+def test_lines_are_split_once(spark):
+    docs = spark.createDataFrame([("a", "Un «mot.» et\ndeux. \u00a0\nTrois ؟ fin; 「終。」後\u3000")], "doc_id string, text string")
+    plan = sentences.masked(docs, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(_m") == 1  # each is a pass over all lines
+    assert [r["sentence"] for r in sentences.restored(docs, sentences.sentences(docs)).orderBy("debut").collect()] == ["Un «mot.» et\ndeux.", "Trois ؟ fin; 「終。」後"]
+
+
 def test_sentence_places(spark):
     long = "Une 😀 phrase. " * 1000
     df = spark.createDataFrame([(1, long), (2, None), (3, "ab. C.")], "doc_id int, text string")
