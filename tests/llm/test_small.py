@@ -548,6 +548,13 @@ def test_hot_lines_without_broadcasts(spark, monkeypatch):
     assert all(x == {"Accueil", "Publicité"} for x in _framed(spark, pages).values())
 
 
+def test_parts_are_cut_once(spark):
+    pages = spark.createDataFrame([("B/1.htm", "<title>3 mai &gt; Bulletin X 1 &gt; Un titre</title>", "Accueil | 3 mai 2011 | X\nUn titre\nsans signe")], "path string, html string, texte string")
+    read = boilerplate.lines(pages)
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("[|·>•") == 1  # a pass over all lines with signs
+    assert [r["parts"] for r in read.orderBy("n").collect()] == [["accueil", "@"], None, None]
+
+
 def test_expressions(spark):
     rng = np.random.default_rng(16)
     rows = []
