@@ -120,8 +120,8 @@ def lines(pages: DataFrame) -> DataFrame:
     item = bare & ~F.rlike("line", F.lit(_BULLET))
     rank = F.when(F.rlike("line", F.lit(r"^\s*\p{Nd}")), F.regexp_extract("line", r"^\s*(\p{Nd}+)\.\s", 1).try_cast("int"))
     signs = reduce(or_, (F.contains("line", F.lit(x)) for x in ("|", "·", ">", "•", "[", "]", "–", "—", "^", "*", "<<", " - ", " / ", "   ")), F.startswith("line", F.lit("-")))
-    # a column of its own: inside the array functions it would be read again at each use
-    rows = rows.withColumn("_cut", F.when(signs, _plain(F.regexp_replace("line", _PARTS, "\n"), r"\n")))
+    # columns of their own: what follows uses each several times
+    rows = rows.withColumn("_cut", F.when(signs, F.regexp_replace("line", _PARTS, "\n"))).withColumn("_cut", _plain(F.col("_cut"), r"\n"))
     parts = F.filter(F.transform(F.split(_dated(F.col("_cut")), r" ?\n ?"), lambda p: _named(p, F.col("name"))), lambda p: ~p.isin("", "#"))
     return rows.select(
         "path", "who", "named", "site", "n", F.when(F.col("t") == "", 0).otherwise(F.xxhash64("t")).alias("k"), F.nullif("t", F.lit("")).alias("t"),
