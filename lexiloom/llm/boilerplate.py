@@ -50,7 +50,7 @@ CHUNK_PAGES, FAN_IN = 2000, 32
 # Month names count as parts of a date; signs that part the entries of a menu; how a text's lines may be bulleted.
 MONTHS = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre january february march april may june july august september october november december"
 _PARTS = r"\s*[|·>•\[\]–—^*]\s*|\s+[-/]\s+|\s{3,}|<<|^\s*-\s"
-_BULLET = r"^\s*[-•*–—·▪]\s"
+_BULLET = r"^[-•*–—·▪]\s"
 
 
 def host(title: Column) -> Column:
@@ -112,13 +112,16 @@ def lines(pages: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform("l", lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("h"))))
     one = one.select("path", F.xxhash64(F.coalesce("site", F.concat(F.lit("/"), "path"))).alias("site"), F.when(F.col("name") == "", "@").otherwise(F.col("name")).alias("name"), F.get(F.split("title", ">"), F.lit(2)).alias("own"), longest.alias("most"), "l")
     one = template(one, "own", "own").select("path", F.xxhash64("own", "most").alias("who"), F.when(F.col("own") != "", F.xxhash64("own")).otherwise(F.xxhash64("most")).alias("named"), "site", "name", F.nullif("own", F.lit("")).alias("own"), "l", F.transform("l", lambda x: F.xxhash64(F.when(F.rlike(x, F.lit("[0-9]")), F.regexp_replace(x, "[0-9]+", "")).otherwise(x))).alias("h"))
-    rows = one.select("path", "who", "named", "site", "name", "own", "h", F.posexplode("l").alias("n", "line"))
+    # outer: else all texts are split a second time, for a filter of empty arrays; there are none
+    rows = one.select("path", "who", "named", "site", "name", "own", "h", F.posexplode_outer("l").alias("n", "line"))
     near = F.array_compact(F.array(F.when(F.col("n") > 0, F.get("h", F.col("n") - 1)), F.get("h", F.col("n") + 1)))
     rows = template(rows.withColumn("near", near).drop("h"), "line", "t")
+    # what a line begins with is matched on two characters: an anchored pattern is tried at every place of a line
+    rows = rows.withColumn("head", F.left(F.ltrim("line", F.lit(" \t\r\x0b\x0c")), F.lit(2)))
     bare = F.instr(F.lit(".;:»…"), F.right(F.rtrim("line", F.lit(" \t\r\x0b\x0c")), F.lit(1))) < 1
-    bare = bare | F.rlike("line", F.lit(r"^\s*$"))
-    item = bare & ~F.rlike("line", F.lit(_BULLET))
-    rank = F.when(F.rlike("line", F.lit(r"^\s*\p{Nd}")), F.regexp_extract("line", r"^\s*(\p{Nd}+)\.\s", 1).try_cast("int"))
+    bare = bare | F.col("head").isin("", "\x85", "\u2028", "\u2029")
+    item = bare & ~F.rlike("head", F.lit(_BULLET))
+    rank = F.when(F.rlike("head", F.lit(r"^\p{Nd}")), F.regexp_extract("line", r"^\s*(\p{Nd}+)\.\s", 1).try_cast("int"))
     signs = reduce(or_, (F.contains("line", F.lit(x)) for x in ("|", "·", ">", "•", "[", "]", "–", "—", "^", "*", "<<", " - ", " / ", "   ")), F.startswith("line", F.lit("-")))
     # columns of their own: what follows uses each several times
     rows = rows.withColumn("_cut", F.when(signs, F.regexp_replace("line", _PARTS, "\n"))).withColumn("_cut", _plain(F.col("_cut"), r"\n"))
@@ -180,7 +183,7 @@ def _wildcards(texts: DataFrame, rest: DataFrame, sizes: _Sizes) -> tuple[DataFr
     whole = F.aggregate("h", F.size("h").cast("long"), lambda a, h: a.bitwiseXOR(h))
     holes = F.transform("h", lambda h, i: F.xxhash64(F.col("whole").bitwiseXOR(h), i))  # all words but one
     holes = F.when(F.col("side") == 0, F.slice(holes, m + 1, F.size("h"))).otherwise(F.slice(holes, F.lit(1), m))
-    keyed = cut(met.withColumn("whole", whole).select(F.col("k").alias("line"), F.explode(holes).alias("k")))
+    keyed = cut(met.withColumn("whole", whole).select(F.col("k").alias("line"), F.explode_outer(holes).alias("k")))
     held = cut(keyed.join(rest.select("site", "c", F.col("k").alias("line")), "line").groupBy("site", "k").agg(F.sum("c").alias("c")))
     varied = held.groupBy("k").agg(F.sum("c").alias("c")).where(f"c >= {MIN_PAGES}").select("k", F.lit(True).alias("_v"))
     held = cut(flagged(held, cut(varied), ["k"]).where("_v").select("site", "k", "c"))
@@ -208,21 +211,31 @@ def _slots(rest: DataFrame, wrapper: DataFrame) -> DataFrame:
     """(k, key): templates of rest that are wrapper lines but for text slots, each with the hashes of those. Both: (k, t).
 
     Where SLOT_SHARE of both lines' words agree in order, the lines have `least` of the words of either in common, wherever those
-    stand. So in any one order of words, here the rarest of the wrapper first, what is left of each line without its last
-    `least` * words - 1 shares a word (prefix filter); and from the first such word on, enough words are left. No pair is lost.
+    stand, and neither has less than `least` times the other's words. So in any one order of words, here the rarest of the wrapper
+    first, what is left of each line without its last `least` * words - 1 shares a word (prefix filter); and from the first such word
+    on, enough words are left. No pair is lost.
     """
     least = SLOT_SHARE / (2 - SLOT_SHARE)
-    said = lambda d: d.where(F.size(F.split("t", " ")) >= SLOT_WORDS).select("k", F.size(F.split("t", " ")).alias("w"), F.explode(F.transform(F.split("t", " "), lambda x: F.xxhash64(x))).alias("g"))
+
+    def said(d: DataFrame, most: int | None = None) -> DataFrame:
+        """Lines of SLOT_WORDS to `most` words by word. Each line is split once: words are counted by blanks, and outer needs no filter of empty arrays."""
+        w = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
+        d = d.where(w >= SLOT_WORDS) if most is None else d.where(w.between(SLOT_WORDS, most))
+        return d.select("k", F.transform(F.split("t", " "), lambda x: F.xxhash64(x)).alias("g")).select("k", F.size("g").alias("w"), F.explode_outer("g").alias("g"))
+
     known = cut(said(wrapper))
-    rare = broadcast_if_small(cut(known.groupBy("g").agg(F.count(F.lit(1)).alias("n"))))
+    rare = cut(known.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi")))
+    most = int((rare.agg(F.max("hi")).first()[0] or 0) / least + 1e-9)
+    rare = broadcast_if_small(rare)
 
     def rarest(d: DataFrame) -> DataFrame:
-        r = d.join(rare, "g").groupBy("k", "w").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("r"))
+        near = F.expr(f"hi >= {least} * w - 1e-9 and w >= {least} * lo - 1e-9")  # a wrapper line with the word is long and short enough
+        r = d.join(rare, "g").where(near).groupBy("k", "w").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("r"))
         r = r.withColumn("spare", F.size("r") - F.ceil(least * F.col("w") - 1e-9).cast("int") + 1).where("spare > 0")
-        return r.select("k", "w", F.size("r").alias("m"), F.posexplode(F.slice("r.g", F.lit(1), F.col("spare"))).alias("i", "g")).groupBy("k", "w", "m", "g").agg(F.min("i").alias("i"))
+        return r.select("k", "w", F.size("r").alias("m"), F.posexplode_outer(F.slice("r.g", F.lit(1), F.col("spare"))).alias("i", "g")).groupBy("k", "w", "m", "g").agg(F.min("i").alias("i"))
 
     b = rarest(known).select(F.col("k").alias("fk"), F.col("w").alias("fw"), F.col("m").alias("fm"), F.col("i").alias("fi"), "g")
-    met = rarest(said(rest)).join(broadcast_if_small(cut(b)), "g").where(f"least(m - i, fm - fi) >= {SLOT_SHARE / 2} * (w + fw) - 1e-9")
+    met = rarest(said(rest, most)).join(broadcast_if_small(cut(b)), "g").where(f"least(m - i, fm - fi) >= {SLOT_SHARE / 2} * (w + fw) - 1e-9")
     pairs = met.select("k", "fk").distinct().join(rest.select("k", "t"), "k").join(wrapper.select(F.col("k").alias("fk"), F.col("t").alias("ft")), "fk")
 
     @F.pandas_udf("boolean")
@@ -427,9 +440,9 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # menus without signs between their entries: every word is one of short entries
     texts = cut(every.where("t is not null").groupBy("k", "t").agg(F.max("item").alias("bare")))
     entry = texts.select("k", "t").unionByName(cells.select("k", "t").distinct()).where("size(split(t, ' ')) <= 3").join(as_part.unionByName(here.select("k")).distinct(), "k", "left_semi")
-    entry = yes(cut(entry.select(F.explode(F.split("t", " ")).alias("w")).distinct()), "is")
+    entry = yes(cut(entry.select(F.explode_outer(F.split("t", " ")).alias("w")).distinct()), "is")
     spaced = flagged(texts.where("bare and size(split(t, ' ')) >= 4 and instr(t, '#') = 0").select("k", "t", F.substring_index("t", " ", 1).alias("w")), entry, ["w"]).where("is")
-    menus = flagged(spaced.select("k", F.explode(F.split("t", " ")).alias("w")), entry, ["w"]).groupBy("k").agg(F.every(F.coalesce("is", F.lit(False))).alias("all")).where("all").select("k")
+    menus = flagged(spaced.select("k", F.explode_outer(F.split("t", " ")).alias("w")), entry, ["w"]).groupBy("k").agg(F.every(F.coalesce("is", F.lit(False))).alias("all")).where("all").select("k")
 
     marked = flagged(flagged(flagged(every, yes(as_part, "f"), ["k"]), yes(per_host, "h"), ["site", "k"]), yes(grouped, "g"), ["site", "pk"])
     marked = cut(flagged(marked, yes(cut(menus), "m"), ["k"]).select("path", "site", "n", "k", "title", "item", F.coalesce("rank", F.lit(0)).alias("rank"), "f", "h", "soft", F.coalesce("g", "m").alias("g")))

@@ -555,6 +555,21 @@ def test_parts_are_cut_once(spark):
     assert [r["parts"] for r in read.orderBy("n").collect()] == [["accueil", "@"], None, None]
 
 
+def test_texts_and_lines_are_split_once(spark, monkeypatch):
+    pages = spark.createDataFrame([("B/1.htm", "<title>3 mai &gt; Bulletin X 1 &gt; Un titre</title>", " \t\n\x0b \u2028\n\u0085a;\n\t12. a\n \r- a\n-a\na - b:\n\n \u0663 a")], "path string, html string, texte string")
+    read = boilerplate.lines(pages)
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("split(texte") == 1  # not again for a filter of empty arrays
+    got = [(r["bare"], r["item"], r["rank"]) for r in read.orderBy("n").collect()]
+    assert got == [(True, True, None), (True, True, None), (False, False, None), (True, True, 12), (True, False, None), (True, True, None), (False, False, None), (True, True, None), (True, True, None)]
+    plans, cut = [], boilerplate.cut
+    monkeypatch.setattr(boilerplate, "cut", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or cut(d))
+    wrapper = [(1, "a b c d e f g"), (2, "a b c")]
+    rest = [(3, "a b c d e f g h i j k l m"), (4, "a b c d e f g h i j k l m n"), (5, "a b c d"), (6, "a x c d y f g"), (7, "a b c")]
+    found = boilerplate._slots(*(spark.createDataFrame(x, "k long, t string") for x in (rest, wrapper)))
+    assert sorted((r["k"], r["key"]) for r in found.collect()) == [(3, 1), (5, 1), (6, 1)]
+    assert plans[0].count("split(") == 1
+
+
 def test_expressions(spark):
     rng = np.random.default_rng(16)
     rows = []
