@@ -413,11 +413,12 @@ def _wrappers(paged: DataFrame, largest: int) -> DataFrame:
     return nodes
 
 
-def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(paged, items, texts): pages by line; the items of every site's expression; and the templates they stand for.
+def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(paged, items, texts, groups): pages by line; the items of every site's expression; the templates they stand for; and which are groups.
 
     paged: (site, chunk, path, k, *_COLS). items: (site, pos, key, pages, of, kept, most): the item's place, how many pages of how many
     have it, whether it is frame, and for the head of a repeated group the longest list that ends by structure (NULL: no head). texts: (key, t, slot).
+    groups: (site, key) of lines of several parts that are all known, items of their own or not.
     """
     every = cut(lines(newest(pages)))
     sizes = _Sizes(every)
@@ -443,9 +444,12 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     entry = yes(cut(entry.select(F.explode_outer(F.split("t", " ")).alias("w")).distinct()), "is")
     spaced = flagged(texts.where("bare and size(split(t, ' ')) >= 4 and instr(t, '#') = 0").select("k", "t", F.substring_index("t", " ", 1).alias("w")), entry, ["w"]).where("is")
     menus = flagged(spaced.select("k", F.explode_outer(F.split("t", " ")).alias("w")), entry, ["w"]).groupBy("k").agg(F.every(F.coalesce("is", F.lit(False))).alias("all")).where("all").select("k")
+    menus = cut(menus)
+    groups = every.where("size(parts) > 1").select("site", "pk", "k").distinct().join(grouped, ["site", "pk"]).select("site", "k")
+    groups = groups.unionByName(counts.join(broadcast_if_small(menus), "k").select("site", "k")).distinct().withColumnRenamed("k", "key")
 
     marked = flagged(flagged(flagged(every, yes(as_part, "f"), ["k"]), yes(per_host, "h"), ["site", "k"]), yes(grouped, "g"), ["site", "pk"])
-    marked = cut(flagged(marked, yes(cut(menus), "m"), ["k"]).select("path", "site", "n", "k", "title", "item", F.coalesce("rank", F.lit(0)).alias("rank"), "f", "h", "soft", F.coalesce("g", "m").alias("g")))
+    marked = cut(flagged(marked, yes(menus, "m"), ["k"]).select("path", "site", "n", "k", "title", "item", F.coalesce("rank", F.lit(0)).alias("rank"), "f", "h", "soft", F.coalesce("g", "m").alias("g")))
     # text slots: lines that recur but for one word; then lines like those known
     open_here = marked.where("f is null and h is null and g is null and k <> 0").select("site", "k").distinct()
     rest = cut(counts.join(open_here, ["site", "k"], "left_semi"))
@@ -479,7 +483,7 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = items.withColumn("most", F.coalesce("here", "any"))
     items = cut(items.select("site", "pos", "key", "pages", "of", "kept", "most"))
     named = texts.select(F.col("k").alias("key"), "t", F.lit(False).alias("slot")).unionByName(slots.select("key", "k").unionByName(own_slots.select(F.col("a").alias("key"), "k")).join(texts.select("k", "t"), "k").select("key", "t", F.lit(True).alias("slot")))
-    return paged, items, named
+    return paged, items, named, groups
 
 
 def frame(pages: DataFrame) -> DataFrame:
@@ -487,7 +491,7 @@ def frame(pages: DataFrame) -> DataFrame:
 
     Pages without a path or text have no lines. Of several loads of a path the last one's text counts. Blank lines are no frame.
     """
-    paged, items, _ = wrappers(pages)
+    paged, items, _, _ = wrappers(pages)
     empty = lambda t: F.array().cast(f"array<{t}>")
     rows = paged.select("site", "chunk", F.lit(1).alias("o"), "path", "k", "key", "sure", "title", "item", "rank", empty("boolean").alias("kept"), empty("int").alias("most"))
     inner = F.array_sort(F.collect_list(F.struct("pos", "key", "kept", "most")))
@@ -533,10 +537,12 @@ def expressions(pages: DataFrame) -> DataFrame:
     kind: `fixed` if all pages have it, `optional`, `slot` for lines that agree but for words, `group` for menus; most: the longest list
     behind a head. site is a hash.
     """
-    _, items, texts = wrappers(pages)
+    _, items, texts, groups = wrappers(pages)
     texts = texts.groupBy("key").agg(F.min("t").alias("template"), F.every("slot").alias("slot"))
-    kind = F.when(F.col("key") == F.xxhash64(F.lit("group")), "group").when(F.col("slot"), "slot").when(F.col("pages") >= F.col("of"), "fixed").otherwise("optional")
-    return flagged(items.where("kept"), cut(texts), ["key"]).select("site", "pos", kind.alias("kind"), "template", "pages", "of", "most")
+    menu = F.coalesce("menu", F.col("key") == F.xxhash64(F.lit("group")))
+    kind = F.when(menu, "group").when(F.col("slot"), "slot").when(F.col("pages") >= F.col("of"), "fixed").otherwise("optional")
+    named = flagged(items.where("kept"), cut(texts), ["key"])
+    return flagged(named, cut(groups.withColumn("menu", F.lit(True))), ["site", "key"]).select("site", "pos", kind.alias("kind"), "template", "pages", "of", "most")
 
 
 def articles(pages: DataFrame, framed: DataFrame) -> DataFrame:

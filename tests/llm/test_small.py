@@ -570,6 +570,17 @@ def test_texts_and_lines_are_split_once(spark, monkeypatch):
     assert plans[0].count("split(") == 1
 
 
+def test_menus_are_groups_but_not_single_entries(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(12):
+        title, body = _body(rng)
+        ls = ["- Accueil", title, *body, "Presse | Agenda", "Presse", "Agenda"]
+        rows.append((f"B/{i}.htm", f"<title>3 mai &gt; Bulletin {HOSTS[0]} {i} &gt; {title}</title>", "\n".join(ls)))
+    got = boilerplate.expressions(spark.createDataFrame(rows, "path string, html string, texte string")).orderBy("pos").collect()
+    assert [(r["template"], r["kind"]) for r in got] == [("accueil", "fixed"), ("presse agenda", "group"), ("presse", "fixed"), ("agenda", "fixed")]
+
+
 def test_expressions(spark):
     rng = np.random.default_rng(16)
     rows = []
